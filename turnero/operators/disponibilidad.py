@@ -267,10 +267,11 @@ def disponibilidad_rango(
 ) -> DataFrame:
     """Free slots of the professionals on every date of a period, both ends included."""
     quienes = audiologos.select(F.col("id").alias("audiologo_id"))
-    fechados = entre_fechas(horarios_fecha, desde, hasta).join(quienes, "audiologo_id", "left_semi")
+    fechados = entre_fechas(horarios_fecha, desde, hasta)
     rangos = _unir(
         rangos_semanales_entre(audiologos, horarios_disponibles, desde, hasta),
-        rangos_de_fecha(fechados, fin_override), fechados,
+        rangos_de_fecha(fechados.join(quienes, "audiologo_id", "left_semi"), fin_override),
+        fechados,
     )
     return _libres(
         rangos, entre_fechas(citas, desde, hasta), entre_fechas(bloqueos, desde, hasta),

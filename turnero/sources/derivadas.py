@@ -81,7 +81,29 @@ solicitudes as (
     case when event_id % 3 = 0 then null else 'u' || user_id || '.' || (event_id % 5) || '@example.com' end email,
     case when event_id % 4 = 0 then 'EPS ' || (event_id % 6) end eps
   from events cross join ns left join audiologos a on a.id = user_id % ns.n
-  where event_type = 'purchase')
+  where event_type = 'purchase'),
+roster as (
+  select 'Supplier#' || lpad(cast(user_id % ((ns.n + 8) // 2) * 2 as varchar), 9, '0') nombre,
+    cast(ts as date) fecha, case when event_id % 2 = 0 then 450 else 780 end ini,
+    case when event_id % 2 = 0 then 780 else 1020 end fin
+  from events cross join ns where event_type = 'view'),
+cambios as (
+  select (event_id * 7 + user_id) % (no.n + 50) id,
+    case event_id % 6 when 0 then 'pendiente' when 1 then 'confirmada' when 2 then 'cancelada'
+      when 3 then 'completada' when 4 then 'no_asistio' else 'otro' end estado, event_id orden
+  from events cross join (select count(*) n from orders) no where event_type = 'click'),
+ediciones as (
+  select event_id solicitud_id, ts recibida_en,
+    case when event_id % 2 = 0 then (event_id * 11 + user_id) % (no.n + 50) end cita_id,
+    (user_id * 7 + event_id) % ns.n audiologo_id, a.sede_id, cast(ts as date) + 2 fecha,
+    450 + 30 * (event_id % 20) ini,
+    case when event_id % 29 = 0 then '' else 'User ' || user_id || '/' || (event_id % 4) end nombre,
+    '573' || lpad(cast(user_id * 20 + 18 - event_id % 3 as varchar), 9, '0') telefono,
+    case when event_id % 4 = 0 then '' else 'control ' || (event_id % 4) end motivo,
+    case when event_id % 5 = 0 then '' else 'nota ' || (event_id % 5) end notas
+  from events cross join ns cross join (select count(*) n from orders) no
+  left join audiologos a on a.id = (user_id * 7 + event_id) % ns.n
+  where event_type = 'view')
 """
 
 
@@ -233,3 +255,63 @@ class Derivadas:
     @cached_property
     def solicitudes(self) -> DataFrame:
         return self.con_sede(solicitudes_de(self.origen("events"), self.n), "left")
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        """Dated shifts of every second professional, by name; a few names belong to nobody."""
+        manana = F.col("event_id") % 2 == 0
+        return self.origen("events").filter(F.col("event_type") == "view").select(
+            F.concat(
+                F.lit("Supplier#"), F.lpad(_txt(F.col("user_id") % F.call_function("div", self.n + 8, F.lit(2)) * 2), 9, "0")
+            ).alias("nombre"),
+            F.to_date("ts").alias("fecha"),
+            _min(F.when(manana, 450).otherwise(780)).alias("hora_inicio"),
+            _min(F.when(manana, 780).otherwise(1020)).alias("hora_fin"),
+        )
+
+    @cached_property
+    def n_citas(self) -> Column:
+        return self.origen("orders").agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    @cached_property
+    def cambios(self) -> DataFrame:
+        """State changes; some name no appointment or no known state."""
+        e = F.col("event_id")
+        estados = ["pendiente", "confirmada", "cancelada", "completada", "no_asistio", "otro"]
+        return self.origen("events").filter(F.col("event_type") == "click").select(
+            ((e * 7 + F.col("user_id")) % (self.n_citas + 50)).alias("id"),
+            F.get(F.array(*[F.lit(x) for x in estados]), (e % 6).cast("int")).alias("estado"),
+            e.alias("orden"),
+        )
+
+    @cached_property
+    def ediciones(self) -> DataFrame:
+        """Staff forms: new appointments and edits, some incomplete."""
+        e, u = F.col("event_id"), F.col("user_id")
+        formas = self.origen("events").filter(F.col("event_type") == "view").select(
+            e.alias("solicitud_id"), F.col("ts").alias("recibida_en"),
+            F.when(e % 2 == 0, (e * 11 + u) % (self.n_citas + 50)).alias("cita_id"),
+            ((u * 7 + e) % self.n).alias("audiologo_id"),
+            F.date_add(F.to_date("ts"), 2).alias("fecha"),
+            F.substring(_min(450 + 30 * (e % 20)), 1, 5).alias("hora_inicio"),
+            F.when(e % 29 == 0, "").otherwise(
+                F.concat(F.lit("User "), _txt(u), F.lit("/"), _txt(e % 4))
+            ).alias("nombre"),
+            _telefono(u * 20 + 18 - e % 3).alias("telefono"),
+            F.when(e % 4 == 0, "").otherwise(
+                F.concat(F.lit("control "), _txt(e % 4))
+            ).alias("motivo"),
+            F.when(e % 5 == 0, "").otherwise(
+                F.concat(F.lit("nota "), _txt(e % 5))
+            ).alias("notas"),
+        )
+        return self.con_sede(formas, "left")
+
+    def estado(self):
+        """The tables a booking works on."""
+        from turnero.operators.reservas import Estado
+
+        return Estado(
+            self.citas, self.pacientes, self.audiologos, self.sedes, self.horarios_fecha,
+            self.horarios_disponibles,
+        )

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _esquema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TIPOS = {
+    "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(),
+}
+
+
+def _esquema(columnas: str) -> T.StructType:
+    """Nullable columns out of ``name type, name type, ...``; needs no session."""
+    pares = [c.split() for c in columnas.split(",")]
+    return T.StructType([T.StructField(nombre, _TIPOS[tipo]) for nombre, tipo in pares])
 
 
 ESQUEMAS: dict[str, T.StructType] = {
