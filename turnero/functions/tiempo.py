@@ -15,10 +15,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _dos(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 2, "0")
-
-
 def _lista(valores) -> Column:
     return F.array(*[F.lit(v) for v in valores])
 
@@ -40,11 +36,13 @@ def envolver(s) -> Column:
 
 
 def hms(s) -> Column:
-    """Seconds since midnight to ``HH:mm:ss``, modulo one day."""
-    s = envolver(s)
-    h = F.call_function("div", s, F.lit(3600))
-    m = F.call_function("div", s % 3600, F.lit(60))
-    return F.concat(_dos(h), F.lit(":"), _dos(m), F.lit(":"), _dos(s % 60))
+    """Seconds since midnight to ``HH:mm:ss``, modulo one day.
+
+    The time is read off a zone-free timestamp, which wraps at midnight by itself and mentions its
+    argument once, so the expression stays small when Spark pushes it through a plan.
+    """
+    dia = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.substring((dia + F.expr("interval '1' second") * _col(s)).cast("string"), 12, 8)
 
 
 def sumar_minutos(hora, minutos) -> Column:

@@ -13,9 +13,9 @@ from turnero.functions.texto import activa, presente, vacio_a_nulo
 from turnero.functions.tiempo import hhmmss, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
 from turnero.operators.reservas import (
-    DIA, Estado, Resultado, _agregar, _existe, _ids_texto, _separar, claves_tomadas,
-    id_estable, marcar_actualizado, primeras,
+    DIA, Estado, Resultado, _agregar, _existe, _ids_texto, _separar, id_estable, marcar_actualizado, primeras,
 )
+from turnero.sources.tablas import materializar
 
 CAMPOS = ["sede_id", "audiologo_id", "nombre", "telefono"]
 DATOS = [
@@ -49,10 +49,13 @@ def revisar_ediciones(citas: DataFrame, cambios: DataFrame) -> DataFrame:
         "id", F.col("estado").alias("_estado"), F.col("audiologo_id").alias("_a"),
         F.col("fecha").alias("_f"), seg("hora_inicio").alias("_ini"),
     )
-    revisados = ultimos.join(actuales, "id", "left").withColumn(
-        "_conserva",
-        F.col("audiologo_id").eqNullSafe(F.col("_a")) & F.col("fecha").eqNullSafe(F.col("_f"))
-        & F.col("ini").eqNullSafe(F.col("_ini")),
+    revisados = materializar(
+        ultimos.join(actuales, "id", "left").withColumn(
+            "_conserva",
+            F.col("audiologo_id").eqNullSafe(F.col("_a")) & F.col("fecha").eqNullSafe(F.col("_f"))
+            & F.col("ini").eqNullSafe(F.col("_ini")),
+        ),
+        "ediciones",
     )
     con_regla = revisados.filter(activa("_estado"))
     # Staying in the slot is always possible, so only those that move compete for one.
@@ -85,7 +88,7 @@ def editar(
         .withColumn("motivo_consulta", vacio_a_nulo("motivo_consulta"))
         .withColumn("notas", vacio_a_nulo("notas"))
     )
-    revisados = revisar_ediciones(citas, normalizados)
+    revisados = materializar(revisar_ediciones(citas, normalizados), "ediciones")
     datos = [c for c in DATOS if c in citas.columns]
     aplican = revisados.filter(F.col("motivo_rechazo").isNull()).select(
         "id", F.struct(*datos).alias("_n")
@@ -152,6 +155,7 @@ def guardar_panel(
         .when(F.col("_a").isNull(), "audiologo_desconocido")
         .when(F.col("_s").isNull(), "sede_desconocida"),
     ).drop("_a", "_s")
+    df = materializar(df, "formularios")
     guardables = df.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
     citas = _ids_texto(estado.citas)
@@ -164,10 +168,13 @@ def guardar_panel(
     editadas, rechazo_edicion = editar(citas, cambios, ahora)
 
     altas = guardables.filter(F.col("cita_id").isNull())
-    ganan = _separar(
-        altas.select("recibida_en", "solicitud_id", *DIA, "hora_inicio"),
-        editadas, ["recibida_en", "solicitud_id"],
-    ).select("solicitud_id")
+    ganan = materializar(
+        _separar(
+            altas.select("recibida_en", "solicitud_id", *DIA, "hora_inicio"),
+            editadas, ["recibida_en", "solicitud_id"],
+        ).select("solicitud_id"),
+        "altas",
+    )
     aceptadas = altas.join(ganan, "solicitud_id", "left_semi").select(
         "solicitud_id", id_estable("cita", "solicitud_id").alias("id"), "paciente_id",
         "audiologo_id", "sede_id", "fecha", hhmmss("hora_inicio").alias("hora_inicio"),

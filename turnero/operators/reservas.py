@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
-from turnero.sources.tablas import con_valores_por_defecto
+from turnero.sources.tablas import con_valores_por_defecto, materializar
 
 DIA = ["audiologo_id", "fecha"]
 LLEGADA = ["recibida_en", "solicitud_id"]
@@ -41,7 +41,7 @@ class Estado:
 
 @dataclass
 class Resultado:
-    """Outcome of a batch; every part is lazy."""
+    """Outcome of a batch.  The decisions are fixed already; the parts are lazy."""
 
     aceptadas: DataFrame
     rechazadas: DataFrame
@@ -93,17 +93,14 @@ def _primera_duracion(horario: DataFrame, clave: list[str], nombre: str) -> Data
 
 
 def resolver_duracion(
-    solicitudes: DataFrame, horarios_fecha: DataFrame, horarios_disponibles: DataFrame,
-    lote: DataFrame | None = None,
+    solicitudes: DataFrame, horarios_fecha: DataFrame, horarios_disponibles: DataFrame
 ) -> DataFrame:
     """Adds ``duracion``: of the dated row, else of the weekly row, else the default.
 
     Only the first row of a key is asked; when its length is null the next level decides.
-    ``lote``, a cheaper superset of the requests, is used to narrow the schedules.
     """
-    lote = solicitudes if lote is None else lote
-    dias = lote.select(*DIA).distinct()
-    quienes = lote.select("audiologo_id").distinct()
+    dias = solicitudes.select(*DIA).distinct()
+    quienes = solicitudes.select("audiologo_id").distinct()
     de_fecha = _primera_duracion(
         horarios_fecha.join(dias, DIA, "left_semi"), DIA, "_dur_fecha"
     )
@@ -181,15 +178,11 @@ def lookup_paciente(pacientes: DataFrame, solicitudes: DataFrame) -> DataFrame:
     return solicitudes.join(paciente_por_telefono(pacientes, telefonos), "telefono", "left")
 
 
-def novedades_pacientes(
-    pacientes: DataFrame, aceptadas: DataFrame, lote: DataFrame | None = None
-) -> DataFrame:
+def novedades_pacientes(pacientes: DataFrame, aceptadas: DataFrame) -> DataFrame:
     """Per phone of the accepted requests: patient id, whether it is new, newest values.
 
-    The newest name wins; the newest e-mail and insurer that are not null win.  ``lote``, a cheaper
-    superset of the accepted requests, is used to narrow the patients.
+    The newest name wins; the newest e-mail and insurer that are not null win.
     """
-    lote = aceptadas if lote is None else lote
     orden = F.struct(*LLEGADA)
 
     def ultimo(c):
@@ -198,7 +191,7 @@ def novedades_pacientes(
     por_telefono = aceptadas.groupBy("telefono").agg(
         F.max_by("nombre", orden).alias("nombre_nuevo"), ultimo("email"), ultimo("eps")
     )
-    conocidos = paciente_por_telefono(pacientes, lote.select("telefono").distinct())
+    conocidos = paciente_por_telefono(pacientes, aceptadas.select("telefono").distinct())
     return (
         por_telefono.join(conocidos, "telefono", "left")
         .withColumn("es_nuevo", F.col("paciente_id").isNull())
@@ -275,15 +268,11 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
     )
 
 
-def aceptar(
-    aceptadas: DataFrame, estado: Estado, novedades: DataFrame, lote: DataFrame | None = None
-) -> DataFrame:
+def aceptar(aceptadas: DataFrame, estado: Estado, novedades: DataFrame) -> DataFrame:
     """Accepted requests with appointment id, patient id, duration and end."""
     ids = novedades.select("telefono", "paciente_id")
     return (
-        resolver_duracion(
-            aceptadas, estado.horarios_fecha, estado.horarios_disponibles, lote
-        )
+        resolver_duracion(aceptadas, estado.horarios_fecha, estado.horarios_disponibles)
         .join(ids, "telefono", "left")
         .withColumn("cita_id", id_estable("cita", "solicitud_id"))
         .withColumn("hora_fin", hms(seg("hora_inicio") + F.col("duracion") * 60))
@@ -317,13 +306,14 @@ def reservar(
     """Decides a batch of requests and gives the tables after it.
 
     Schedules, blocks and overlaps are not looked at: only an equal professional, date and start
-    makes a conflict.  ``solicitud_id`` must be unique.
+    makes a conflict.  ``solicitud_id`` must be unique.  The call runs the job that decides, so that
+    appointments and patients follow from the same decisions.
     """
     lote = completar_opcionales(solicitudes)
-    decididas = decidir(lote, estado)
+    decididas = materializar(decidir(lote, estado), "decisiones")
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
-    novedades = novedades_pacientes(estado.pacientes, ok, lote)
-    aceptadas = aceptar(ok, estado, novedades, lote)
+    novedades = novedades_pacientes(estado.pacientes, ok)
+    aceptadas = aceptar(ok, estado, novedades)
     return Resultado(
         aceptadas=aceptadas,
         rechazadas=decididas.filter(F.col("motivo_rechazo").isNotNull()),
@@ -360,8 +350,8 @@ def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
         [F.desc("orden"), F.desc("nuevo")],
     ).withColumn("_valido", F.coalesce(F.col("nuevo").isin(ESTADOS), F.lit(False)))
     actuales = citas.select("id", "estado", *DIA, "hora_inicio")
-    revisados = ultimos.join(
-        actuales.withColumn("_existe", F.lit(True)), "id", "left"
+    revisados = materializar(
+        ultimos.join(actuales.withColumn("_existe", F.lit(True)), "id", "left"), "cambios"
     )
     reviven = revisados.filter(
         F.col("_existe") & F.col("_valido") & ~activa("estado") & activa("nuevo")
@@ -389,7 +379,7 @@ def cambiar_estado(
 ) -> tuple[DataFrame, DataFrame]:
     """Appointments after the state changes, and the changes that were refused."""
     ahora = F.current_timestamp() if ahora is None else ahora
-    revisados = revisar_cambios_estado(citas, cambios)
+    revisados = materializar(revisar_cambios_estado(citas, cambios), "cambios")
     aplican = revisados.filter(F.col("motivo_rechazo").isNull()).select("id", "nuevo")
     despues = citas.join(aplican, "id", "left").withColumn(
         "estado", F.coalesce("nuevo", "estado")

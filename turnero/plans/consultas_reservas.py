@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, functions as F
 
 from turnero.functions.tiempo import sumar_minutos
 from turnero.operators import panel, reservas as r
 from turnero.plans.registro import DESDE, consulta, hm
 from turnero.sources.derivadas import solicitudes_de
+from turnero.sources.tablas import carpeta_de_trabajo
 from turnero.streaming.reservas_stream import decisiones, reservas_stream
 
 VALIDAS = """
@@ -316,13 +315,6 @@ def form_valida(t):
 # ---- Stream ----
 
 
-def carpeta_de_trabajo(spark, nombre: str) -> str:
-    """A new folder for one run: shared storage when the session names it, else local."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnero-")
-    marca = spark.sql("select uuid()").first()[0]
-    return f"{base}/{nombre}-{marca}"
-
-
 @consulta("reservas_stream", DECIDIDAS + "select solicitud_id, motivo_rechazo from decididas")
 def consulta_stream(t) -> DataFrame:
     eventos = t.origen("events")

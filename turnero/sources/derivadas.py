@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnero.functions.tiempo import hms
+from turnero.sources.esquemas import esquema
 
 # Weekly template of each kind of professional
 # (kind, weekday, start minute, end minute, slot minutes).
@@ -27,6 +28,27 @@ PLANTILLAS = [
     (3, 1, 480, 735, 30), (3, 3, 480, 735, 30), (3, 6, 540, 700, 45),
 ]
 
+ORIGENES = {
+    "region": esquema("r_regionkey int, r_name string"),
+    "nation": esquema("n_nationkey int, n_name string, n_regionkey int"),
+    "customer": esquema(
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": esquema("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"),
+    "part": esquema(
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": esquema(
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "events": esquema(
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+        " props string"
+    ),
+}
+
 
 def hm_sql(m: str) -> str:
     """SQL text that renders minutes since midnight as ``HH:mm:00``, wrapping at midnight."""
@@ -145,7 +167,8 @@ class Derivadas:
         self.carpeta = carpeta
 
     def origen(self, nombre: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.carpeta}/{nombre}.parquet")
+        """A given table with its declared schema, so no job runs to infer it."""
+        return self.spark.read.schema(ORIGENES[nombre]).parquet(f"{self.carpeta}/{nombre}.parquet")
 
     @cached_property
     def n(self) -> Column:

@@ -7,48 +7,49 @@ from pyspark.sql import types as T
 
 _TIPOS = {
     "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(),
-    "date": T.DateType(), "timestamp": T.TimestampType(),
+    "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+    "bigint": T.LongType(), "double": T.DoubleType(),
 }
 
 
-def _esquema(columnas: str) -> T.StructType:
+def esquema(columnas: str) -> T.StructType:
     """Nullable columns out of ``name type, name type, ...``; needs no session."""
     pares = [c.split() for c in columnas.split(",")]
     return T.StructType([T.StructField(nombre, _TIPOS[tipo]) for nombre, tipo in pares])
 
 
 ESQUEMAS: dict[str, T.StructType] = {
-    "sedes": _esquema(
+    "sedes": esquema(
         "id string, nombre string, ciudad string, direccion string, telefono string,"
         " activa boolean, creado_en timestamp"
     ),
-    "audiologos": _esquema(
+    "audiologos": esquema(
         "id string, nombre string, sede_id string, especialidad string, telefono string,"
         " email string, activo boolean, creado_en timestamp"
     ),
-    "horarios_disponibles": _esquema(
+    "horarios_disponibles": esquema(
         "id string, audiologo_id string, dia_semana int, hora_inicio string, hora_fin string,"
         " duracion_cita_min int, creado_en timestamp"
     ),
-    "horarios_fecha": _esquema(
+    "horarios_fecha": esquema(
         "id string, audiologo_id string, fecha date, hora_inicio string, hora_fin string,"
         " duracion_cita_min int, creado_en timestamp"
     ),
-    "bloqueos": _esquema(
+    "bloqueos": esquema(
         "id string, audiologo_id string, fecha date, hora_inicio string, hora_fin string,"
         " motivo string, creado_en timestamp"
     ),
-    "pacientes": _esquema(
+    "pacientes": esquema(
         "id string, nombre string, telefono string, email string, documento string, eps string,"
         " creado_en timestamp"
     ),
-    "citas": _esquema(
+    "citas": esquema(
         "id string, paciente_id string, audiologo_id string, sede_id string, fecha date,"
         " hora_inicio string, hora_fin string, estado string, motivo_consulta string,"
         " notas string, notificacion_enviada boolean, creado_en timestamp,"
         " actualizado_en timestamp"
     ),
-    "solicitudes": _esquema(
+    "solicitudes": esquema(
         "solicitud_id string, recibida_en timestamp, sede_id string, audiologo_id string,"
         " fecha date, hora_inicio string, nombre string, telefono string, motivo string,"
         " email string, eps string"

@@ -7,6 +7,9 @@ either the whole old table or the whole new one, and a lost job leaves nothing h
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnero.sources.esquemas import ESQUEMAS, POR_DEFECTO
@@ -100,3 +103,23 @@ def anexar(tabla: DataFrame, nuevas: DataFrame, lote: str = "", unicas: bool = F
         nuevas = con_id(nuevas, lote, unicas)
         tabla = tabla.withColumn("id", F.col("id").cast("string"))
     return tabla.unionByName(nuevas, allowMissingColumns=True)
+
+
+def carpeta_de_trabajo(spark: SparkSession, nombre: str) -> str:
+    """A new folder for one run, in the shared storage the session names.
+
+    Only a session that names none, as in tests, gets a local temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnero-")
+    return f"{base.rstrip('/')}/{nombre}-{uuid.uuid4().hex}"
+
+
+def materializar(df: DataFrame, nombre: str) -> DataFrame:
+    """Writes ``df`` to a working folder and reads it back.
+
+    For a result that several later steps use: it is computed once, all steps see the same rows
+    even when executors are lost, and the plan behind it is cut off.
+    """
+    ruta = carpeta_de_trabajo(df.sparkSession, nombre)
+    df.write.parquet(ruta)
+    return df.sparkSession.read.schema(df.schema).parquet(ruta)
