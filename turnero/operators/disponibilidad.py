@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnero.functions.texto import activa
 from turnero.functions.tiempo import dow, envolver, hms, seg, serie_fechas
-from turnero.sources.tablas import entre_fechas
+from turnero.sources.tablas import entre_fechas, reducir_a, son_pocas
 
 DIA = ["audiologo_id", "fecha"]
 RANGO = ["ini", "fin", "dur"]
@@ -53,24 +53,32 @@ def horas_bloqueadas(bloqueos: DataFrame) -> DataFrame:
     )
 
 
-def _contar_iguales(df: DataFrame, clave: list[str], extra: list[str] = []) -> DataFrame:
+def dias_con_fecha(horarios_fecha: DataFrame) -> DataFrame:
+    """Professional days that have any dated row."""
+    return horarios_fecha.filter(F.col("audiologo_id").isNotNull()).select(*DIA).distinct()
+
+
+def contar_iguales(df: DataFrame, clave: list[str]) -> DataFrame:
     """Schedule rows as ranges in seconds, equal ones merged into one row with a count."""
     return (
         df.filter(F.col("audiologo_id").isNotNull())
         .select(
             *clave, seg("hora_inicio").alias("ini"), seg("hora_fin").alias("fin"),
-            F.col("duracion_cita_min").alias("dur"), *extra,
+            F.col("duracion_cita_min").alias("dur"),
         )
-        .groupBy(*clave, *RANGO, *extra).agg(F.count(F.lit(1)).alias("veces"))
+        .groupBy(*clave, *RANGO).agg(F.count(F.lit(1)).alias("veces"))
     )
 
 
+def rangos_por_semana(horarios_disponibles: DataFrame) -> DataFrame:
+    return contar_iguales(horarios_disponibles, ["audiologo_id", "dia_semana"])
+
+
 # ---- Schedule in force ----
 
 
-def rangos_semanales(pares: DataFrame, horarios_disponibles: DataFrame) -> DataFrame:
-    """Weekly ranges of the given (professional, date) pairs."""
-    semana = _contar_iguales(horarios_disponibles, ["audiologo_id", "dia_semana"])
+def rangos_semanales(pares: DataFrame, semana: DataFrame) -> DataFrame:
+    """Weekly ranges (see ``rangos_por_semana``) of the given (professional, date) pairs."""
     return (
         pares.withColumn("dia_semana", dow("fecha")).join(semana, ["audiologo_id", "dia_semana"])
         .select(*DIA, *RANGO, "veces", F.lit(False).alias("es_override"))
@@ -87,7 +95,7 @@ def rangos_semanales_entre(
     d, h = F.lit(desde).cast("date"), F.lit(hasta).cast("date")
     primera = F.date_add(d, F.pmod(F.col("dia_semana") - dow(d), F.lit(7)))
     fechas = F.when(primera <= h, F.sequence(primera, h, F.expr("interval 7 days")))
-    semana = _contar_iguales(horarios_disponibles, ["audiologo_id", "dia_semana"])
+    semana = rangos_por_semana(horarios_disponibles)
     quienes = audiologos.select(F.col("id").alias("audiologo_id"))
     return semana.join(quienes, "audiologo_id", "left_semi").select(
         "audiologo_id", F.explode(fechas).alias("fecha"), *RANGO, "veces",
@@ -103,7 +111,7 @@ def rangos_de_fecha(horarios_fecha: DataFrame, fin_override: str = "propio") ->
     single arbitrary range of the day amounts to.  Both agree on days with one range.
     """
     if fin_override == "propio":
-        rangos = _contar_iguales(horarios_fecha, DIA).withColumn("corte", F.col("fin"))
+        rangos = contar_iguales(horarios_fecha, DIA).withColumn("corte", F.col("fin"))
     elif fin_override == "primero":
         orden = [c for c in ("creado_en", "id") if c in horarios_fecha.columns]
         fin = seg("hora_fin")
@@ -115,15 +123,14 @@ def rangos_de_fecha(horarios_fecha: DataFrame, fin_override: str = "propio") ->
                 ).alias("corte")
             )
         )
-        rangos = _contar_iguales(horarios_fecha, DIA).join(primero, DIA)
+        rangos = contar_iguales(horarios_fecha, DIA).join(primero, DIA)
     else:
         raise ValueError(f"fin_override: {fin_override}")
     return rangos.select(*DIA, *RANGO, "veces", F.lit(True).alias("es_override"), "corte")
 
 
-def prioridad_override(rangos: DataFrame, horarios_fecha: DataFrame) -> DataFrame:
-    """Drops weekly ranges of days that have any dated row, even one that yields no slot."""
-    dias = horarios_fecha.filter(F.col("audiologo_id").isNotNull()).select(*DIA).distinct()
+def prioridad_override(rangos: DataFrame, dias: DataFrame) -> DataFrame:
+    """Drops weekly ranges of the ``dias`` that have any dated row, even one without slots."""
     r, d = rangos.alias("r"), dias.alias("d")
     mismo = (F.col("r.audiologo_id") == F.col("d.audiologo_id")) & (
         F.col("r.fecha") == F.col("d.fecha")
@@ -131,25 +138,27 @@ def prioridad_override(rangos: DataFrame, horarios_fecha: DataFrame) -> DataFram
     return r.join(d, mismo & ~F.col("r.es_override"), "left_anti")
 
 
-def _unir(semanales: DataFrame, de_fecha: DataFrame, horarios_fecha: DataFrame) -> DataFrame:
+def _unir(semanales: DataFrame, de_fecha: DataFrame, dias: DataFrame) -> DataFrame:
     todos = semanales.withColumn("corte", F.lit(None).cast("int")).unionByName(de_fecha)
-    return prioridad_override(todos, horarios_fecha)
+    return prioridad_override(todos, dias)
 
 
 def rangos_efectivos(
     pares: DataFrame, horarios_disponibles: DataFrame, horarios_fecha: DataFrame,
-    fin_override: str = "propio",
+    fin_override: str = "propio", pocas: bool | None = None,
 ) -> DataFrame:
     """Ranges in force on the given pairs, in seconds, with a count of equal rows."""
+    pocas = son_pocas(pares) if pocas is None else pocas
     pares = pares.select(*DIA).distinct()
-    fechados = horarios_fecha.join(pares, DIA, "left_semi")
-    return _unir(
-        rangos_semanales(pares, horarios_disponibles),
-        rangos_de_fecha(fechados, fin_override), fechados,
+    semana = reducir_a(horarios_disponibles, pares, ["audiologo_id"], rangos_por_semana, pocas)
+    de_fecha = reducir_a(
+        horarios_fecha, pares, DIA, lambda h: rangos_de_fecha(h, fin_override), pocas
     )
+    dias = reducir_a(horarios_fecha, pares, DIA, dias_con_fecha, pocas)
+    return _unir(rangos_semanales(pares, semana), de_fecha, dias)
 
 
-def _repetir(df: DataFrame) -> DataFrame:
+def repetir(df: DataFrame) -> DataFrame:
     """Writes each row out as often as it was counted: equal ranges give equal slots."""
     return df.withColumn("_vez", F.explode(F.sequence(F.lit(1), F.col("veces")))).drop(
         "_vez", "veces"
@@ -160,7 +169,7 @@ def horario_efectivo(
     pares: DataFrame, horarios_disponibles: DataFrame, horarios_fecha: DataFrame
 ) -> DataFrame:
     """Schedule in force on each pair: its dated rows if it has any, else its weekly rows."""
-    return _repetir(rangos_efectivos(pares, horarios_disponibles, horarios_fecha)).select(
+    return repetir(rangos_efectivos(pares, horarios_disponibles, horarios_fecha)).select(
         *DIA, hms("ini").alias("hora_inicio"), hms("fin").alias("hora_fin"),
         F.col("dur").alias("duracion_cita_min"), "es_override",
     )
@@ -229,15 +238,15 @@ def quitar_dias_cerrados(rangos: DataFrame, cerrados: DataFrame) -> DataFrame:
 
 
 def _libres(
-    rangos: DataFrame, citas: DataFrame, bloqueos: DataFrame, restar_bloqueos: bool
+    rangos: DataFrame, ocupadas: DataFrame, bloqueos: DataFrame, restar_bloqueos: bool
 ) -> DataFrame:
     if restar_bloqueos:
         rangos = quitar_dias_cerrados(rangos, dias_cerrados(bloqueos))
     slots = generar_slots(rangos)
     if restar_bloqueos:
         slots = quitar_bloqueados(slots, horas_bloqueadas(bloqueos))
-    slots = quitar_ocupados(slots, horas_ocupadas(citas))
-    return _repetir(slots).select(
+    slots = quitar_ocupados(slots, ocupadas)
+    return repetir(slots).select(
         *DIA, hms("slot_ini").alias("hora_inicio"), hms("slot_fin").alias("hora_fin")
     )
 
@@ -253,10 +262,10 @@ def disponibilidad(
     ranges give a slot each.  ``fin_override`` is explained at ``rangos_de_fecha``; its default
     checks each slot against its own range.  ``restar_bloqueos=False`` ignores blocks.
     """
-    pares = pares.select(*DIA).distinct()
+    pocas = son_pocas(pares)
     return _libres(
-        rangos_efectivos(pares, horarios_disponibles, horarios_fecha, fin_override),
-        citas.join(pares, DIA, "left_semi"), bloqueos, restar_bloqueos,
+        rangos_efectivos(pares, horarios_disponibles, horarios_fecha, fin_override, pocas),
+        reducir_a(citas, pares, DIA, horas_ocupadas, pocas), bloqueos, restar_bloqueos,
     )
 
 
@@ -270,12 +279,12 @@ def disponibilidad_rango(
     fechados = entre_fechas(horarios_fecha, desde, hasta)
     rangos = _unir(
         rangos_semanales_entre(audiologos, horarios_disponibles, desde, hasta),
-        rangos_de_fecha(fechados.join(quienes, "audiologo_id", "left_semi"), fin_override),
-        fechados,
+        rangos_de_fecha(fechados, fin_override).join(quienes, "audiologo_id", "left_semi"),
+        dias_con_fecha(fechados),
     )
     return _libres(
-        rangos, entre_fechas(citas, desde, hasta), entre_fechas(bloqueos, desde, hasta),
-        restar_bloqueos,
+        rangos, horas_ocupadas(entre_fechas(citas, desde, hasta)),
+        entre_fechas(bloqueos, desde, hasta), restar_bloqueos,
     )
 
 

@@ -13,9 +13,9 @@ from turnero.functions.texto import activa, presente, vacio_a_nulo
 from turnero.functions.tiempo import hhmmss, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
 from turnero.operators.reservas import (
-    DIA, Estado, Resultado, _agregar, _existe, _ids_texto, _separar, id_estable, marcar_actualizado, primeras,
+    DIA, Estado, Resultado, agregar, marcar_existente, ids_texto, con_turno, id_estable, marcar_actualizado, primeras,
 )
-from turnero.sources.tablas import materializar
+from turnero.sources.tablas import materializar, reducir_a, son_pocas
 
 CAMPOS = ["sede_id", "audiologo_id", "nombre", "telefono"]
 DATOS = [
@@ -60,7 +60,7 @@ def revisar_ediciones(citas: DataFrame, cambios: DataFrame) -> DataFrame:
     con_regla = revisados.filter(activa("_estado"))
     # Staying in the slot is always possible, so only those that move compete for one.
     mueven = con_regla.filter(~F.col("_conserva")).select("id", "orden", *DIA, "hora_inicio")
-    ganan = _separar(mueven, citas, ["orden", "id"]).select("id")
+    ganan = con_turno(mueven, citas, ["orden", "id"]).select("id")
     pierden = mueven.join(ganan, "id", "left_anti").select("id", F.lit(True).alias("_pierde"))
     return (
         revisados.join(pierden, "id", "left")
@@ -114,11 +114,12 @@ def pacientes_del_panel(
     patient, named by the first form.  A phone with several stored patients finds none of them, so
     each of its forms gets a new patient.
     """
-    telefonos = validas.select("telefono").distinct()
-    conocidos = (
-        pacientes.join(telefonos, "telefono", "left_semi").groupBy("telefono")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("id").cast("string").alias("_id"))
-    )
+    def contar(df: DataFrame) -> DataFrame:
+        return df.groupBy("telefono").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("id").cast("string").alias("_id")
+        )
+
+    conocidos = reducir_a(pacientes, validas, ["telefono"], contar, son_pocas(validas))
     propio = id_estable("paciente-panel", "solicitud_id")
     comun = id_estable("paciente", "telefono")
     con_id = (
@@ -147,8 +148,8 @@ def guardar_panel(
     """
     completas, incompletas = separar_validas(ediciones)
     con_paciente, nuevos = pacientes_del_panel(estado.pacientes, completas)
-    df = _existe(con_paciente, "audiologo_id", estado.audiologos, "_a")
-    df = _existe(df, "sede_id", estado.sedes, "_s").withColumn(
+    df = marcar_existente(con_paciente, "audiologo_id", estado.audiologos, "_a")
+    df = marcar_existente(df, "sede_id", estado.sedes, "_s").withColumn(
         "motivo_rechazo",
         F.when(F.col("fecha").isNull(), "falta_fecha")
         .when(seg("hora_inicio").isNull(), "falta_hora")
@@ -158,7 +159,7 @@ def guardar_panel(
     df = materializar(df, "formularios")
     guardables = df.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
-    citas = _ids_texto(estado.citas)
+    citas = ids_texto(estado.citas)
     cambios = guardables.filter(F.col("cita_id").isNotNull()).select(
         F.col("cita_id").cast("string").alias("id"),
         F.struct("recibida_en", "solicitud_id").alias("orden"),
@@ -169,7 +170,7 @@ def guardar_panel(
 
     altas = guardables.filter(F.col("cita_id").isNull())
     ganan = materializar(
-        _separar(
+        con_turno(
             altas.select("recibida_en", "solicitud_id", *DIA, "hora_inicio"),
             editadas, ["recibida_en", "solicitud_id"],
         ).select("solicitud_id"),
@@ -197,6 +198,6 @@ def guardar_panel(
     return Resultado(
         aceptadas=aceptadas,
         rechazadas=rechazadas,
-        pacientes=_agregar(pacientes, nuevos, "pacientes", ahora),
-        citas=_agregar(editadas, aceptadas, "citas", ahora),
+        pacientes=agregar(pacientes, nuevos, "pacientes", ahora),
+        citas=agregar(editadas, aceptadas, "citas", ahora),
     )

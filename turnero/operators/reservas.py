@@ -5,8 +5,8 @@ when no active appointment holds its professional, date and start and no earlier
 the batch asked for it.  Rejected requests are data, each with its reason, and leave no trace in the
 tables: patients are created or updated only for accepted ones.
 
-How it scales.  A batch is usually small beside the stored tables, so those are first narrowed to
-the keys of the batch by semi joins, which need no shuffle of the large side when the keys are few.
+How it scales.  A batch is usually small beside the stored tables, so those are narrowed to its
+keys: by broadcasting the keys when a count shows they are few, else after a map-side reduction.
 The winner of a contested slot comes from a filtered ``row_number``, which Spark limits per group
 before the shuffle, and the loser is whoever is not among the winners, so a slot wanted by a third
 of all requests never gathers them in one task.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
-from turnero.sources.tablas import con_valores_por_defecto, materializar
+from turnero.sources.tablas import con_valores_por_defecto, materializar, reducir_a, son_pocas
 
 DIA = ["audiologo_id", "fecha"]
 LLEGADA = ["recibida_en", "solicitud_id"]
@@ -58,7 +58,7 @@ def id_estable(prefijo: str, *columnas) -> Column:
 # ---- Validity ----
 
 
-def _existe(df: DataFrame, clave: str, padre: DataFrame, marca: str) -> DataFrame:
+def marcar_existente(df: DataFrame, clave: str, padre: DataFrame, marca: str) -> DataFrame:
     ids = padre.select(F.col("id").alias(clave), F.lit(True).alias(marca))
     return df.join(ids, clave, "left")
 
@@ -70,8 +70,8 @@ def validar_solicitudes(
 
     Name, phone, date and start are required.  Professional and site may be null but must exist.
     """
-    df = _existe(solicitudes, "audiologo_id", audiologos, "_a")
-    df = _existe(df, "sede_id", sedes, "_s")
+    df = marcar_existente(solicitudes, "audiologo_id", audiologos, "_a")
+    df = marcar_existente(df, "sede_id", sedes, "_s")
     motivo = (
         F.when(F.col("nombre").isNull(), "falta_nombre")
         .when(F.col("telefono").isNull(), "falta_telefono")
@@ -93,20 +93,20 @@ def _primera_duracion(horario: DataFrame, clave: list[str], nombre: str) -> Data
 
 
 def resolver_duracion(
-    solicitudes: DataFrame, horarios_fecha: DataFrame, horarios_disponibles: DataFrame
+    solicitudes: DataFrame, horarios_fecha: DataFrame, horarios_disponibles: DataFrame,
+    pocas: bool | None = None,
 ) -> DataFrame:
     """Adds ``duracion``: of the dated row, else of the weekly row, else the default.
 
     Only the first row of a key is asked; when its length is null the next level decides.
     """
-    dias = solicitudes.select(*DIA).distinct()
-    quienes = solicitudes.select("audiologo_id").distinct()
-    de_fecha = _primera_duracion(
-        horarios_fecha.join(dias, DIA, "left_semi"), DIA, "_dur_fecha"
+    pocas = son_pocas(solicitudes) if pocas is None else pocas
+    de_fecha = reducir_a(
+        horarios_fecha, solicitudes, DIA, lambda h: _primera_duracion(h, DIA, "_dur_fecha"), pocas
     )
-    semanal = _primera_duracion(
-        horarios_disponibles.join(quienes, "audiologo_id", "left_semi"),
-        ["audiologo_id", "dia_semana"], "_dur_semana",
+    semanal = reducir_a(
+        horarios_disponibles, solicitudes, ["audiologo_id"],
+        lambda h: _primera_duracion(h, ["audiologo_id", "dia_semana"], "_dur_semana"), pocas,
     )
     return (
         solicitudes.join(de_fecha, DIA, "left")
@@ -123,12 +123,13 @@ def resolver_duracion(
 # ---- Slots taken and first come ----
 
 
-def claves_tomadas(citas: DataFrame, claves: DataFrame) -> DataFrame:
-    """Which of the distinct ``claves`` (professional, date, ``ini``) an active appointment holds."""
-    return (
-        citas.filter(activa()).withColumn("ini", seg("hora_inicio"))
-        .join(claves, [*DIA, "ini"], "left_semi").select(*DIA, "ini").distinct()
+def claves_tomadas(citas: DataFrame, claves: DataFrame, pocas: bool) -> DataFrame:
+    """Which of the ``claves`` (professional, date, ``ini``) an active appointment holds."""
+    clave = [*DIA, "ini"]
+    activas = citas.filter(activa() & F.col("audiologo_id").isNotNull()).select(
+        *DIA, seg("hora_inicio").alias("ini")
     )
+    return reducir_a(activas, claves, clave, DataFrame.distinct, pocas)
 
 
 def primeras(df: DataFrame, clave: list[str], orden: list) -> DataFrame:
@@ -137,7 +138,7 @@ def primeras(df: DataFrame, clave: list[str], orden: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def _separar(
+def con_turno(
     candidatas: DataFrame, citas: DataFrame, orden: list[str], lote: DataFrame | None = None
 ) -> DataFrame:
     """The candidates that get their slot; those without a professional always do.
@@ -149,7 +150,7 @@ def _separar(
     con_clave = candidatas.filter(F.col("audiologo_id").isNotNull())
     ganadoras = primeras(con_clave, [*DIA, "ini"], orden)
     tomadas = claves_tomadas(
-        citas, lote.select(*DIA, seg("hora_inicio").alias("ini")).distinct()
+        citas, lote.select(*DIA, seg("hora_inicio").alias("ini")), son_pocas(lote)
     )
     return (
         ganadoras.join(tomadas, [*DIA, "ini"], "left_anti")
@@ -161,24 +162,30 @@ def _separar(
 # ---- Patients ----
 
 
-def paciente_por_telefono(pacientes: DataFrame, telefonos: DataFrame | None = None) -> DataFrame:
-    """One patient per phone: the least (``creado_en``, ``id``) of those who share it."""
-    if telefonos is not None:
-        pacientes = pacientes.join(telefonos, "telefono", "left_semi")
-    orden = [c for c in ("creado_en", "id") if c in pacientes.columns]
-    return (
-        pacientes.filter(F.col("telefono").isNotNull()).groupBy("telefono")
-        .agg(F.min_by("id", F.struct(*orden)).cast("string").alias("paciente_id"))
-    )
+def paciente_por_telefono(
+    pacientes: DataFrame, solicitudes: DataFrame, pocas: bool | None = None
+) -> DataFrame:
+    """One patient per phone of the requests: the least (``creado_en``, ``id``) that has it."""
+    pocas = son_pocas(solicitudes) if pocas is None else pocas
+    orden = F.struct(*[c for c in ("creado_en", "id") if c in pacientes.columns])
+
+    def primero(df: DataFrame) -> DataFrame:
+        return df.groupBy("telefono").agg(
+            F.min_by("id", orden).cast("string").alias("paciente_id")
+        )
+
+    con_telefono = pacientes.filter(F.col("telefono").isNotNull())
+    return reducir_a(con_telefono, solicitudes, ["telefono"], primero, pocas)
 
 
 def lookup_paciente(pacientes: DataFrame, solicitudes: DataFrame) -> DataFrame:
     """Requests with the id of the stored patient of their phone, or null."""
-    telefonos = solicitudes.select("telefono").distinct()
-    return solicitudes.join(paciente_por_telefono(pacientes, telefonos), "telefono", "left")
+    return solicitudes.join(paciente_por_telefono(pacientes, solicitudes), "telefono", "left")
 
 
-def novedades_pacientes(pacientes: DataFrame, aceptadas: DataFrame) -> DataFrame:
+def novedades_pacientes(
+    pacientes: DataFrame, aceptadas: DataFrame, pocas: bool | None = None
+) -> DataFrame:
     """Per phone of the accepted requests: patient id, whether it is new, newest values.
 
     The newest name wins; the newest e-mail and insurer that are not null win.
@@ -191,7 +198,7 @@ def novedades_pacientes(pacientes: DataFrame, aceptadas: DataFrame) -> DataFrame
     por_telefono = aceptadas.groupBy("telefono").agg(
         F.max_by("nombre", orden).alias("nombre_nuevo"), ultimo("email"), ultimo("eps")
     )
-    conocidos = paciente_por_telefono(pacientes, aceptadas.select("telefono").distinct())
+    conocidos = paciente_por_telefono(pacientes, aceptadas, pocas)
     return (
         por_telefono.join(conocidos, "telefono", "left")
         .withColumn("es_nuevo", F.col("paciente_id").isNull())
@@ -222,10 +229,10 @@ def aplicar_novedades(
         F.col("paciente_id").alias("id"), F.col("nombre_nuevo").alias("nombre"), "telefono",
         F.col("email_nuevo").alias("email"), F.col("eps_nuevo").alias("eps"),
     )
-    return _agregar(actualizados, nuevos, "pacientes", ahora)
+    return agregar(actualizados, nuevos, "pacientes", ahora)
 
 
-def _agregar(tabla: DataFrame, nuevas: DataFrame, nombre: str, ahora: Column | None) -> DataFrame:
+def agregar(tabla: DataFrame, nuevas: DataFrame, nombre: str, ahora: Column | None) -> DataFrame:
     """Adds rows with the defaults of the columns the table has."""
     ahora = F.current_timestamp() if ahora is None else ahora
     con_todo = con_valores_por_defecto(nuevas, nombre, ahora)
@@ -253,7 +260,7 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
     """
     revisadas = validar_solicitudes(solicitudes, estado.audiologos, estado.sedes)
     validas = revisadas.filter(F.col("motivo_rechazo").isNull())
-    ganadoras = _separar(
+    ganadoras = con_turno(
         validas.select(*LLEGADA, *DIA, "hora_inicio"), estado.citas, LLEGADA, solicitudes
     ).select("solicitud_id", F.lit(True).alias("_gana"))
     return (
@@ -268,11 +275,15 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
     )
 
 
-def aceptar(aceptadas: DataFrame, estado: Estado, novedades: DataFrame) -> DataFrame:
+def aceptar(
+    aceptadas: DataFrame, estado: Estado, novedades: DataFrame, pocas: bool | None = None
+) -> DataFrame:
     """Accepted requests with appointment id, patient id, duration and end."""
     ids = novedades.select("telefono", "paciente_id")
     return (
-        resolver_duracion(aceptadas, estado.horarios_fecha, estado.horarios_disponibles)
+        resolver_duracion(
+            aceptadas, estado.horarios_fecha, estado.horarios_disponibles, pocas
+        )
         .join(ids, "telefono", "left")
         .withColumn("cita_id", id_estable("cita", "solicitud_id"))
         .withColumn("hora_fin", hms(seg("hora_inicio") + F.col("duracion") * 60))
@@ -289,7 +300,7 @@ def citas_de(aceptadas: DataFrame) -> DataFrame:
     )
 
 
-def _ids_texto(citas: DataFrame) -> DataFrame:
+def ids_texto(citas: DataFrame) -> DataFrame:
     return citas.withColumns({c: F.col(c).cast("string") for c in ("id", "paciente_id")})
 
 
@@ -312,13 +323,14 @@ def reservar(
     lote = completar_opcionales(solicitudes)
     decididas = materializar(decidir(lote, estado), "decisiones")
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
-    novedades = novedades_pacientes(estado.pacientes, ok)
-    aceptadas = aceptar(ok, estado, novedades)
+    pocas = son_pocas(ok)
+    novedades = novedades_pacientes(estado.pacientes, ok, pocas)
+    aceptadas = aceptar(ok, estado, novedades, pocas)
     return Resultado(
         aceptadas=aceptadas,
         rechazadas=decididas.filter(F.col("motivo_rechazo").isNotNull()),
         pacientes=aplicar_novedades(estado.pacientes, novedades, ahora),
-        citas=_agregar(_ids_texto(estado.citas), citas_de(aceptadas), "citas", ahora),
+        citas=agregar(ids_texto(estado.citas), citas_de(aceptadas), "citas", ahora),
     )
 
 
@@ -357,7 +369,7 @@ def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
         F.col("_existe") & F.col("_valido") & ~activa("estado") & activa("nuevo")
     )
     liberan = revisados.filter(F.col("_valido") & ~activa("nuevo")).select("id")
-    ganan = _separar(
+    ganan = con_turno(
         reviven.select("id", "orden", *DIA, "hora_inicio"),
         citas.join(liberan, "id", "left_anti"), ["orden", "id"],
     ).select("id")

@@ -132,8 +132,8 @@ def generar_slots(t):
       {hm('ini + (k + 1) * dur', 'hora_fin')} from cortados""",
 )
 def slots_lateral(t):
-    rangos = d._contar_iguales(t.horarios_disponibles, ["audiologo_id", "dia_semana"])
-    return d._repetir(d.generar_slots(rangos.withColumn("corte", F.lit(None).cast("int")))).select(
+    rangos = d.rangos_por_semana(t.horarios_disponibles)
+    return d.repetir(d.generar_slots(rangos.withColumn("corte", F.lit(None).cast("int")))).select(
         "audiologo_id", "dia_semana", hms("slot_ini").alias("hora_inicio"),
         hms("slot_fin").alias("hora_fin"),
     )
@@ -164,7 +164,7 @@ def anti_dia_completo(t):
 )
 def prioridad_override(t):
     semanales = d.rangos_semanales_entre(t.audiologos, t.horarios_disponibles, DESDE, HASTA)
-    return d._repetir(d.prioridad_override(semanales, t.horarios_fecha)).select(
+    return d.repetir(d.prioridad_override(semanales, d.dias_con_fecha(t.horarios_fecha))).select(
         "audiologo_id", "fecha", hms("ini").alias("hora_inicio"), hms("fin").alias("hora_fin"),
         "dur",
     )

@@ -300,7 +300,7 @@ def editar_cita(t):
         F.struct("recibida_en", "solicitud_id").alias("orden"), "paciente_id", "audiologo_id",
         "sede_id", "fecha", "hora_inicio", F.col("motivo").alias("motivo_consulta"), "notas",
     )
-    return panel.editar(r._ids_texto(t.citas), cambios)[0].select(*CITA)
+    return panel.editar(r.ids_texto(t.citas), cambios)[0].select(*CITA)
 
 
 @consulta(

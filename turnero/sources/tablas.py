@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -123,3 +124,29 @@ def materializar(df: DataFrame, nombre: str) -> DataFrame:
     ruta = carpeta_de_trabajo(df.sparkSession, nombre)
     df.write.parquet(ruta)
     return df.sparkSession.read.schema(df.schema).parquet(ruta)
+
+
+# Rows a key set may have to be sent to every executor: a few tens of megabytes.
+POCAS = 200_000
+
+
+def son_pocas(df: DataFrame) -> bool:
+    """Whether ``df`` has few enough rows to be broadcast; looks at no more than that many."""
+    return df.limit(POCAS + 1).count() <= POCAS
+
+
+def reducir_a(
+    grande: DataFrame, claves: DataFrame, columnas: list[str],
+    reducir: Callable[[DataFrame], DataFrame], pocas: bool,
+) -> DataFrame:
+    """``reducir`` applied to the rows of ``grande`` whose ``columnas`` occur in ``claves``.
+
+    ``reducir`` must aggregate by ``columnas`` or more.  With few keys (``pocas``, see
+    ``son_pocas``) they are broadcast and only the matching rows move.  With many, rows are reduced
+    first: the aggregation shrinks a crowded key on the map side, where a join would bring all of
+    its rows into one task.
+    """
+    claves = claves.select(*columnas).distinct()
+    if pocas:
+        return reducir(grande.join(F.broadcast(claves), columnas, "left_semi"))
+    return reducir(grande).join(claves, columnas, "left_semi")

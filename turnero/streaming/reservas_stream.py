@@ -24,7 +24,7 @@ from turnero.operators.reservas import (
     Estado, aceptar, aplicar_novedades, citas_de, completar_opcionales, decidir,
     novedades_pacientes, primeras,
 )
-from turnero.sources.tablas import con_valores_por_defecto
+from turnero.sources.tablas import con_valores_por_defecto, son_pocas
 
 
 def _lote(carpeta: str, nombre: str, batch_id: int) -> str:
@@ -92,7 +92,8 @@ def procesar_lote(
     decididas = _escribir(decidir(lote, estado), carpeta, "decisiones", batch_id)
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
-    novedades = novedades_pacientes(estado.pacientes, ok)
+    pocas = son_pocas(ok)
+    novedades = novedades_pacientes(estado.pacientes, ok, pocas)
     conocidos = estado.pacientes.join(
         novedades.select(F.col("paciente_id").alias("id")), "id", "left_semi"
     )
@@ -100,7 +101,7 @@ def procesar_lote(
         aplicar_novedades(conocidos, novedades, ahora), carpeta, "pacientes", batch_id
     )
     nuevas = con_valores_por_defecto(
-        citas_de(aceptar(ok, estado, novedades)), "citas",
+        citas_de(aceptar(ok, estado, novedades, pocas)), "citas",
         F.current_timestamp() if ahora is None else ahora,
     )
     faltan = {
