@@ -78,7 +78,9 @@ def test_detalle_y_agenda(spark):
         ("c3", "8:00 am", "Paciente", "Norte", "Confirmada", ["editar", "cancelar"]),
     ]
     assert filas(i.filtrar_citas(t[0], LUNES, "2026-08-10", sede="s1", estado="pendiente"), "id") == [("c1",)]
-    assert filas(i.agenda_por_dia(t[0]), "id", "citas_del_dia") == [("c1", 2), ("c2", 2), ("c3", 1)]
+    por_dia = i.agenda_por_dia(t[0]).select("etiqueta_dia", "id").collect()
+    assert [tuple(x) for x in por_dia] == [
+        ("lunes, 3 de agosto", "c2"), ("lunes, 3 de agosto", "c1"), ("martes, 4 de agosto", "c3")]
     assert filas(i.badges_sede(t[3], t[0], LUNES), "id", "n") == [("s1", 1)]
 
 

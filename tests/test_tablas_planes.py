@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entrada
 from tests.tablas_prueba import bloqueos, citas, fechado, filas
-from turnero.operators import disponibilidad as d, reservas as r
+from turnero.operators import disponibilidad as d, horarios as h, reservas as r
 from turnero.plans import informes as i
 from turnero.sources import tablas as t
 from turnero.sources.derivadas import Derivadas
@@ -86,6 +86,15 @@ def test_disponibilidad_no_vuelve_a_repartir(spark, sin_difusion):
     assert tronco[2].count("Exchange") == 0
 
 
+def test_claves_repetidas_dejan_dividir_el_otro_lado(spark, sin_difusion):
+    """Both sides of the join are exchanges, which is what AQE needs to split a crowded key."""
+    df = fechado(spark, [("1", "a", "2026-08-03", "08:00:00", "09:00:00", 30)])
+    p = plan(h.quitar_excepcion(df.repartition(4), df.select("audiologo_id", "fecha")))
+    lineas = [x.strip(" :+-*()0123456789") for x in p.split("\n")]
+    ordenes = [k for k, x in enumerate(lineas) if x.startswith("Sort [")]
+    assert len(ordenes) == 2 and all(lineas[k + 1].startswith("Exchange hash") for k in ordenes)
+
+
 def test_filtros_llegan_al_archivo(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     c = str(tmp_path)

@@ -14,6 +14,7 @@ from turnero.functions.texto import activa
 from turnero.functions.tiempo import hms, seg
 from turnero.functions.valores import ESTADOS
 from turnero.sources.esquemas import FORANEAS, OBLIGATORIAS
+from turnero.sources.tablas import claves_distintas
 
 CLAVE = ["audiologo_id", "fecha", "hora_inicio"]
 
@@ -115,7 +116,9 @@ def borrar_restringido(
     rechazados = _union(rechazos) if rechazos else pedidos.filter("false").withColumn(
         "tabla", F.lit("")
     )
-    se_van = pedidos.join(rechazados.select("id").distinct(), "id", "left_anti")
+    se_van = claves_distintas(
+        pedidos.join(rechazados.select("id").distinct(), "id", "left_anti"), ["id"]
+    )
     cambiadas = {nombre_padre: tablas[nombre_padre].join(se_van, "id", "left_anti")}
     for hija, fk, _, regla in aristas:
         if regla == "cascade":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from turnero.functions.tiempo import hhmmss, serie_fechas
-from turnero.sources.tablas import anexar
+from turnero.sources.tablas import anexar, claves_distintas
 
 
 def sedes_activas(sedes: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def por_nombre(lista: DataFrame, audiologos: DataFrame) -> tuple[DataFrame, Data
     ids = audiologos.select("nombre", F.col("id").alias("audiologo_id"))
     return (
         lista.join(ids, "nombre"),
-        lista.join(ids.select("nombre").distinct(), "nombre", "left_anti"),
+        lista.join(claves_distintas(ids, ["nombre"]), "nombre", "left_anti"),
     )
 
 
@@ -111,7 +111,9 @@ def borrar_bloqueos(
         cae = cae & F.coalesce(F.col("fecha") <= F.lit(hasta).cast("date"), F.lit(False))
     if audiologos is None:
         return bloqueos.filter(~cae)
-    quienes = audiologos.select(F.col("audiologo_id").alias("_quien")).distinct()
+    quienes = claves_distintas(
+        audiologos.select(F.col("audiologo_id").alias("_quien")), ["_quien"]
+    )
     return bloqueos.join(quienes, (F.col("audiologo_id") == F.col("_quien")) & cae, "left_anti")
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnero.functions.texto import duracion_o_defecto, presente
 from turnero.functions.tiempo import hhmmss
 from turnero.functions.valores import DURACION_POR_DEFECTO
-from turnero.sources.tablas import anexar
+from turnero.operators.catalogo import por_nombre
+from turnero.sources.tablas import anexar, claves_distintas
 
 SEMANA = ["audiologo_id", "dia_semana", "hora_inicio", "hora_fin", "duracion_cita_min"]
 FECHA = ["audiologo_id", "fecha", "hora_inicio", "hora_fin", "duracion_cita_min"]
@@ -30,7 +31,7 @@ def limpiar_bloques(bloques: DataFrame) -> DataFrame:
 
 
 def _sin_claves(tabla: DataFrame, claves: DataFrame, columnas: list[str]) -> DataFrame:
-    return tabla.join(claves.select(*columnas).distinct(), columnas, "left_anti")
+    return tabla.join(claves_distintas(claves, columnas), columnas, "left_anti")
 
 
 def _plantilla(filas: Iterable[tuple]) -> Column:
@@ -96,7 +97,8 @@ def copiar_dias(
     )
     copias = (
         horarios_disponibles.filter(F.col("dia_semana") == origen)
-        .join(quienes, "audiologo_id", "left_semi").drop("dia_semana")
+        .join(claves_distintas(claves, ["audiologo_id"]), "audiologo_id", "left_semi")
+        .drop("dia_semana")
         .withColumn("dia_semana", F.explode(F.array(*[F.lit(d) for d in destinos])))
         .select(*SEMANA)
     )
@@ -136,8 +138,8 @@ def cargar_roster(
     Returns exceptions, weekly rows without those of the professionals on the roster, and the
     roster rows whose name matches nobody.  A name shared by several professionals counts for each.
     """
-    ids = audiologos.select("nombre", F.col("id").alias("audiologo_id"))
-    filas = roster.join(ids, "nombre").select(
+    cruzadas, sin_cruce = por_nombre(roster, audiologos)
+    filas = cruzadas.select(
         "audiologo_id", F.col("fecha").cast("date").alias("fecha"),
         hhmmss("hora_inicio").alias("hora_inicio"), hhmmss("hora_fin").alias("hora_fin"),
         F.lit(DURACION_POR_DEFECTO).alias("duracion_cita_min"),
@@ -145,5 +147,5 @@ def cargar_roster(
     return (
         anexar(horarios_fecha, filas, lote),
         _sin_claves(horarios_disponibles, filas, ["audiologo_id"]),
-        roster.join(ids.select("nombre").distinct(), "nombre", "left_anti"),
+        sin_cruce,
     )

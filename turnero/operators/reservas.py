@@ -108,15 +108,18 @@ def resolver_duracion(
         horarios_disponibles, solicitudes, ["audiologo_id"],
         lambda h: _primera_duracion(h, ["audiologo_id", "dia_semana"], "_dur_semana"), pocas,
     )
+    # Without a professional there is no schedule to ask, and no key to gather such requests by.
+    con_profesional = F.col("audiologo_id").isNotNull()
+    por_defecto = F.lit(DURACION_POR_DEFECTO)
     return (
-        solicitudes.join(de_fecha, DIA, "left")
+        solicitudes.filter(con_profesional).join(de_fecha, DIA, "left")
         .withColumn("dia_semana", dow("fecha"))
         .join(semanal, ["audiologo_id", "dia_semana"], "left")
-        .withColumn(
-            "duracion",
-            F.coalesce("_dur_fecha", "_dur_semana", F.lit(DURACION_POR_DEFECTO)),
-        )
+        .withColumn("duracion", F.coalesce("_dur_fecha", "_dur_semana", por_defecto))
         .select(*solicitudes.columns, "duracion")
+        .unionByName(
+            solicitudes.filter(~con_profesional).withColumn("duracion", por_defecto)
+        )
     )
 
 
@@ -324,7 +327,7 @@ def reservar(
     decididas = materializar(decidir(lote, estado), "decisiones")
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
     pocas = son_pocas(ok)
-    novedades = novedades_pacientes(estado.pacientes, ok, pocas)
+    novedades = materializar(novedades_pacientes(estado.pacientes, ok, pocas), "novedades")
     aceptadas = aceptar(ok, estado, novedades, pocas)
     return Resultado(
         aceptadas=aceptadas,

@@ -119,8 +119,7 @@ def agenda(t):
 
 @consulta(
     "agenda_por_dia",
-    f"""select fecha, {hm('ini', 'hora_inicio')}, id, count(*) over (partition by fecha) citas_del_dia,
-      {fecha_larga('fecha')} etiqueta_dia from citas""",
+    f"select fecha, {hm('ini', 'hora_inicio')}, id, {fecha_larga('fecha')} etiqueta_dia from citas",
 )
 def agenda_por_dia(t):
     return i.agenda_por_dia(t.citas)

@@ -16,6 +16,7 @@ from turnero.functions.tiempo import (
     dow, fmt_fecha_grupo, fmt_hora, hhmm, nombre_dia, orden_dia, serie_dias, serie_fechas,
 )
 from turnero.operators.catalogo import sedes_activas
+from turnero.sources.tablas import claves_distintas
 
 
 def _uno() -> Column:
@@ -82,13 +83,10 @@ def rango_por_defecto(hoy: str) -> tuple[Column, Column]:
 
 
 def agenda_por_dia(citas: DataFrame) -> DataFrame:
-    """Appointments by date and start (then id), each with the label and size of its day."""
-    por_dia = citas.groupBy("fecha").agg(_uno().alias("citas_del_dia"))
-    return (
-        citas.select("fecha", "hora_inicio", "id").join(por_dia, "fecha")
-        .withColumn("etiqueta_dia", fmt_fecha_grupo("fecha"))
-        .orderBy("fecha", "hora_inicio", "id")
-    )
+    """Appointments by date and start (then id), each with the label of its day."""
+    return citas.select(
+        "fecha", fmt_fecha_grupo("fecha").alias("etiqueta_dia"), "hora_inicio", "id"
+    ).orderBy("fecha", "hora_inicio", "id")
 
 
 def agenda(
@@ -271,8 +269,8 @@ def calendario(
 def bloques_del_dia(horarios_fecha: DataFrame, claves: DataFrame) -> DataFrame:
     """Exception blocks of the given (professional, date) keys, by start."""
     return (
-        horarios_fecha.join(claves.select("audiologo_id", "fecha").distinct(),
-                            ["audiologo_id", "fecha"], "left_semi")
+        horarios_fecha
+        .join(claves_distintas(claves, ["audiologo_id", "fecha"]), ["audiologo_id", "fecha"], "left_semi")
         .select(
             "audiologo_id", "fecha", hhmm("hora_inicio").alias("hora_inicio"),
             hhmm("hora_fin").alias("hora_fin"), "duracion_cita_min",

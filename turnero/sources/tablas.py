@@ -126,6 +126,16 @@ def materializar(df: DataFrame, nombre: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(ruta)
 
 
+def claves_distintas(df: DataFrame, columnas: list[str]) -> DataFrame:
+    """Distinct keys for the small side of a semi or anti join.
+
+    A plain ``distinct`` leaves its rows where the join wants them, so the join adds no exchange on
+    that side, and AQE splits a crowded key of the other side only between two exchanges.  Grouping
+    by a hash as well makes the keys move once more, after they were reduced.
+    """
+    return df.select(*columnas, F.hash(*columnas).alias("_sal")).distinct().drop("_sal")
+
+
 # Rows a key set may have to be sent to every executor: a few tens of megabytes.
 POCAS = 200_000
 

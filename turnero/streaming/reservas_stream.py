@@ -4,6 +4,7 @@ Each micro-batch is one bulk booking against the tables as the earlier batches l
 batch adds is kept under its own ``lote=<batch>`` folder:
 
 * ``decisiones``: every request with its reason, null when accepted;
+* ``novedades``: per phone of the accepted requests, what it adds or changes;
 * ``citas``: the new appointments;
 * ``pacientes``: the new or changed patients, whole rows.
 
@@ -93,7 +94,9 @@ def procesar_lote(
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
     pocas = son_pocas(ok)
-    novedades = novedades_pacientes(estado.pacientes, ok, pocas)
+    novedades = _escribir(
+        novedades_pacientes(estado.pacientes, ok, pocas), carpeta, "novedades", batch_id
+    )
     conocidos = estado.pacientes.join(
         novedades.select(F.col("paciente_id").alias("id")), "id", "left_semi"
     )
