@@ -95,30 +95,36 @@ def test_cierre_y_reapertura(spark, catalogo):
     assert hd.count() == 30 and filas(hf, "id") == [("g",)]
 
 
-# Dated shifts of one month: (name, morning days, afternoon days); 7 Aug, 17 Aug have nobody.
-TURNOS = {
-    "Viviana": ([3, 5, 10, 12], [14, 19, 21, 25, 27]),
-    "Carolina": ([11, 13, 18, 20, 24], [3, 5, 26, 28]),
-    "Angela": ([21, 25, 27, 31], [4, 6, 11, 13, 18]),
-}
+# Shifts rotate by rule over the weekdays of a month: morning, afternoon, free.
+PERSONAS = ["Vera", "Carla", "Alba"]
+LABORABLES = [k for k in range(1, 32) if dt.date(2026, 8, k).isoweekday() <= 5]
+
+
+def turno(p, k):
+    return (LABORABLES.index(k) + p) % 3
 
 
 def test_roster(spark):
-    a = audiologos(spark, [(n[0], n, "s8", True) for n in TURNOS] + [("Z", "Zoe", "s8", True)])
-    lista = []
-    for nombre, (manana, tarde) in TURNOS.items():
-        lista += [(nombre, f"2026-08-{k:02d}", "07:30", "13:00") for k in manana]
-        lista += [(nombre, f"2026-08-{k:02d}", "13:00", "16:30" if k in (14, 21, 28) else "17:00") for k in tarde]
+    a = audiologos(spark, [(n[0], n, "s8", True) for n in PERSONAS] + [("Z", "Zoe", "s8", True)])
+    lista, slots_de = [], dict.fromkeys("VCA", 0)
+    for p, nombre in enumerate(PERSONAS):
+        for k in LABORABLES:
+            viernes = dt.date(2026, 8, k).isoweekday() == 5
+            if turno(p, k) == 0:      # 07:30-13:00, eleven half hours
+                lista.append((nombre, f"2026-08-{k:02d}", "07:30", "13:00"))
+                slots_de[nombre[0]] += 11
+            elif turno(p, k) == 1:    # until 17:00, eight; on Fridays until 16:30, seven
+                lista.append((nombre, f"2026-08-{k:02d}", "13:00", "16:30" if viernes else "17:00"))
+                slots_de[nombre[0]] += 7 if viernes else 8
     roster = spark.createDataFrame(
         lista + [("Nadie", "2026-08-03", "07:30", "13:00")],
         "nombre string, fecha string, hora_inicio string, hora_fin string",
     )
     previo = semanal(spark, [("V", 1, "08:00:00", "17:00:00", 30), ("Z", 1, "08:00:00", "17:00:00", 30)])
     hf, hd, sin = h.cargar_roster(fechado(spark, []), previo, a, roster, "agosto")
-    assert hf.count() == 27 and filas(hd, "audiologo_id") == [("Z",)] and filas(sin, "nombre") == [("Nadie",)]
+    assert hf.count() == len(lista) and filas(hd, "audiologo_id") == [("Z",)] and filas(sin, "nombre") == [("Nadie",)]
     libres = d.disponibilidad_rango(a, "2026-08-01", "2026-08-31", semanal(spark, []), hf, i_citas(spark), bloqueos(spark, []))
-    por = filas(libres.groupBy("audiologo_id").count(), "audiologo_id", "count")
-    assert por == [("A", 84), ("C", 86), ("V", 82)]
+    assert dict(filas(libres.groupBy("audiologo_id").count(), "audiologo_id", "count")) == slots_de
     assert calidad.chk_pk({"horarios_fecha": hf}).count() == 0
 
 
@@ -176,8 +182,8 @@ def test_bloquear_espacios_y_borrar(spark):
 
 
 def test_sedes_y_nombres(spark):
-    s = sedes(spark, [("1", "Sede Usaquén", "X", False), ("2", "sede JAVERIANA", "X", False), ("3", "Usaquen", "X", False), ("4", None, "X", False)])
-    r = c.reactivar_sedes(s, ["%usaqué%", "%javeriana%"])
+    s = sedes(spark, [("1", "Sede Peñón", "X", False), ("2", "sede OESTE", "X", False), ("3", "Penon", "X", False), ("4", None, "X", False)])
+    r = c.reactivar_sedes(s, ["%peñó%", "%oeste%"])
     assert filas(r, "id", "activa") == [("1", True), ("2", True), ("3", False), ("4", False)]
     a = audiologos(spark, [("1", "P1", None, True), ("2", "P1", None, True), ("3", None, None, True)])
     assert filas(c.renombrar(a, {"P1": "Ana"}), "id", "nombre") == [("1", "Ana"), ("2", "Ana"), ("3", None)]

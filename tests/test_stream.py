@@ -1,7 +1,5 @@
 """Streaming intake equals one batch, also when a batch is run again."""
 
-import pytest
-
 from tests.tablas_prueba import estado, filas
 from tests.test_reservas import A, SOLICITUD, lote_al_azar, solicitudes
 from turnero.operators.reservas import reservar

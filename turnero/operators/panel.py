@@ -13,7 +13,8 @@ from turnero.functions.texto import activa, presente, vacio_a_nulo
 from turnero.functions.tiempo import hhmmss, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
 from turnero.operators.reservas import (
-    DIA, Estado, Resultado, agregar, marcar_existente, ids_texto, con_turno, id_estable, marcar_actualizado, primeras,
+    DIA, Estado, Resultado, agregar, con_turno, id_estable, ids_texto, marcar_actualizado,
+    marcar_existente, primeras,
 )
 from turnero.sources.tablas import materializar, reducir_a, son_pocas
 

@@ -13,7 +13,7 @@ from turnero.functions.texto import (
     acciones, activa, detalle_cita, etiqueta_estado, nombre_paciente,
 )
 from turnero.functions.tiempo import (
-    dow, fmt_fecha_grupo, fmt_hora, hhmm, nombre_dia, orden_dia, serie_dias, serie_fechas,
+    dow, fmt_fecha_grupo, fmt_hora, hhmm, nombre_dia, orden_dia, serie_dias,
 )
 from turnero.operators.catalogo import sedes_activas
 from turnero.sources.tablas import claves_distintas

@@ -10,8 +10,9 @@ batch adds is kept under its own ``lote=<batch>`` folder:
 
 A batch reads the stored tables plus the folders of *earlier* batches only and overwrites its own.
 Its ids are hashes and its rules are deterministic, so a batch that is run again after a failure
-writes the same rows again (pass ``ahora`` to fix the timestamps of new rows as well).  The stored tables are never rewritten: a batch moves data in
-proportion to itself.  Late requests are simply later in order; there is no event-time rule.
+writes the same rows again (pass ``ahora`` to fix the timestamps of new rows as well).  The stored
+tables are never rewritten: a batch moves data in proportion to itself.  Late requests are simply
+later in order; there is no event-time rule.
 """
 
 from __future__ import annotations
