@@ -259,12 +259,15 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
     """Every request with ``motivo_rechazo``: null when accepted.
 
     The accepted ones are found by slot and the rest follow by request id, which is unique, so no
-    step groups all requests of a contested slot.
+    step groups all requests of a contested slot.  The reviewed batch is written once and read by
+    the three branches that need it.
     """
-    revisadas = validar_solicitudes(solicitudes, estado.audiologos, estado.sedes)
+    revisadas = materializar(
+        validar_solicitudes(solicitudes, estado.audiologos, estado.sedes), "revisadas"
+    )
     validas = revisadas.filter(F.col("motivo_rechazo").isNull())
     ganadoras = con_turno(
-        validas.select(*LLEGADA, *DIA, "hora_inicio"), estado.citas, LLEGADA, solicitudes
+        validas.select(*LLEGADA, *DIA, "hora_inicio"), estado.citas, LLEGADA, revisadas
     ).select("solicitud_id", F.lit(True).alias("_gana"))
     return (
         revisadas.join(ganadoras, "solicitud_id", "left")
