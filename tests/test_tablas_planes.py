@@ -108,6 +108,21 @@ def test_filtros_llegan_al_archivo(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(mes" in podado
 
 
+def test_un_lote_solo_lee_sus_meses(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    c = str(tmp_path)
+    meses = [f"2026-{m:02d}-03" for m in range(1, 13)]
+    t.append_table(citas(spark, [cita(m, m) for m in meses]), c, "citas")
+    lote = citas(spark, [cita("x", "2026-08-03"), cita("y", "2026-09-03")])
+    df = t.en_fechas_de(spark.read.parquet(f"{c}/citas"), lote).select("id")
+    assert filas(df, "id") == [("2026-08-03",), ("2026-09-03",)]
+    assert "PartitionFilters: [isnotnull(mes" in plan(df) and "subquery" in plan(df)
+    claves = lote.select("audiologo_id", "fecha", F.lit(8 * 3600).alias("ini"))
+    for pocas in (True, False):
+        tomadas = r.claves_tomadas(spark.read.parquet(f"{c}/citas"), claves, pocas)
+        assert tomadas.count() == 2
+
+
 def test_ganadoras_se_limitan_antes_del_reparto(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     p = plan(r.primeras(df.repartition(4), ["k"], ["id"]))

@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
-from turnero.sources.tablas import con_valores_por_defecto, materializar, reducir_a, son_pocas
+from turnero.sources.tablas import (
+    con_valores_por_defecto, en_fechas_de, materializar, reducir_a, son_pocas,
+)
 
 DIA = ["audiologo_id", "fecha"]
 LLEGADA = ["recibida_en", "solicitud_id"]
@@ -102,7 +104,8 @@ def resolver_duracion(
     """
     pocas = son_pocas(solicitudes) if pocas is None else pocas
     de_fecha = reducir_a(
-        horarios_fecha, solicitudes, DIA, lambda h: _primera_duracion(h, DIA, "_dur_fecha"), pocas
+        en_fechas_de(horarios_fecha, solicitudes), solicitudes, DIA,
+        lambda h: _primera_duracion(h, DIA, "_dur_fecha"), pocas,
     )
     semanal = reducir_a(
         horarios_disponibles, solicitudes, ["audiologo_id"],
@@ -129,8 +132,9 @@ def resolver_duracion(
 def claves_tomadas(citas: DataFrame, claves: DataFrame, pocas: bool) -> DataFrame:
     """Which of the ``claves`` (professional, date, ``ini``) an active appointment holds."""
     clave = [*DIA, "ini"]
-    activas = citas.filter(activa() & F.col("audiologo_id").isNotNull()).select(
-        *DIA, seg("hora_inicio").alias("ini")
+    activas = (
+        en_fechas_de(citas, claves).filter(activa() & F.col("audiologo_id").isNotNull())
+        .select(*DIA, seg("hora_inicio").alias("ini"))
     )
     return reducir_a(activas, claves, clave, DataFrame.distinct, pocas)
 

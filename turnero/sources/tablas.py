@@ -34,6 +34,21 @@ def entre_fechas(df: DataFrame, desde: str, hasta: str) -> DataFrame:
     return df.filter(F.col("fecha").between(F.lit(desde).cast("date"), F.lit(hasta).cast("date")))
 
 
+def en_fechas_de(tabla: DataFrame, lote: DataFrame) -> DataFrame:
+    """Rows of ``tabla`` from the first to the last date of ``lote``.
+
+    The bounds are scalar subqueries, so they prune months and row groups when the scan starts:
+    a batch for the coming weeks does not read the appointments of past years.
+    """
+    limites = lote.agg(F.min("fecha").alias("desde"), F.max("fecha").alias("hasta"))
+    desde, hasta = limites.select("desde").scalar(), limites.select("hasta").scalar()
+    if "mes" in tabla.columns:
+        tabla = tabla.filter(
+            F.col("mes").between(F.date_format(desde, "yyyy-MM"), F.date_format(hasta, "yyyy-MM"))
+        )
+    return tabla.filter(F.col("fecha").between(desde, hasta))
+
+
 def _escritor(df: DataFrame, nombre: str):
     if nombre in FECHADAS:
         return con_mes(df).write.partitionBy("mes")
