@@ -7,6 +7,7 @@ either the whole old table or the whole new one, and a lost job leaves nothing h
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -121,13 +122,27 @@ def anexar(tabla: DataFrame, nuevas: DataFrame, lote: str = "", unicas: bool = F
     return tabla.unionByName(nuevas, allowMissingColumns=True)
 
 
-def carpeta_de_trabajo(spark: SparkSession, nombre: str) -> str:
-    """A new folder for one run, in the shared storage the session names.
+def carpeta_compartida(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only a session that names none, as in tests, gets a local temporary folder.
+    A local session that names none, as in tests, gets a folder of its own, set once for the
+    session; on a cluster a local folder would lose data, so there the setting is required.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnero-")
-    return f"{base.rstrip('/')}/{nombre}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        fijada = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = fijada.get() if fijada.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="turnero-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def carpeta_de_trabajo(spark: SparkSession, nombre: str) -> str:
+    """A new folder for one run, in the shared storage the session names."""
+    return f"{carpeta_compartida(spark)}/{nombre}-{uuid.uuid4().hex}"
 
 
 def materializar(df: DataFrame, nombre: str) -> DataFrame:
