@@ -145,14 +145,14 @@ def carpeta_de_trabajo(spark: SparkSession, nombre: str) -> str:
     return f"{carpeta_compartida(spark)}/{nombre}-{uuid.uuid4().hex}"
 
 
-def materializar(df: DataFrame, nombre: str) -> DataFrame:
-    """Writes ``df`` to a working folder and reads it back.
+def materializar(df: DataFrame, nombre: str, **opciones: str) -> DataFrame:
+    """Writes ``df`` to a working folder, with options of the Parquet writer, and reads it back.
 
     For a result that several later steps use: it is computed once, all steps see the same rows
     even when executors are lost, and the plan behind it is cut off.
     """
     ruta = carpeta_de_trabajo(df.sparkSession, nombre)
-    df.write.parquet(ruta)
+    df.write.options(**opciones).parquet(ruta)
     return df.sparkSession.read.schema(df.schema).parquet(ruta)
 
 
