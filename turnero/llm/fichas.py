@@ -1,17 +1,18 @@
 """Token ids in training order.
 
 Texts become token ids of a byte-level BPE vocabulary, each ended by ``FIN``, cut into sequences of
-``LARGO`` ids (the last one padded).  Sequences are numbered without gaps by (document id, text hash,
-place).  A keyed Feistel permutation of these numbers, with cycle-walking to stay inside their
-range, gives every sequence its slot in the training order.  Slots go by range into shards of fixed-stride
-records, so a reader finds slot s at byte (s mod shard rows) * stride and can resume anywhere.
+``LARGO`` ids (the last one padded).  Sequences are numbered without gaps in the order of the table.  A
+keyed Feistel permutation of these numbers, with cycle-walking to stay inside their range, gives
+every sequence its slot in the training order.  Slots go by range into shards of fixed-stride records,
+so a reader finds slot s at byte (s mod shard rows) * stride of its shard and can resume anywhere.
 
-How it scales.  A first pass counts tokens and moves only ids and counts; numbers are running counts
-inside ranges plus one offset per range.  A second pass tokenizes again rather than store every token
-twice, and tokens move to their number and then to their shard.  Shards have a fixed size.
+How it scales.  Texts are tokenized once, where they are read, and the ids are written to the shared folder
+with running counts; one total per task makes the counts global.  Each sequence moves once, to its
+shard, and shards have a fixed size.  The numbers follow the files and splits of the input: equal files
+read with equal settings give equal slots.
 
 Defined results.  Null and empty texts are one sequence with the end mark alone.  Repeated rows each get
-their own sequences.  A null document id is handled and written as the least 64-bit number.  An empty table
+their own sequences.  A null document id is written as the least 64-bit number.  An empty table
 gives an empty result.  Strings that look like control tokens are ordinary text.
 """
 
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnero.sources.tablas import materializar
 
@@ -37,33 +38,14 @@ LARGO = 512
 FILAS_POR_FRAGMENTO = 4096
 CLAVE = 20_24
 RONDAS = 6
-MEMORIA = 200_000  # words whose ids a worker remembers
 CABEZA = np.dtype([("doc", "<i8"), ("orden", "<u4"), ("n", "<u4")])
 SIN_ID = -(2**63)
 
 _POR_PROCESO: dict = {}
 
 
-class _Palabras(dict):
-    """Ids of `` word``, computed once while they are remembered."""
-
-    def __init__(self, codificar):
-        super().__init__()
-        self.codificar = codificar
-
-    def __missing__(self, palabra):
-        if len(self) >= MEMORIA:
-            self.clear()
-        ids = self[palabra] = self.codificar(" " + palabra)
-        return ids
-
-
 def codificador(vocabulario: bytes):
-    """Function from text to its token ids as little-endian 16-bit bytes, without end mark.
-
-    The split pattern never joins what stands on both sides of a single space, so the words of a text
-    may be encoded one by one; a text with two white-space characters in a row is encoded whole.
-    """
+    """Function from text to its token ids as little-endian 16-bit bytes, end mark included."""
     llave = hash(vocabulario)
     if llave not in _POR_PROCESO:
         import tiktoken
@@ -71,24 +53,10 @@ def codificador(vocabulario: bytes):
         rangos = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulario.splitlines())}
         if max(rangos.values()) >= FIN:
             raise ValueError("the vocabulary has no room for the end mark")
-        bpe = tiktoken.Encoding("vocabulario", pat_str=PATRON, mergeable_ranks=rangos, special_tokens={})
-
-        def codificar(texto: str) -> bytes:
-            return np.array(bpe.encode_ordinary(texto), "<u2").tobytes()
-
-        _POR_PROCESO[llave] = codificar, _Palabras(codificar)
-    codificar, palabras = _POR_PROCESO[llave]
-    seguidos = re.compile(r"\s\s")
-
-    def ids(texto: str | None) -> bytes:
-        if not texto:
-            return b""
-        if seguidos.search(texto):
-            return codificar(texto)
-        primera, *resto = texto.split(" ")
-        return codificar(primera) + b"".join([palabras[p] for p in resto])
-
-    return ids
+        _POR_PROCESO[llave] = tiktoken.Encoding(
+            "vocabulario", pat_str=PATRON, mergeable_ranks=rangos, special_tokens={}).encode_ordinary
+    codificar = _POR_PROCESO[llave]
+    return lambda texto: np.array([*codificar(texto or ""), FIN], "<u2").tobytes()
 
 
 def leer_vocabulario(spark: SparkSession, ruta: str) -> bytes:
@@ -132,41 +100,33 @@ def permutar(numeros: np.ndarray, n: int, clave: int = CLAVE, inversa: bool = Fa
     return salida.astype(np.int64)
 
 
-# ---- Numbering ----
+# ---- Sequences ----
 
 
-def _numerar(lotes):
-    """Adds the task's number and the running count of sequences before each row of the task."""
-    tarea, antes = TaskContext.get().partitionId(), 0
-    for lote in lotes:
-        total = lote["total"].to_numpy(zero_copy_only=False).astype(np.int64)
-        hasta = np.cumsum(total)
-        yield pa.RecordBatch.from_arrays(
-            [lote["doc"], lote["th"], lote["secuencias"], pa.array(np.full(len(total), tarea)),
-             pa.array(antes + hasta - total), lote["total"]],
-            names=["doc", "th", "secuencias", "tarea", "antes", "total"],
-        )
-        antes += int(hasta[-1]) if len(hasta) else 0
+def con_fichas(docs: DataFrame, doc: str, texto: str, vocabulario: str, largo: int) -> DataFrame:
+    """``ids`` of every row, the task that made them and the sequences the task made before.
 
+    Written once: from here on the numbers are fixed, whatever is computed again.
+    """
+    datos = leer_vocabulario(docs.sparkSession, vocabulario)
 
-def numeros(conteos: DataFrame) -> tuple[DataFrame, int]:
-    """First sequence number per (document, text hash), and how many sequences there are."""
-    filas = materializar(
-        conteos.repartitionByRange("doc", "th").sortWithinPartitions("doc", "th").mapInArrow(
-            _numerar, "doc long, th long, secuencias long, tarea long, antes long, total long"),
-        "numeros",
+    def codificar(lotes):
+        ids, tarea, antes = codificador(datos), TaskContext.get().partitionId(), 0
+        for lote in lotes:
+            salida = [ids(t.as_py()) for t in lote["texto"]]
+            cuantas = np.array([-(-len(i) // (2 * largo)) for i in salida], np.int64)
+            yield pa.RecordBatch.from_arrays([
+                lote["doc"], pa.array(np.full(len(salida), tarea)),
+                pa.array(antes + np.cumsum(cuantas) - cuantas), pa.array(cuantas),
+                pa.array(salida, pa.binary()),
+            ], names=["doc", "tarea", "antes", "cuantas", "ids"])
+            antes += int(cuantas.sum())
+
+    filas = docs.select(F.col(doc).cast("long").alias("doc"), F.col(texto).cast("string").alias("texto"))
+    return materializar(
+        filas.mapInArrow(codificar, "doc long, tarea long, antes long, cuantas long, ids binary"),
+        "fichas", compression="zstd",
     )
-    # One row for each task.
-    por_tarea = filas.groupBy("tarea").agg(F.sum("total").alias("n")).orderBy("tarea").collect()
-    bases, n = [], 0
-    for f in por_tarea:
-        bases.append((f["tarea"], n))
-        n += f["n"]
-    base = filas.sparkSession.createDataFrame(bases, "_tarea long, base long")
-    return filas.join(F.broadcast(base), F.col("tarea") == F.col("_tarea")).select(
-        F.col("doc").alias("_doc"), F.col("th").alias("_th"), "secuencias",
-        (F.col("antes") + F.col("base")).alias("primero"),
-    ), n
 
 
 def secuencias(
@@ -178,60 +138,35 @@ def secuencias(
     Columns: ``slot``, ``shard``, ``offset`` (bytes into the shard), document id, ``seq_no``,
     ``n_tokens`` (without padding) and ``tokens`` (``largo`` little-endian 16-bit ids).
     """
-    datos = leer_vocabulario(docs.sparkSession, vocabulario)
     paso = CABEZA.itemsize + 2 * largo
-
-    @F.arrow_udf("long")
-    def contar(textos: pa.Array) -> pa.Array:
-        ids = codificador(datos)
-        return pa.array([len(ids(t.as_py())) // 2 + 1 for t in textos], pa.int64())
-
-    @F.arrow_udf("binary")
-    def codificar(textos: pa.Array) -> pa.Array:
-        ids = codificador(datos)
-        fin = np.array([FIN], "<u2").tobytes()
-        return pa.array([ids(t.as_py()) + fin for t in textos], pa.binary())
-
-    base = docs.select(
-        F.coalesce(F.col(doc).cast("long"), F.lit(SIN_ID)).alias("doc"), F.xxhash64(F.col(texto).cast("string")).alias("th"),
-        F.col(texto).cast("string").alias("texto"),
-    )
-    por_texto = (
-        base.select("doc", "th", contar("texto").alias("n")).groupBy("doc", "th")
-        .agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("copias"))
-        .withColumn("secuencias", F.ceil(F.col("n") / F.lit(largo)).cast("long"))
-        .select("doc", "th", "secuencias", (F.col("secuencias") * F.col("copias")).alias("total"))
-    )
-    num, n = numeros(materializar(por_texto, "conteos"))
-    # Copies of a row are numbered one after another.
-    vez = F.row_number().over(Window.partitionBy("doc", "th").orderBy(F.lit(1))) - 1
-    filas = (
-        base.select("doc", "th", codificar("texto").alias("ids"))
-        .join(num, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")))
-        .select("doc", "ids", (F.col("primero") + vez * F.col("secuencias")).alias("primero"))
-    )
+    filas = con_fichas(docs, doc, texto, vocabulario, largo)
+    # One row for each task.
+    por_tarea = filas.groupBy("tarea").agg(F.sum("cuantas").alias("n")).orderBy("tarea").collect()
+    bases, n = {}, 0
+    for f in por_tarea:
+        bases[f["tarea"]] = n
+        n += f["n"]
 
     def cortar(lotes):
         for lote in lotes:
-            for d, ids, primero in zip(*(lote[c] for c in ("doc", "ids", "primero"))):
-                ids = ids.as_py()
-                cuantas = -(-len(ids) // (2 * largo))
-                puestos = permutar(primero.as_py() + np.arange(cuantas), n, clave)
-                trozos = [ids[i * 2 * largo:(i + 1) * 2 * largo] for i in range(cuantas)]
+            for d, tarea, antes, ids in zip(*(lote[c].to_pylist() for c in ("doc", "tarea", "antes", "ids"))):
+                trozos = [ids[i:i + 2 * largo] for i in range(0, len(ids), 2 * largo)]
+                puestos = permutar(bases[tarea] + antes + np.arange(len(trozos)), n, clave)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(puestos), pa.array([d.as_py()] * cuantas, pa.int64()),
-                    pa.array(np.arange(cuantas, dtype=np.int64)),
+                    pa.array(puestos), pa.array([d] * len(trozos), pa.int64()),
+                    pa.array(np.arange(len(trozos))),
                     pa.array([len(t) // 2 for t in trozos], pa.int64()),
                     pa.array([t.ljust(2 * largo, b"\0") for t in trozos], pa.binary()),
                 ], names=["slot", "doc", "seq_no", "n_tokens", "tokens"])
 
     fragmento = F.expr(f"slot div {filas_por_fragmento}L")
     return (
-        filas.mapInArrow(_agrupar(cortar), "slot long, doc long, seq_no long, n_tokens long, tokens binary")
+        filas.select("doc", "tarea", "antes", "ids")
+        .mapInArrow(_agrupar(cortar), "slot long, doc long, seq_no long, n_tokens long, tokens binary")
         .withColumn("shard", fragmento)
         .repartition(max(1, -(-n // filas_por_fragmento)), "shard").sortWithinPartitions("slot")
         .select("slot", "shard", ((F.col("slot") % filas_por_fragmento) * paso).alias("offset"),
-                F.nullif("doc", F.lit(SIN_ID)).alias(doc), "seq_no", "n_tokens", "tokens")
+                F.col("doc").alias(doc), "seq_no", "n_tokens", "tokens")
     )
 
 

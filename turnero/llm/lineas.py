@@ -7,9 +7,9 @@ own chunk.  Boundaries depend on the lines next to them alone, so a passage keep
 wherever it stands.  Chunks of two or more lines, or of one long line, that occur again anywhere
 are compared byte by byte with their first occurrence and removed, except that first one.
 
-How it scales.  Only chunk hashes are counted over everything; texts of chunks move only when their
-hash occurs twice.  The first occurrence is a minimum, combined before it moves, and the comparison is
-a join between two exchanges, which AQE splits for a crowded chunk.
+How it scales.  The first occurrence of a chunk is a minimum, combined before it moves.  Other occurrences
+move as numbers and meet its text in a join between two exchanges, which AQE splits for a crowded
+chunk; the comparison is made in the document's own row.
 
 Defined results.  Null text counts as empty and comes back empty.  Occurrences go by document id (null
 last), text hash and place.  Rows that repeat id and text are one document and come back that often.
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from turnero.sources.tablas import materializar
+
 VENTANA = 2
 DIVISOR = 2
 LINEA_LARGA = 50  # words
@@ -95,48 +97,48 @@ def dedup_lineas(
     base = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(texto), F.lit("")).alias("texto"))
     base = base.withColumn("th", F.xxhash64("texto"))
     partes = trozos(F.col("texto"), ventana, divisor, linea_larga)
-
-    def filas(con_texto: bool) -> DataFrame:
-        campos = ["doc", "th", "k", F.xxhash64("t.texto").alias("h")]
-        return base.select("doc", "th", F.posexplode(partes).alias("k", "t")).filter("t.cuenta").select(
-            *campos, *([F.col("t.texto").alias("trozo"), F.col("t.lineas").alias("lineas")]
-                       if con_texto else [])
-        )
-
-    # Repeated rows are one document: a chunk counts once per document, text and place.
-    repetidos = (
-        filas(False).groupBy("h").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "k")).alias("uno"),
-            F.max(F.struct("doc", "th", "k")).alias("otro"),
-        ).filter((F.col("n") > 1) & ~F.col("uno").eqNullSafe(F.col("otro")))
-        .select(F.col("h").alias("_h"))
-    )
-    todos = filas(True).join(repetidos, F.col("h") == F.col("_h"), "left_semi")
+    filas = base.select("doc", "th", F.posexplode(partes).alias("k", "t")).filter("t.cuenta").select(
+        "doc", "th", "k", F.xxhash64("t.texto").alias("h"), F.col("t.texto").alias("trozo"))
     lugar = F.struct(F.col("doc").isNull().alias("nulo"), "doc", "th", "k")
-    primeros = todos.groupBy(F.col("h").alias("_h")).agg(
-        F.min(F.struct(lugar.alias("lugar"), F.col("trozo").alias("trozo"))).alias("primero")
+    # First occurrence, with its text, of every hash that occurs in two places.  Repeated rows are one
+    # document: a chunk counts once per document, text and place.
+    primeros = materializar(
+        filas.groupBy("h").agg(
+            F.min(F.struct(lugar.alias("lugar"), F.col("trozo").alias("trozo"))).alias("primero"),
+            F.max(lugar).alias("otro"),
+        ).filter(~F.col("primero.lugar").eqNullSafe(F.col("otro")))
+        .select(F.col("h").alias("_h"), "primero"), "primeros",
     )
-    sobran = (
-        todos.join(primeros, F.col("h") == F.col("_h"))
-        .filter((F.col("trozo") == F.col("primero.trozo"))
-                & ~lugar.eqNullSafe(F.col("primero.lugar")))
-        .groupBy("doc", "th").agg(F.collect_set("k").alias("_fuera"))
-        .select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_fuera")
+    # Occurrences that may have to go, each with the text to compare it with; a table read back has no
+    # partitioning, so both sides move and AQE can split a crowded chunk.
+    dudosos = (
+        filas.drop("trozo").join(primeros, F.col("h") == F.col("_h"))
+        .filter(~lugar.eqNullSafe(F.col("primero.lugar"))).distinct()
+        .groupBy("doc", "th").agg(
+            F.collect_list(F.struct("k", F.col("primero.trozo").alias("texto"))).alias("_dudosos"))
+        .select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_dudosos")
     )
-    quedan = con(partes, lambda p: F.struct(
-        F.array_join(F.transform(
-            F.filter(p, lambda t, k: ~F.array_contains(F.col("_fuera"), k)), lambda t: t["texto"]
-        ), "\n").alias("texto"),
-        F.aggregate(F.filter(p, lambda t, k: F.array_contains(F.col("_fuera"), k)), F.lit(0),
-                    lambda a, t: a + t["lineas"]).alias("lineas"),
-    ))
+
+    def limpiar(p: Column) -> Column:
+        iguales = F.filter("_dudosos", lambda d: p[d["k"]]["texto"] == d["texto"])
+
+        def quitar(fuera: Column) -> Column:
+            return F.struct(
+                F.array_join(F.transform(
+                    F.filter(p, lambda t, k: ~F.array_contains(fuera, k)), lambda t: t["texto"]
+                ), "\n").alias("texto"),
+                F.size(fuera).cast("long").alias("trozos"),
+                F.aggregate(fuera, F.lit(0).cast("long"), lambda a, k: a + p[k]["lineas"]).alias("lineas"),
+            )
+
+        return con(F.transform(iguales, lambda d: d["k"]), quitar)
+
     return (
-        base.join(sobran, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
-        .select("doc", "texto", "_fuera", F.when(F.col("_fuera").isNotNull(), quedan).alias("_q"))
+        base.join(dudosos, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
+        .select("doc", "texto", F.when(F.col("_dudosos").isNotNull(), con(partes, limpiar)).alias("_q"))
         .select(
             F.col("doc").alias(doc), F.coalesce("_q.texto", "texto").alias("text"),
-            F.when(F.col("_fuera").isNull(), 0).otherwise(F.size("_fuera")).cast("long")
-            .alias("removed_chunks"),
+            F.coalesce("_q.trozos", F.lit(0)).cast("long").alias("removed_chunks"),
             F.coalesce("_q.lineas", F.lit(0)).cast("long").alias("removed_lines"),
         )
     )
