@@ -159,6 +159,13 @@ def cambios(spark, lista):
     return spark.createDataFrame(lista, "id string, estado string, orden int")
 
 
+def test_cambio_invalido_no_tapa_al_valido(spark):
+    e = estado(spark, [cita("c1")])
+    despues, no = r.cambiar_estado(e.citas, cambios(spark, [("c1", "confirmada", 1), ("c1", "otro", 2)]))
+    assert filas(despues, "id", "estado") == [("c1", "confirmada")]
+    assert filas(no, "id", "motivo_rechazo") == [("c1", "estado_invalido")]
+
+
 def test_revivir_sobre_hora_tomada(spark):
     e = estado(spark, [cita("c1", e="cancelada"), cita("c2"), cita("c3", e="cancelada")])
     despues, no = r.cambiar_estado(e.citas, cambios(spark, [("c1", "pendiente", 1)]))
@@ -176,7 +183,8 @@ def test_cambios_invalidos_y_ultimo_gana(spark):
     lote = [("c1", "confirmada", 1), ("c1", "completada", 2), ("c2", "perdida", 1), ("cx", "cancelada", 1)]
     despues, no = r.cambiar_estado(e.citas, cambios(spark, lote))
     assert filas(despues, "id", "estado") == [("c1", "completada"), ("c2", "pendiente")]
-    assert filas(no, "id", "motivo_rechazo") == [("c2", "estado_invalido"), ("cx", "cita_desconocida")]
+    assert filas(no, "id", "motivo_rechazo") == [
+        ("c1", "reemplazado"), ("c2", "estado_invalido"), ("cx", "cita_desconocida")]
 
 
 # ---- Staff forms ----

@@ -118,8 +118,8 @@ def test_un_lote_solo_lee_sus_meses(spark, tmp_path):
     assert filas(df, "id") == [("2026-08-03",), ("2026-09-03",)]
     assert "PartitionFilters: [isnotnull(mes" in plan(df) and "subquery" in plan(df)
     claves = lote.select("audiologo_id", "fecha", F.lit(8 * 3600).alias("ini"))
-    for pocas in (True, False):
-        tomadas = r.claves_tomadas(spark.read.parquet(f"{c}/citas"), claves, pocas)
+    for _ in (1,):
+        tomadas = r.claves_tomadas(spark.read.parquet(f"{c}/citas"), claves)
         assert tomadas.count() == 2
 
 

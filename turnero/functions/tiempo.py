@@ -20,13 +20,19 @@ def _lista(valores) -> Column:
 
 
 def seg(c) -> Column:
-    """``HH:mm`` or ``HH:mm:ss`` to seconds since midnight; null when it is not a time."""
+    """``HH:mm`` or ``HH:mm:ss`` to seconds since midnight; null when there is no such time of day.
+
+    The hour may have one digit; fractions of a second are dropped.
+    """
     c = _col(c)
-    segundos = F.when(F.length(c) <= 5, F.lit(0)).otherwise(F.substring(c, 7, 2).try_cast("int"))
-    return (
-        F.substring(c, 1, 2).try_cast("int") * 3600
-        + F.substring(c, 4, 2).try_cast("int") * 60
-        + segundos
+
+    def parte(n: int) -> Column:
+        return F.split_part(c, F.lit(":"), F.lit(n))
+
+    segundos = F.when(parte(3) == "", F.lit(0)).otherwise(F.substring(parte(3), 1, 2).try_cast("int"))
+    return F.when(
+        c.rlike(r"^([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?$"),
+        parte(1).try_cast("int") * 3600 + parte(2).try_cast("int") * 60 + segundos,
     )
 
 

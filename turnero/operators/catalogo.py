@@ -63,7 +63,7 @@ def cerrar_sedes(
         F.lit(None).cast("string").alias("hora_inicio"),
         F.lit(None).cast("string").alias("hora_fin"), F.lit(motivo).alias("motivo"),
     )
-    return anexar(bloqueos, cierre, lote, unicas=True)
+    return anexar(bloqueos, cierre, "bloqueos", lote, unicas=True)
 
 
 def por_nombre(lista: DataFrame, audiologos: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +91,7 @@ def bloquear_espacios(
         hhmmss("hora_inicio").alias("hora_inicio"), hhmmss("hora_fin").alias("hora_fin"),
         F.lit(motivo).alias("motivo"),
     )
-    return anexar(bloqueos, nuevos, lote), sin_cruce
+    return anexar(bloqueos, nuevos, "bloqueos", lote), sin_cruce
 
 
 def borrar_bloqueos(
@@ -152,10 +152,10 @@ def cargar_catalogo(
     Professionals find their site by name; one whose site name is unknown is not added, and one
     whose site name is shared is added for each.
     """
-    con_nuevas = anexar(sedes, sedes_nuevas.withColumn("activa", F.lit(True)), f"{lote}/sedes")
+    con_nuevas = anexar(sedes, sedes_nuevas, "sedes", f"{lote}/sedes")
     ids = con_nuevas.select(F.col("nombre").alias("sede"), F.col("id").alias("sede_id"))
-    filas = audiologos_nuevos.join(ids, "sede").drop("sede").withColumn("activo", F.lit(True))
+    filas = audiologos_nuevos.join(ids, "sede").drop("sede")
     return con_nuevas, anexar(
         audiologos.withColumn("sede_id", F.col("sede_id").cast("string")), filas,
-        f"{lote}/audiologos",
+        "audiologos", f"{lote}/audiologos",
     )

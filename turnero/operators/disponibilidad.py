@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from turnero.functions.texto import activa
 from turnero.functions.tiempo import dow, envolver, hms, seg, serie_fechas
-from turnero.sources.tablas import entre_fechas, reducir_a, son_pocas
+from turnero.sources.tablas import en_fechas_de, entre_fechas, reducir_a
 
 DIA = ["audiologo_id", "fecha"]
 RANGO = ["ini", "fin", "dur"]
@@ -145,16 +145,16 @@ def _unir(semanales: DataFrame, de_fecha: DataFrame, dias: DataFrame) -> DataFra
 
 def rangos_efectivos(
     pares: DataFrame, horarios_disponibles: DataFrame, horarios_fecha: DataFrame,
-    fin_override: str = "propio", pocas: bool | None = None,
+    fin_override: str = "propio",
 ) -> DataFrame:
     """Ranges in force on the given pairs, in seconds, with a count of equal rows."""
-    pocas = son_pocas(pares) if pocas is None else pocas
+    horarios_fecha = en_fechas_de(horarios_fecha, pares)
     pares = pares.select(*DIA).distinct()
-    semana = reducir_a(horarios_disponibles, pares, ["audiologo_id"], rangos_por_semana, pocas)
+    semana = reducir_a(horarios_disponibles, pares, ["audiologo_id"], rangos_por_semana)
     de_fecha = reducir_a(
-        horarios_fecha, pares, DIA, lambda h: rangos_de_fecha(h, fin_override), pocas
+        horarios_fecha, pares, DIA, lambda h: rangos_de_fecha(h, fin_override)
     )
-    dias = reducir_a(horarios_fecha, pares, DIA, dias_con_fecha, pocas)
+    dias = reducir_a(horarios_fecha, pares, DIA, dias_con_fecha)
     return _unir(rangos_semanales(pares, semana), de_fecha, dias)
 
 
@@ -262,10 +262,10 @@ def disponibilidad(
     ranges give a slot each.  ``fin_override`` is explained at ``rangos_de_fecha``; its default
     checks each slot against its own range.  ``restar_bloqueos=False`` ignores blocks.
     """
-    pocas = son_pocas(pares)
     return _libres(
-        rangos_efectivos(pares, horarios_disponibles, horarios_fecha, fin_override, pocas),
-        reducir_a(citas, pares, DIA, horas_ocupadas, pocas), bloqueos, restar_bloqueos,
+        rangos_efectivos(pares, horarios_disponibles, horarios_fecha, fin_override),
+        reducir_a(en_fechas_de(citas, pares), pares, DIA, horas_ocupadas),
+        en_fechas_de(bloqueos, pares), restar_bloqueos,
     )
 
 

@@ -64,7 +64,7 @@ def reemplazar_horario(
     """Replaces the weekly schedule of the professionals in ``claves``."""
     return anexar(
         _sin_claves(horarios_disponibles, claves, ["audiologo_id"]),
-        limpiar_bloques(nuevos).select(*SEMANA), lote,
+        limpiar_bloques(nuevos).select(*SEMANA), "horarios_disponibles", lote,
     )
 
 
@@ -73,7 +73,8 @@ def reemplazar_dia(
 ) -> DataFrame:
     """Replaces the exception of each (professional, date); without rows the exception is gone."""
     return anexar(
-        quitar_excepcion(horarios_fecha, claves), limpiar_bloques(nuevos).select(*FECHA), lote
+        quitar_excepcion(horarios_fecha, claves), limpiar_bloques(nuevos).select(*FECHA),
+        "horarios_fecha", lote,
     )
 
 
@@ -102,7 +103,7 @@ def copiar_dias(
         .withColumn("dia_semana", F.explode(F.array(*[F.lit(d) for d in destinos])))
         .select(*SEMANA)
     )
-    return anexar(quedan, copias, lote)
+    return anexar(quedan, copias, "horarios_disponibles", lote)
 
 
 def aplicar_plantilla(
@@ -145,7 +146,7 @@ def cargar_roster(
         F.lit(DURACION_POR_DEFECTO).alias("duracion_cita_min"),
     )
     return (
-        anexar(horarios_fecha, filas, lote),
+        anexar(horarios_fecha, filas, "horarios_fecha", lote),
         _sin_claves(horarios_disponibles, filas, ["audiologo_id"]),
         sin_cruce,
     )

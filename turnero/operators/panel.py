@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnero.functions.texto import activa, presente, vacio_a_nulo
-from turnero.functions.tiempo import hhmmss, hms, seg
+from turnero.functions.tiempo import hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
 from turnero.operators.reservas import (
     DIA, Estado, Resultado, agregar, con_turno, id_estable, ids_texto, marcar_actualizado,
     marcar_existente, primeras,
 )
-from turnero.sources.tablas import materializar, reducir_a, son_pocas
+from turnero.sources.tablas import con_mes, materializar, reducir_a
 
 CAMPOS = ["sede_id", "audiologo_id", "nombre", "telefono"]
 DATOS = [
@@ -85,7 +85,7 @@ def editar(
     ahora = F.current_timestamp() if ahora is None else ahora
     fin = hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60)
     normalizados = (
-        cambios.withColumn("hora_fin", fin).withColumn("hora_inicio", hhmmss("hora_inicio"))
+        cambios.withColumn("hora_fin", fin).withColumn("hora_inicio", hms(seg("hora_inicio")))
         .withColumn("motivo_consulta", vacio_a_nulo("motivo_consulta"))
         .withColumn("notas", vacio_a_nulo("notas"))
     )
@@ -99,6 +99,8 @@ def editar(
     despues = despues.withColumns(
         {c: F.when(cambia, F.col("_n")[c]).otherwise(F.col(c)) for c in datos}
     )
+    if "mes" in citas.columns:
+        despues = con_mes(despues)
     despues = marcar_actualizado(despues, ahora, cambia)
     return (
         despues.select(*citas.columns),
@@ -120,7 +122,7 @@ def pacientes_del_panel(
             F.count(F.lit(1)).alias("_n"), F.min("id").cast("string").alias("_id")
         )
 
-    conocidos = reducir_a(pacientes, validas, ["telefono"], contar, son_pocas(validas))
+    conocidos = reducir_a(pacientes, validas, ["telefono"], contar)
     propio = id_estable("paciente-panel", "solicitud_id")
     comun = id_estable("paciente", "telefono")
     con_id = (
@@ -179,7 +181,7 @@ def guardar_panel(
     )
     aceptadas = altas.join(ganan, "solicitud_id", "left_semi").select(
         "solicitud_id", id_estable("cita", "solicitud_id").alias("id"), "paciente_id",
-        "audiologo_id", "sede_id", "fecha", hhmmss("hora_inicio").alias("hora_inicio"),
+        "audiologo_id", "sede_id", "fecha", hms(seg("hora_inicio")).alias("hora_inicio"),
         hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60).alias("hora_fin"),
         vacio_a_nulo("motivo").alias("motivo_consulta"), vacio_a_nulo("notas").alias("notas"),
         F.lit("pendiente").alias("estado"),

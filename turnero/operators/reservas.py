@@ -22,7 +22,7 @@ from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
 from turnero.sources.tablas import (
-    con_valores_por_defecto, en_fechas_de, materializar, reducir_a, son_pocas,
+    claves_distintas, con_valores_por_defecto, en_fechas_de, materializar, reducir_a, unir,
 )
 
 DIA = ["audiologo_id", "fecha"]
@@ -96,20 +96,18 @@ def _primera_duracion(horario: DataFrame, clave: list[str], nombre: str) -> Data
 
 def resolver_duracion(
     solicitudes: DataFrame, horarios_fecha: DataFrame, horarios_disponibles: DataFrame,
-    pocas: bool | None = None,
 ) -> DataFrame:
     """Adds ``duracion``: of the dated row, else of the weekly row, else the default.
 
     Only the first row of a key is asked; when its length is null the next level decides.
     """
-    pocas = son_pocas(solicitudes) if pocas is None else pocas
     de_fecha = reducir_a(
         en_fechas_de(horarios_fecha, solicitudes), solicitudes, DIA,
-        lambda h: _primera_duracion(h, DIA, "_dur_fecha"), pocas,
+        lambda h: _primera_duracion(h, DIA, "_dur_fecha"),
     )
     semanal = reducir_a(
         horarios_disponibles, solicitudes, ["audiologo_id"],
-        lambda h: _primera_duracion(h, ["audiologo_id", "dia_semana"], "_dur_semana"), pocas,
+        lambda h: _primera_duracion(h, ["audiologo_id", "dia_semana"], "_dur_semana"),
     )
     # Without a professional there is no schedule to ask, and no key to gather such requests by.
     con_profesional = F.col("audiologo_id").isNotNull()
@@ -129,14 +127,14 @@ def resolver_duracion(
 # ---- Slots taken and first come ----
 
 
-def claves_tomadas(citas: DataFrame, claves: DataFrame, pocas: bool) -> DataFrame:
+def claves_tomadas(citas: DataFrame, claves: DataFrame) -> DataFrame:
     """Which of the ``claves`` (professional, date, ``ini``) an active appointment holds."""
     clave = [*DIA, "ini"]
     activas = (
         en_fechas_de(citas, claves).filter(activa() & F.col("audiologo_id").isNotNull())
         .select(*DIA, seg("hora_inicio").alias("ini"))
     )
-    return reducir_a(activas, claves, clave, DataFrame.distinct, pocas)
+    return reducir_a(activas, claves, clave, DataFrame.distinct)
 
 
 def primeras(df: DataFrame, clave: list[str], orden: list) -> DataFrame:
@@ -157,7 +155,7 @@ def con_turno(
     con_clave = candidatas.filter(F.col("audiologo_id").isNotNull())
     ganadoras = primeras(con_clave, [*DIA, "ini"], orden)
     tomadas = claves_tomadas(
-        citas, lote.select(*DIA, seg("hora_inicio").alias("ini")), son_pocas(lote)
+        citas, lote.select(*DIA, seg("hora_inicio").alias("ini"))
     )
     return (
         ganadoras.join(tomadas, [*DIA, "ini"], "left_anti")
@@ -170,10 +168,9 @@ def con_turno(
 
 
 def paciente_por_telefono(
-    pacientes: DataFrame, solicitudes: DataFrame, pocas: bool | None = None
+    pacientes: DataFrame, solicitudes: DataFrame,
 ) -> DataFrame:
     """One patient per phone of the requests: the least (``creado_en``, ``id``) that has it."""
-    pocas = son_pocas(solicitudes) if pocas is None else pocas
     orden = F.struct(*[c for c in ("creado_en", "id") if c in pacientes.columns])
 
     def primero(df: DataFrame) -> DataFrame:
@@ -182,7 +179,7 @@ def paciente_por_telefono(
         )
 
     con_telefono = pacientes.filter(F.col("telefono").isNotNull())
-    return reducir_a(con_telefono, solicitudes, ["telefono"], primero, pocas)
+    return reducir_a(con_telefono, solicitudes, ["telefono"], primero)
 
 
 def lookup_paciente(pacientes: DataFrame, solicitudes: DataFrame) -> DataFrame:
@@ -191,7 +188,7 @@ def lookup_paciente(pacientes: DataFrame, solicitudes: DataFrame) -> DataFrame:
 
 
 def novedades_pacientes(
-    pacientes: DataFrame, aceptadas: DataFrame, pocas: bool | None = None
+    pacientes: DataFrame, aceptadas: DataFrame,
 ) -> DataFrame:
     """Per phone of the accepted requests: patient id, whether it is new, newest values.
 
@@ -205,7 +202,7 @@ def novedades_pacientes(
     por_telefono = aceptadas.groupBy("telefono").agg(
         F.max_by("nombre", orden).alias("nombre_nuevo"), ultimo("email"), ultimo("eps")
     )
-    conocidos = paciente_por_telefono(pacientes, aceptadas, pocas)
+    conocidos = paciente_por_telefono(pacientes, aceptadas)
     return (
         por_telefono.join(conocidos, "telefono", "left")
         .withColumn("es_nuevo", F.col("paciente_id").isNull())
@@ -243,10 +240,7 @@ def agregar(tabla: DataFrame, nuevas: DataFrame, nombre: str, ahora: Column | No
     """Adds rows with the defaults of the columns the table has."""
     ahora = F.current_timestamp() if ahora is None else ahora
     con_todo = con_valores_por_defecto(nuevas, nombre, ahora)
-    return tabla.unionByName(
-        con_todo.select([c for c in con_todo.columns if c in tabla.columns]),
-        allowMissingColumns=True,
-    )
+    return unir(tabla, con_todo.select([c for c in con_todo.columns if c in tabla.columns]))
 
 
 def upsert_pacientes(
@@ -286,13 +280,13 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
 
 
 def aceptar(
-    aceptadas: DataFrame, estado: Estado, novedades: DataFrame, pocas: bool | None = None
+    aceptadas: DataFrame, estado: Estado, novedades: DataFrame,
 ) -> DataFrame:
     """Accepted requests with appointment id, patient id, duration and end."""
     ids = novedades.select("telefono", "paciente_id")
     return (
         resolver_duracion(
-            aceptadas, estado.horarios_fecha, estado.horarios_disponibles, pocas
+            aceptadas, estado.horarios_fecha, estado.horarios_disponibles
         )
         .join(ids, "telefono", "left")
         .withColumn("cita_id", id_estable("cita", "solicitud_id"))
@@ -333,9 +327,8 @@ def reservar(
     lote = completar_opcionales(solicitudes)
     decididas = materializar(decidir(lote, estado), "decisiones")
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
-    pocas = son_pocas(ok)
-    novedades = materializar(novedades_pacientes(estado.pacientes, ok, pocas), "novedades")
-    aceptadas = aceptar(ok, estado, novedades, pocas)
+    novedades = materializar(novedades_pacientes(estado.pacientes, ok), "novedades")
+    aceptadas = aceptar(ok, estado, novedades)
     return Resultado(
         aceptadas=aceptadas,
         rechazadas=decididas.filter(F.col("motivo_rechazo").isNotNull()),
@@ -362,23 +355,31 @@ def con_acciones(citas: DataFrame) -> DataFrame:
 
 
 def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
-    """Last change per appointment with ``motivo_rechazo``, null when it applies.
+    """Every change with ``motivo_rechazo``, null when it applies.
 
-    ``cambios`` has ``id``, ``estado`` and ``orden``.  A batch first frees the slots it cancels and
+    ``cambios`` has ``id``, ``estado`` and ``orden``.  An unknown state never applies; of the others the last
+    one of an appointment counts and replaces those before it.  A batch first frees the slots it cancels and
     then un-cancels in order; un-cancelling onto a slot that stays taken is refused.
     """
-    ultimos = primeras(
-        cambios.select("id", F.col("estado").alias("nuevo"), "orden"), ["id"],
-        [F.desc("orden"), F.desc("nuevo")],
-    ).withColumn("_valido", F.coalesce(F.col("nuevo").isin(ESTADOS), F.lit(False)))
-    actuales = citas.select("id", "estado", *DIA, "hora_inicio")
+    todos = cambios.select("id", F.col("estado").alias("nuevo"), "orden")
+    valido = F.coalesce(F.col("nuevo").isin(ESTADOS), F.lit(False))
+    ultimos = primeras(todos.filter(valido), ["id"], [F.desc("orden"), F.desc("nuevo")])
+    ultimo = ultimos.select("id", F.col("orden").alias("_orden"), F.col("nuevo").alias("_nuevo"))
+    sin_efecto = todos.filter(~valido).withColumn("motivo_rechazo", F.lit("estado_invalido")).unionByName(
+        todos.filter(valido).join(ultimo, "id")
+        .filter((F.col("orden") != F.col("_orden")) | (F.col("nuevo") != F.col("_nuevo")))
+        .select("id", "nuevo", "orden", F.lit("reemplazado").alias("motivo_rechazo"))
+    )
+    # Only the appointments that change move.
+    actuales = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select(
+        "id", "estado", *DIA, "hora_inicio")
     revisados = materializar(
         ultimos.join(actuales.withColumn("_existe", F.lit(True)), "id", "left"), "cambios"
     )
     reviven = revisados.filter(
-        F.col("_existe") & F.col("_valido") & ~activa("estado") & activa("nuevo")
+        F.col("_existe") & ~activa("estado") & activa("nuevo")
     )
-    liberan = revisados.filter(F.col("_valido") & ~activa("nuevo")).select("id")
+    liberan = revisados.filter(~activa("nuevo")).select("id")
     ganan = con_turno(
         reviven.select("id", "orden", *DIA, "hora_inicio"),
         citas.join(liberan, "id", "left_anti"), ["orden", "id"],
@@ -389,10 +390,10 @@ def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
         .withColumn(
             "motivo_rechazo",
             F.when(F.col("_existe").isNull(), "cita_desconocida")
-            .when(~F.col("_valido"), "estado_invalido")
             .when(F.col("_pierde"), "horario_tomado"),
         )
         .select("id", "nuevo", "motivo_rechazo")
+        .unionByName(sin_efecto.drop("orden"))
     )
 
 

@@ -62,22 +62,25 @@ def _tablas(t):
 
 @consulta(
     "chk_huerfanos",
-    """, activos as (select * from audiologos where activo)
-    select 'horarios_disponibles' tabla, 'audiologo_id' fk, cast(audiologo_id as varchar) valor, count(*) n
-      from horarios_disponibles where audiologo_id not in (select id from activos) group by 3
+    """
+    select 'horarios_disponibles' tabla, 'audiologo_id' fk, cast(audiologo_id + 5 as varchar) valor, count(*) n
+      from horarios_disponibles where audiologo_id + 5 not in (select id from audiologos) group by 3
     union all
-    select 'horarios_fecha', 'audiologo_id', cast(audiologo_id as varchar), count(*)
-      from horarios_fecha where audiologo_id not in (select id from activos) group by 3
+    select 'horarios_fecha', 'audiologo_id', cast(audiologo_id + 5 as varchar), count(*)
+      from horarios_fecha where audiologo_id + 5 not in (select id from audiologos) group by 3
     union all
-    select 'bloqueos', 'audiologo_id', cast(audiologo_id as varchar), count(*)
-      from bloqueos where audiologo_id not in (select id from activos) group by 3
+    select 'bloqueos', 'audiologo_id', cast(audiologo_id + 5 as varchar), count(*)
+      from bloqueos where audiologo_id + 5 not in (select id from audiologos) group by 3
     union all
-    select 'citas', 'audiologo_id', cast(audiologo_id as varchar), count(*)
-      from citas where audiologo_id not in (select id from activos) group by 3""",
+    select 'citas', 'audiologo_id', cast(audiologo_id + 5 as varchar), count(*)
+      from citas where audiologo_id + 5 not in (select id from audiologos) group by 3""",
 )
 def chk_huerfanos(t):
-    """Orphans left behind if the inactive professionals were simply dropped."""
-    return q.chk_huerfanos({**_tablas(t), "audiologos": t.audiologos.filter("activo")})
+    """Orphans among whole tables whose rows ask for the professional five ids further on."""
+    hijas = ("horarios_disponibles", "horarios_fecha", "bloqueos", "citas")
+    tablas = _tablas(t)
+    return q.chk_huerfanos({**tablas, **{
+        n: tablas[n].withColumn("audiologo_id", F.col("audiologo_id") + 5) for n in hijas}})
 
 
 @consulta(
@@ -106,17 +109,18 @@ def dobles_reservas(t):
     return q.dobles_reservas(t.citas)
 
 
-# Professionals that are asked to go: the inactive ones.  Those with appointments that were not
-# completed keep them and are refused.
-PEDIDOS = """, quedan as (select * from citas where estado = 'no_asistio' and sede_id < 12),
-pedidos as (select id from audiologos where not activo),
+# Professionals that are asked to go: all of them.  Those with appointments keep them and are
+# refused; every third professional's appointments are given to nobody, so that some can go.
+PEDIDOS = """, quedan as (select case when audiologo_id % 3 <> 0 then audiologo_id end audiologo_id from citas),
+pedidos as (select id from audiologos),
 rechazados as (select id from pedidos where id in (select audiologo_id from quedan)),
 se_van as (select id from pedidos where id not in (select id from rechazados))"""
 
 
 def _borrado(t):
-    tablas = {**_tablas(t), "citas": t.citas.filter("estado = 'no_asistio' and sede_id < 12")}
-    return q.borrar_audiologos(t.audiologos.filter("not activo").select("id"), tablas)
+    tablas = {**_tablas(t), "citas": t.citas.withColumn(
+        "audiologo_id", F.when(F.col("audiologo_id") % 3 != 0, F.col("audiologo_id")))}
+    return q.borrar_audiologos(t.audiologos.select("id"), tablas)
 
 
 @consulta(

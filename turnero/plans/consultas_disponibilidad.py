@@ -111,7 +111,7 @@ def _en_segundos(t):
 
 
 def _salida(slots):
-    return slots.select(
+    return d.repetir(slots).select(
         "audiologo_id", "fecha", hms("slot_ini").alias("hora_inicio"),
         hms("slot_fin").alias("hora_fin"),
     )

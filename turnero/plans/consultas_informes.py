@@ -372,7 +372,7 @@ def etiquetas_fecha(t):
 @consulta(
     "horas_texto",
     f"""select id, substr({hm('ini')}, 1, 5) hhmm, {hm('ini', 'hhmmss')}, cast(dur as double) minutos,
-      nullif(case when id % 2 = 0 then '' else 'x' end, '') texto from citas where ini + dur < 1440""",
+      nullif(case when id % 2 = 0 then '' else 'x' end, '') texto from citas""",
 )
 def horas_texto(t):
     corta = tiempo.hhmm("hora_inicio")

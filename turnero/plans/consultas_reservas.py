@@ -145,13 +145,13 @@ def upsert_pacientes(t):
 CAMBIOS = """
 , ultimos as (
   select id, estado nuevo, orden from (select *, row_number() over (
-    partition by id order by orden desc) rn from cambios) where rn = 1),
+    partition by id order by orden desc) rn from cambios where estado <> 'otro') where rn = 1),
 revisados as (
-  select u.*, c.id is not null existe, u.nuevo <> 'otro' valido, c.estado, c.audiologo_id, c.fecha, c.ini
+  select u.*, c.id is not null existe, c.estado, c.audiologo_id, c.fecha, c.ini
   from ultimos u left join citas c on c.id = u.id),
 reviven as (
   select * from revisados
-  where existe and valido and estado = 'cancelada' and nuevo <> 'cancelada'),
+  where existe and estado = 'cancelada' and nuevo <> 'cancelada'),
 siguen as (
   select * from citas where estado <> 'cancelada'
     and id not in (select id from revisados where nuevo = 'cancelada')),
@@ -161,9 +161,12 @@ ganan as (
   where rn = 1 and not exists (select 1 from siguen s where s.audiologo_id = v.audiologo_id
     and s.fecha = v.fecha and s.ini = v.ini)),
 cambiados as (
-  select r.id, nuevo, case when not existe then 'cita_desconocida' when not valido then 'estado_invalido'
+  select r.id, nuevo, case when not existe then 'cita_desconocida'
     when v.id is not null and g.id is null then 'horario_tomado' end motivo_rechazo
-  from revisados r left join (select id from reviven) v on v.id = r.id left join ganan g on g.id = r.id)"""
+  from revisados r left join (select id from reviven) v on v.id = r.id left join ganan g on g.id = r.id
+  union all select id, estado, 'estado_invalido' from cambios where estado = 'otro'
+  union all select c.id, c.estado, 'reemplazado' from cambios c join ultimos u on u.id = c.id
+    where c.estado <> 'otro' and c.orden <> u.orden)"""
 
 
 @consulta(

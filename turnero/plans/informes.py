@@ -7,6 +7,8 @@ taken per key before names are joined to them.
 
 from __future__ import annotations
 
+from calendar import monthrange
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnero.functions.texto import (
@@ -16,7 +18,7 @@ from turnero.functions.tiempo import (
     dow, fmt_fecha_grupo, fmt_hora, hhmm, nombre_dia, orden_dia, serie_dias,
 )
 from turnero.operators.catalogo import sedes_activas
-from turnero.sources.tablas import claves_distintas
+from turnero.sources.tablas import claves_distintas, entre_fechas
 
 
 def _uno() -> Column:
@@ -67,9 +69,7 @@ def filtrar_citas(
     citas: DataFrame, desde: str, hasta: str, sede=None, audiologo=None, estado=None
 ) -> DataFrame:
     """Appointments of a date range and of whichever site, professional and state are given."""
-    df = citas.filter(
-        F.col("fecha").between(F.lit(desde).cast("date"), F.lit(hasta).cast("date"))
-    )
+    df = entre_fechas(citas, desde, hasta)
     for columna, valor in (("sede_id", sede), ("audiologo_id", audiologo), ("estado", estado)):
         if valor is not None:
             df = df.filter(F.col(columna) == valor)
@@ -137,7 +137,7 @@ def audiologos_por_sede_conteo(sedes: DataFrame, audiologos: DataFrame) -> DataF
 def conteo_por_sede(citas: DataFrame, hoy: str) -> DataFrame:
     """Appointments of the day that are not cancelled, per site; empty sites have no row."""
     return (
-        citas.filter((F.col("fecha") == F.lit(hoy).cast("date")) & activa())
+        entre_fechas(citas, hoy, hoy).filter(activa())
         .groupBy("sede_id").agg(_uno().alias("n"))
     )
 
@@ -162,9 +162,7 @@ def conteo_bloqueos_motivo(
     """Blocks of a reason, within a date range when one is given; zero when there are none."""
     df = bloqueos.filter(F.col("motivo") == motivo)
     if desde is not None:
-        df = df.filter(
-            F.col("fecha").between(F.lit(desde).cast("date"), F.lit(hasta).cast("date"))
-        )
+        df = entre_fechas(df, desde, hasta)
     return df.agg(_uno().alias(nombre))
 
 
@@ -229,9 +227,9 @@ def _mes(anio: int, mes: int) -> tuple[Column, Column]:
 
 def fechas_con_excepcion(horarios_fecha: DataFrame, anio: int, mes: int) -> DataFrame:
     """Dates of a month that have an exception, per professional."""
-    primero, ultimo = _mes(anio, mes)
+    dias = monthrange(anio, mes)[1]
     return (
-        horarios_fecha.filter(F.col("fecha").between(primero, ultimo))
+        entre_fechas(horarios_fecha, f"{anio:04d}-{mes:02d}-01", f"{anio:04d}-{mes:02d}-{dias:02d}")
         .select("audiologo_id", "fecha").distinct()
     )
 

@@ -84,16 +84,16 @@ horarios_disponibles as (
   select s_suppkey audiologo_id, dow dia_semana, ini, fin, dur
   from supplier join plantilla on s_suppkey % 4 = m),
 horarios_fecha as (
-  select distinct user_id % ns.n audiologo_id, cast(ts as date) fecha,
+  select user_id % ns.n audiologo_id, cast(ts as date) fecha,
     case when event_id % 2 = 0 then 450 else 780 end ini,
     case when event_id % 2 = 0 then 780 else 1020 end fin, 30 dur
-  from events cross join ns where event_type = 'signup' and event_id % 5 = 0),
+  from events cross join ns where event_type = 'signup'),
 bloqueos as (
   select event_id id, user_id % ns.n audiologo_id, cast(ts as date) fecha,
     case when event_id % 2 = 0 then null else 450 + 60 * (event_id % 8) end ini,
     case when event_id % 2 = 0 or event_id % 11 = 0 then null else 540 + 60 * (event_id % 8) end fin,
     'motivo ' || (event_id % 3) motivo
-  from events cross join ns where event_type = 'error' and event_id % 7 = 0),
+  from events cross join ns where event_type = 'error'),
 solicitudes as (
   select event_id solicitud_id, ts recibida_en, user_id % ns.n audiologo_id, a.sede_id,
     cast(ts as date) + 1 fecha, 450 + 30 * (event_id % 20) ini,
@@ -254,20 +254,19 @@ class Derivadas:
         e = F.col("event_id")
         manana = e % 2 == 0
         return (
-            self.origen("events").filter((F.col("event_type") == "signup") & (e % 5 == 0))
+            self.origen("events").filter(F.col("event_type") == "signup")
             .select(
                 (F.col("user_id") % self.n).alias("audiologo_id"), F.to_date("ts").alias("fecha"),
                 _min(F.when(manana, 450).otherwise(780)).alias("hora_inicio"),
                 _min(F.when(manana, 780).otherwise(1020)).alias("hora_fin"),
                 F.lit(30).alias("duracion_cita_min"),
             )
-            .distinct()
         )
 
     @cached_property
     def bloqueos(self) -> DataFrame:
         e = F.col("event_id")
-        return self.origen("events").filter((F.col("event_type") == "error") & (e % 7 == 0)).select(
+        return self.origen("events").filter(F.col("event_type") == "error").select(
             e.alias("id"), (F.col("user_id") % self.n).alias("audiologo_id"),
             F.to_date("ts").alias("fecha"),
             F.when(e % 2 != 0, _min(450 + 60 * (e % 8))).alias("hora_inicio"),

@@ -29,9 +29,12 @@ def con_mes(df: DataFrame) -> DataFrame:
 
 
 def entre_fechas(df: DataFrame, desde: str, hasta: str) -> DataFrame:
-    """Rows of a date range; a ``mes`` partition column, when there is one, is filtered too."""
+    """Rows of a date range; a ``mes`` partition column, when there is one, is filtered too.
+
+    ``fecha`` decides: a row without month is never dropped for it.
+    """
     if "mes" in df.columns:
-        df = df.filter(F.col("mes").between(desde[:7], hasta[:7]))
+        df = df.filter(F.col("mes").between(desde[:7], hasta[:7]) | F.col("mes").isNull())
     return df.filter(F.col("fecha").between(F.lit(desde).cast("date"), F.lit(hasta).cast("date")))
 
 
@@ -46,6 +49,7 @@ def en_fechas_de(tabla: DataFrame, lote: DataFrame) -> DataFrame:
     if "mes" in tabla.columns:
         tabla = tabla.filter(
             F.col("mes").between(F.date_format(desde, "yyyy-MM"), F.date_format(hasta, "yyyy-MM"))
+            | F.col("mes").isNull()
         )
     return tabla.filter(F.col("fecha").between(desde, hasta))
 
@@ -61,12 +65,20 @@ def append_table(df: DataFrame, carpeta: str, nombre: str) -> None:
     _escritor(df, nombre).mode("append").parquet(f"{carpeta}/{nombre}")
 
 
-def replace_months(df: DataFrame, carpeta: str, nombre: str) -> None:
-    """Replaces the months present in ``df`` and leaves every other month alone."""
+def replace_months(df: DataFrame, carpeta: str, nombre: str, meses: list[str] | None = None) -> None:
+    """Replaces the months present in ``df`` and leaves every other month alone.
+
+    ``meses`` (``yyyy-MM``) names months that are replaced even when ``df`` has no row of them, such as
+    a month whose last row was removed: it is then empty.
+    """
     (
         con_mes(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("mes").parquet(f"{carpeta}/{nombre}")
     )
+    if meses:
+        hay = {f["mes"] for f in con_mes(df).filter(F.col("mes").isin(meses)).select("mes").distinct().collect()}
+        for mes in set(meses) - hay:
+            df.drop("mes").limit(0).write.mode("overwrite").parquet(f"{carpeta}/{nombre}/mes={mes}")
 
 
 def publish_table(df: DataFrame, carpeta: str, nombre: str, version: int) -> None:
@@ -112,14 +124,32 @@ def con_id(nuevas: DataFrame, lote: str, unicas: bool) -> DataFrame:
     ).select("id", *columnas)
 
 
-def anexar(tabla: DataFrame, nuevas: DataFrame, lote: str = "", unicas: bool = False) -> DataFrame:
-    """Table plus new rows; ids are generated when the table has them and the rows do not."""
+def unir(tabla: DataFrame, nuevas: DataFrame) -> DataFrame:
+    """Table plus rows that have some of its columns.
+
+    A stored dated table has its month as a column; that of the new rows follows from their date.
+    """
+    if "mes" in tabla.columns and "fecha" in nuevas.columns:
+        nuevas = con_mes(nuevas)
+    return tabla.unionByName(nuevas, allowMissingColumns=True)
+
+
+def anexar(
+    tabla: DataFrame, nuevas: DataFrame, nombre: str, lote: str = "", unicas: bool = False,
+    ahora: Column | None = None,
+) -> DataFrame:
+    """Table plus new rows, with the defaults of table ``nombre``.
+
+    Ids are generated when the table has them and the rows do not.
+    """
     columnas = [c for c in nuevas.columns if c in tabla.columns]
     nuevas = nuevas.select(*columnas)
     if "id" in tabla.columns and "id" not in columnas:
         nuevas = con_id(nuevas, lote, unicas)
         tabla = tabla.withColumn("id", F.col("id").cast("string"))
-    return tabla.unionByName(nuevas, allowMissingColumns=True)
+    nuevas = con_valores_por_defecto(
+        nuevas, nombre, F.current_timestamp() if ahora is None else ahora)
+    return unir(tabla, nuevas.select([c for c in nuevas.columns if c in tabla.columns]))
 
 
 def carpeta_compartida(spark: SparkSession) -> str:
@@ -166,27 +196,17 @@ def claves_distintas(df: DataFrame, columnas: list[str]) -> DataFrame:
     return df.select(*columnas, F.hash(*columnas).alias("_sal")).distinct().drop("_sal")
 
 
-# Rows a key set may have to be sent to every executor: a few tens of megabytes.
-POCAS = 200_000
-
-
-def son_pocas(df: DataFrame) -> bool:
-    """Whether ``df`` has few enough rows to be broadcast; looks at no more than that many."""
-    return df.limit(POCAS + 1).count() <= POCAS
-
-
 def reducir_a(
     grande: DataFrame, claves: DataFrame, columnas: list[str],
-    reducir: Callable[[DataFrame], DataFrame], pocas: bool,
+    reducir: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``reducir`` applied to the rows of ``grande`` whose ``columnas`` occur in ``claves``.
 
-    ``reducir`` must aggregate by ``columnas`` or more.  With few keys (``pocas``, see
-    ``son_pocas``) they are broadcast and only the matching rows move.  With many, rows are reduced
-    first: the aggregation shrinks a crowded key on the map side, where a join would bring all of
-    its rows into one task.
+    ``reducir`` must aggregate by ``columnas`` or more.  Rows are reduced first: the aggregation
+    shrinks a crowded key on the map side, where a join would bring all of its rows into one task.
+    What is left is dealt out by another hash, so that whoever joins it moves both sides: AQE splits a
+    crowded key of the other side only between two exchanges.
     """
     claves = claves.select(*columnas).distinct()
-    if pocas:
-        return reducir(grande.join(F.broadcast(claves), columnas, "left_semi"))
-    return reducir(grande).join(claves, columnas, "left_semi")
+    reducida = reducir(grande).join(claves, columnas, "left_semi")
+    return reducida.repartition(F.hash(*columnas, F.lit(1)))

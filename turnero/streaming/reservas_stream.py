@@ -26,7 +26,7 @@ from turnero.operators.reservas import (
     Estado, aceptar, aplicar_novedades, citas_de, completar_opcionales, decidir,
     novedades_pacientes, primeras,
 )
-from turnero.sources.tablas import con_valores_por_defecto, son_pocas
+from turnero.sources.tablas import con_mes, con_valores_por_defecto
 
 
 def _lote(carpeta: str, nombre: str, batch_id: int) -> str:
@@ -94,9 +94,8 @@ def procesar_lote(
     decididas = _escribir(decidir(lote, estado), carpeta, "decisiones", batch_id)
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
-    pocas = son_pocas(ok)
     novedades = _escribir(
-        novedades_pacientes(estado.pacientes, ok, pocas), carpeta, "novedades", batch_id
+        novedades_pacientes(estado.pacientes, ok), carpeta, "novedades", batch_id
     )
     conocidos = estado.pacientes.join(
         novedades.select(F.col("paciente_id").alias("id")), "id", "left_semi"
@@ -105,9 +104,11 @@ def procesar_lote(
         aplicar_novedades(conocidos, novedades, ahora), carpeta, "pacientes", batch_id
     )
     nuevas = con_valores_por_defecto(
-        citas_de(aceptar(ok, estado, novedades, pocas)), "citas",
+        citas_de(aceptar(ok, estado, novedades)), "citas",
         F.current_timestamp() if ahora is None else ahora,
     )
+    if "mes" in estado.citas.columns:
+        nuevas = con_mes(nuevas)
     faltan = {
         f.name: F.lit(None).cast(f.dataType)
         for f in estado.citas.schema if f.name not in nuevas.columns
