@@ -86,9 +86,9 @@ def enlaces(huellas: DataFrame, distancia: int = DISTANCIA) -> DataFrame:
         sondas.append(F.struct(F.lit(g).alias("rejilla"), celda.alias("celda"),
                                F.lit(False).alias("paso")))
         for j in campos:
-            # A count below 2 has a cell one step above: 0 to 1, or 1 to 2 with the carry.
+            # A count below 2 has a cell one step above: 0 to 1 flips one bit, 1 to 2 flips both.
             campo = F.shiftrightunsigned(F.col("v"), 2 * j).bitwiseAND(F.lit(3).cast("long"))
-            sube = campo.bitwiseXOR(F.when(campo == 0, 1).otherwise(3).cast("long"))
+            sube = F.when(campo == 0, 1).otherwise(3).cast("long")
             arriba = celda.bitwiseXOR(F.shiftleft(sube, 2 * j))
             sondas.append(F.when(campo < 2, F.struct(
                 F.lit(g).alias("rejilla"), arriba.alias("celda"), F.lit(True).alias("paso"))))
