@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -270,6 +271,18 @@ def contaminados_brutos(docs, items):
     return salida
 
 
+def test_mascaras_sin_perdidas():
+    """Any tolerated set of substitutions leaves a hit, for items of every size."""
+    tramo = op7.TRAMO
+    for n in range(tramo, op7.VENTANA + 1):
+        sobran = n - math.ceil(n * op7.PARECIDO)
+        for malas in itertools.combinations(range(n), sobran):
+            assert any(
+                not {i + p for p in m} & set(malas)
+                for i in range(n - tramo + 1) for m in op7.MASCARAS
+            ), (n, malas)
+
+
 def test_descontaminar_con_sustituciones(spark):
     rng = random.Random(11)
     items = {i: prosa(rng.randint(14, 40), rng) for i in range(8)} | {90: "uno dos tres"}

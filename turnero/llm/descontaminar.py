@@ -13,7 +13,8 @@ alignment once.  The token array of a document is built once however many hits i
 are no more than its windows times the items that share one.
 
 Defined results.  Null and short texts have no window and are never contaminated, and an item of fewer
-than ``TRAMO`` tokens is too short to be evidence.  Items with equal tokens are reported under
+than ``TRAMO`` tokens is too short to be evidence; at least ``TRAMO`` aligned tokens must lie in the
+document.  Items with equal tokens are reported under
 the least id.  Rows that repeat id and text are one document.  A null document id is reported as
 null.  An empty table gives an empty result.
 """
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnero.sources.tablas import materializar
 
 TRAMO = 8
-# Kept positions of the masks; of any 8 tokens at least one mask forgives each single substitution.
-MASCARAS = [(0, 1, 2, 4, 7), (0, 1, 3, 6, 7), (0, 3, 4, 5, 6)]
+# Kept positions of the masks.  Wherever the substitutions stand that VENTANA and PARECIDO tolerate, some
+# window of the aligned tokens keeps clear of them under one of these masks, so no overlap is missed.
+MASCARAS = [(0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 1, 3, 6, 7), (2, 3, 4, 6, 7)]
 VENTANA = 13
 PARECIDO = 0.8
 MAX_DIFUSION = 1_000_000
