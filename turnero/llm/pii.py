@@ -108,7 +108,10 @@ class Fichas:
                 continue
             while k < len(spans) and spans[k][2] <= m.start():
                 k += 1
-            cubre = [s[1] for s in spans[k:k + 8] if s[0] < m.end() and s[2] > m.start()]
+            hasta = k
+            while hasta < len(spans) and spans[hasta][0] < m.end():
+                hasta += 1
+            cubre = [s[1] for s in spans[k:hasta] if s[2] > m.start()]
             i = len(self.sitios)
             limpia = palabra.strip(BORDES)
             inicio = m.start() + palabra.find(limpia) if limpia else m.start()
