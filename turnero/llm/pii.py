@@ -35,10 +35,11 @@ SEGURO = 0.9
 RONDAS = 12
 LOTE = 256  # documents whose messages are computed together
 
-# The base patterns.  An e-mail address is found from its @ on both sides.
+# The base patterns.  An e-mail address is found from its @ on both sides.  An address
+# in digits can only start where a run of digits does, so a long run is looked at once.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMINIO = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 TARJETA = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 TELEFONO = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 

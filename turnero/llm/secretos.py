@@ -78,9 +78,8 @@ def _bits(c: Column) -> Column:
 def entropia_maxima(cadena: Column, alfabeto: str, ventana: int = VENTANA) -> Column:
     """Largest entropy of any window of a string, by counts that change with each step."""
     letras = len(alfabeto)
-
-    def numero(i: Column) -> Column:
-        return F.instr(F.lit(alfabeto), F.substring(cadena, i, F.lit(1)))
+    # Each character's place in the alphabet, from 1, taken once: a step looks up two of them.
+    numeros = F.transform(F.split(cadena, ""), lambda c: F.instr(F.lit(alfabeto), c))
 
     def cambiar(s: Column, entra: Column, sale: Column) -> Column:
         """Adds character number ``entra`` and takes ``sale`` out (0: none)."""
@@ -94,18 +93,21 @@ def entropia_maxima(cadena: Column, alfabeto: str, ventana: int = VENTANA) -> Co
 
         return con(s["cuentas"], con_cuentas)
 
-    def paso(s: Column, i: Column) -> Column:
-        sale = F.when(i > ventana, numero(i - ventana)).otherwise(0)
-        nuevo = con(numero(i), lambda e: con(sale, lambda o: cambiar(s, e, o)))
-        return con(nuevo, lambda n: F.struct(
-            n["cuentas"].alias("cuentas"), n["suma"].alias("suma"),
-            F.when(i >= ventana, F.greatest(s["mayor"], F.lit(math.log2(ventana)) - n["suma"] / ventana))
-            .otherwise(s["mayor"]).alias("mayor"),
-        ))
+    def pasos(ns: Column) -> Column:
+        def paso(s: Column, i: Column) -> Column:
+            sale = F.when(i > ventana, F.get(ns, i - ventana - 1)).otherwise(0)
+            nuevo = con(F.get(ns, i - 1), lambda e: con(sale, lambda o: cambiar(s, e, o)))
+            return con(nuevo, lambda n: F.struct(
+                n["cuentas"].alias("cuentas"), n["suma"].alias("suma"),
+                F.when(i >= ventana, F.greatest(s["mayor"], F.lit(math.log2(ventana)) - n["suma"] / ventana))
+                .otherwise(s["mayor"]).alias("mayor"),
+            ))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(cadena)), cero, paso)["mayor"]
 
     cero = F.struct(F.array_repeat(F.lit(0), letras).alias("cuentas"), F.lit(0.0).alias("suma"),
                     F.lit(0.0).alias("mayor"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(cadena)), cero, paso)["mayor"]
+    return con(numeros, pasos)
 
 
 def con_entropia(texto: Column, permitidos: str) -> Column:
