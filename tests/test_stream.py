@@ -1,9 +1,14 @@
 """Streaming intake equals one batch, also when a batch is run again."""
 
+import pytest
+
 from tests.tablas_prueba import estado, filas
 from tests.test_reservas import A, SOLICITUD, lote_al_azar, solicitudes
 from turnero.operators.reservas import reservar
-from turnero.streaming.reservas_stream import decisiones, estado_en, procesar_lote, reservas_stream
+from turnero.streaming import reservas_stream as reservas_stream_mod
+from turnero.streaming.reservas_stream import (
+    decisiones, estado_en, lotes, procesar_lote, reservas_stream,
+)
 
 PACIENTE = ("id", "nombre", "telefono", "email", "eps")
 CITA = ("id", "paciente_id", "audiologo_id", "fecha", "hora_inicio", "hora_fin", "estado")
@@ -48,3 +53,33 @@ def test_repetir_un_lote_no_cambia_nada(spark, tmp_path):
         procesar_lote(solicitudes(spark, parte), lote, base, carpeta)
         procesar_lote(solicitudes(spark, parte), lote, base, carpeta)
     _comparar(spark, carpeta, base, lista)
+
+
+def test_otro_checkpoint_sigue_donde_quedo(spark, tmp_path):
+    """A new checkpoint starts at batch 0 again and erases nothing."""
+    lista, citas, pac = lote_al_azar(7, 40)
+    lista.sort(key=lambda f: f[1])
+    base, carpeta = estado(spark, citas, pac, A), str(tmp_path / "tablas")
+    for k, parte in enumerate((lista[:20], lista[20:])):
+        entrada = str(tmp_path / f"entrada{k}")
+        solicitudes(spark, parte).coalesce(1).write.parquet(entrada)
+        fuente = spark.readStream.schema(SOLICITUD).parquet(entrada)
+        reservas_stream(fuente, base, carpeta, str(tmp_path / f"chk{k}")).awaitTermination()
+    assert {f["lote"] for f in lotes(spark, carpeta).collect()} == {0}
+    _comparar(spark, carpeta, base, lista)
+
+
+def test_lote_a_medias_no_cuenta(spark, tmp_path, monkeypatch):
+    """A batch that breaks off before its commit row leaves nothing behind for readers."""
+    lista, citas, pac = lote_al_azar(8, 30)
+    lista.sort(key=lambda f: f[1])
+    base, carpeta = estado(spark, citas, pac, A), str(tmp_path)
+    assert decisiones(spark, carpeta, SOLICITUD).isEmpty()
+    procesar_lote(solicitudes(spark, lista[:15]), 0, base, carpeta)
+    with monkeypatch.context() as m:
+        m.setattr(reservas_stream_mod, "citas_de", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            procesar_lote(solicitudes(spark, lista[15:]), 1, base, carpeta)
+    assert decisiones(spark, carpeta, SOLICITUD).count() == 15
+    procesar_lote(solicitudes(spark, lista[15:]), 1, base, carpeta)
+    _comparar(spark, carpeta, base, lista)

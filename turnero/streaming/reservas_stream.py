@@ -1,24 +1,29 @@
 """Booking requests as a stream.
 
 Each micro-batch is one bulk booking against the tables as the earlier batches left them.  What a
-batch adds is kept under its own ``lote=<batch>`` folder:
+batch adds is kept in four parts, each under a folder of this attempt's own (``intento=<id>``):
 
 * ``decisiones``: every request with its reason, null when accepted;
 * ``novedades``: per phone of the accepted requests, what it adds or changes;
 * ``citas``: the new appointments;
 * ``pacientes``: the new or changed patients, whole rows.
 
-A batch reads the stored tables plus the folders of *earlier* batches only and overwrites its own.
-Its ids are hashes and its rules are deterministic, so a batch that is run again after a failure
-writes the same rows again (pass ``ahora`` to fix the timestamps of new rows as well).  The stored
-tables are never rewritten: a batch moves data in proportion to itself.  Late requests are simply
-later in order; there is no event-time rule.
+One row in ``lotes``, written when all four are complete, makes the batch count: readers take the
+attempts listed there and no others, so a batch that broke off half-way is as if it had never been.
+The row names the streaming query (its id lasts as long as its checkpoint) and the batch.  A batch
+that is already listed is not decided again, and a new checkpoint over the same folder goes on from
+what the earlier ones booked.  Nothing is ever overwritten, neither the stored tables nor what an
+earlier batch wrote.  Late requests are simply later in order; there is no event-time rule.
+One query at a time may write to a folder.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import uuid
+from concurrent.futures import Future
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,27 +33,38 @@ from turnero.operators.reservas import (
 )
 from turnero.sources.tablas import con_mes, con_valores_por_defecto
 
+LOTES = T.StructType([
+    T.StructField("corrida", T.StringType()), T.StructField("lote", T.LongType()),
+    T.StructField("orden", T.LongType()), T.StructField("intento", T.StringType()),
+])
 
-def _lote(carpeta: str, nombre: str, batch_id: int) -> str:
-    return f"{carpeta}/{nombre}/lote={batch_id}"
 
+def lotes(spark: SparkSession, carpeta: str) -> DataFrame:
+    """The batches that count, one row each; none before the first."""
+    try:
+        return spark.read.schema(LOTES).parquet(f"{carpeta}/lotes")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LOTES)
 
-def _escribir(df: DataFrame, carpeta: str, nombre: str, batch_id: int) -> DataFrame:
+
+def _escribir(df: DataFrame, carpeta: str, nombre: str, intento: str) -> DataFrame:
     """Writes one part of a batch and reads it back, which also cuts its lineage."""
-    ruta = _lote(carpeta, nombre, batch_id)
-    df.write.mode("overwrite").parquet(ruta)
+    ruta = f"{carpeta}/{nombre}/intento={intento}"
+    df.write.parquet(ruta)
     return df.sparkSession.read.schema(df.schema).parquet(ruta)
 
 
-def _anteriores(
-    spark: SparkSession, carpeta: str, nombre: str, esquema, antes_de: int | None
-) -> DataFrame | None:
-    """Rows written by batches before ``antes_de`` (all of them when it is null)."""
-    if antes_de == 0:
-        return None
-    con_lote = T.StructType([*esquema.fields, T.StructField("lote", T.IntegerType())])
-    df = spark.read.schema(con_lote).parquet(f"{carpeta}/{nombre}")
-    return df if antes_de is None else df.filter(F.col("lote") < antes_de)
+def _parte(spark: SparkSession, carpeta: str, nombre: str, esquema: T.StructType) -> DataFrame:
+    """One part of all batches that count, with ``orden``, the place of a row's batch."""
+    # The list is read first: every attempt in it is complete by the time the part is looked at.
+    cuentan = lotes(spark, carpeta).select("intento", "orden")
+    if cuentan.isEmpty():
+        return spark.createDataFrame([], esquema).withColumn("orden", F.lit(0).cast("long"))
+    con_intento = T.StructType([*esquema.fields, T.StructField("intento", T.StringType())])
+    df = spark.read.schema(con_intento).parquet(f"{carpeta}/{nombre}")
+    return df.join(cuentan, "intento").drop("intento")
 
 
 def _esquemas(estado: Estado) -> Estado:
@@ -62,46 +78,46 @@ def _esquemas(estado: Estado) -> Estado:
     )
 
 
-def estado_en(
-    spark: SparkSession, base: Estado, carpeta: str, antes_de: int | None = None
-) -> Estado:
-    """The tables with what batches before ``antes_de`` (or all batches) wrote.
-
-    A patient changed by several batches is the row of the last one.
-    """
+def estado_en(spark: SparkSession, base: Estado, carpeta: str) -> Estado:
+    """The tables with what all batches added; a patient changed by several is as the last left it."""
     base = _esquemas(base)
-    citas = _anteriores(spark, carpeta, "citas", base.citas.schema, antes_de)
-    pacientes = _anteriores(spark, carpeta, "pacientes", base.pacientes.schema, antes_de)
-    if citas is None or pacientes is None:
-        return base
-    ultimos = primeras(pacientes, ["id"], [F.desc("lote")]).drop("lote")
+    citas = _parte(spark, carpeta, "citas", base.citas.schema)
+    pacientes = _parte(spark, carpeta, "pacientes", base.pacientes.schema)
+    ultimos = primeras(pacientes, ["id"], [F.desc("orden")]).drop("orden")
     sin_cambio = base.pacientes.join(ultimos.select("id"), "id", "left_anti")
     return dataclasses.replace(
         base,
-        citas=base.citas.unionByName(citas.drop("lote")),
+        citas=base.citas.unionByName(citas.drop("orden")),
         pacientes=sin_cambio.unionByName(ultimos),
     )
 
 
 def procesar_lote(
     solicitudes: DataFrame, batch_id: int, base: Estado, carpeta: str,
-    ahora: Column | None = None,
+    ahora: Column | None = None, corrida: str = "",
 ) -> None:
-    """Decides one micro-batch and writes what it adds."""
+    """Decides one micro-batch of the query ``corrida`` and writes what it adds."""
     spark = solicitudes.sparkSession
-    estado = estado_en(spark, base, carpeta, batch_id)
+    hechos = lotes(spark, carpeta)
+    este = (F.col("corrida") == corrida) & (F.col("lote") == batch_id)
+    antes = hechos.agg(
+        F.coalesce(F.max("orden"), F.lit(0)).alias("orden"), F.count_if(este).alias("veces")).first()
+    if antes["veces"]:
+        return
+    intento = uuid.uuid4().hex
+    estado = estado_en(spark, base, carpeta)
     lote = completar_opcionales(solicitudes)
-    decididas = _escribir(decidir(lote, estado), carpeta, "decisiones", batch_id)
+    decididas = _escribir(decidir(lote, estado), carpeta, "decisiones", intento)
     ok = decididas.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
     novedades = _escribir(
-        novedades_pacientes(estado.pacientes, ok), carpeta, "novedades", batch_id
+        novedades_pacientes(estado.pacientes, ok), carpeta, "novedades", intento
     )
     conocidos = estado.pacientes.join(
         novedades.select(F.col("paciente_id").alias("id")), "id", "left_semi"
     )
     _escribir(
-        aplicar_novedades(conocidos, novedades, ahora), carpeta, "pacientes", batch_id
+        aplicar_novedades(conocidos, novedades, ahora), carpeta, "pacientes", intento
     )
     nuevas = con_valores_por_defecto(
         citas_de(aceptar(ok, estado, novedades)), "citas",
@@ -117,8 +133,10 @@ def procesar_lote(
     tipos = {f.name: f.dataType for f in estado.citas.schema}
     _escribir(
         nuevas.select(*[F.col(c).cast(t).alias(c) for c, t in tipos.items()]),
-        carpeta, "citas", batch_id,
+        carpeta, "citas", intento,
     )
+    hecho = spark.createDataFrame([(corrida, batch_id, antes["orden"] + 1, intento)], LOTES)
+    hecho.coalesce(1).write.mode("append").parquet(f"{carpeta}/lotes")
 
 
 def reservas_stream(
@@ -129,16 +147,19 @@ def reservas_stream(
 
     ``carpeta`` and ``checkpoint`` must be in storage every executor reaches.
     """
-    return (
+    corrida: Future[str] = Future()  # known once the query has started
+    consulta = (
         fuente.writeStream
-        .foreachBatch(lambda df, i: procesar_lote(df, i, base, carpeta, ahora))
+        .foreachBatch(lambda df, i: procesar_lote(df, i, base, carpeta, ahora, corrida.result()))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    corrida.set_result(str(consulta.id))
+    return consulta
 
 
-def decisiones(spark: SparkSession, carpeta: str, esquema) -> DataFrame:
+def decisiones(spark: SparkSession, carpeta: str, esquema: T.StructType) -> DataFrame:
     """Every request decided so far; ``esquema`` is that of the requests."""
     campos = T.StructType([*esquema.fields, T.StructField("motivo_rechazo", T.StringType())])
-    return _anteriores(spark, carpeta, "decisiones", campos, None).drop("lote")
+    return _parte(spark, carpeta, "decisiones", campos).drop("orden")
