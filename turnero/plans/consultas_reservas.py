@@ -9,7 +9,7 @@ from turnero.operators import panel, reservas as r
 from turnero.plans.registro import DESDE, consulta, hm
 from turnero.sources.derivadas import solicitudes_de
 from turnero.sources.tablas import carpeta_de_trabajo
-from turnero.streaming.reservas_stream import decisiones, reservas_stream
+from turnero.streaming.reservas_stream import decisiones, estado_en, reservas_stream
 
 VALIDAS = """
 , revisadas as (
@@ -318,8 +318,8 @@ def form_valida(t):
 # ---- Stream ----
 
 
-@consulta("reservas_stream", DECIDIDAS + "select solicitud_id, motivo_rechazo from decididas")
-def consulta_stream(t) -> DataFrame:
+def _por_flujo(t) -> tuple[str, DataFrame]:
+    """Takes all requests in as a stream; its folder and the streaming source."""
     eventos = t.origen("events")
     llegan = (
         t.spark.readStream.schema(eventos.schema)
@@ -329,4 +329,25 @@ def consulta_stream(t) -> DataFrame:
     carpeta = carpeta_de_trabajo(t.spark, "reservas")
     fuente = t.con_sede(solicitudes_de(llegan, profesionales), "left")
     reservas_stream(fuente, t.estado(), carpeta, f"{carpeta}/checkpoint").awaitTermination()
+    return carpeta, fuente
+
+
+@consulta("reservas_stream", DECIDIDAS + "select solicitud_id, motivo_rechazo from decididas")
+def consulta_stream(t) -> DataFrame:
+    carpeta, fuente = _por_flujo(t)
     return decisiones(t.spark, carpeta, fuente.schema).select("solicitud_id", "motivo_rechazo")
+
+
+@consulta(
+    "reservas_stream_citas",
+    DECIDIDAS + DURACION.format(base="ok") + PACIENTES + f"{CITAS_TXT} union all {NUEVAS}",
+)
+def consulta_stream_citas(t) -> DataFrame:
+    carpeta, _ = _por_flujo(t)
+    return estado_en(t.spark, t.estado(), carpeta).citas.select(*CITA)
+
+
+@consulta("reservas_stream_pacientes", DECIDIDAS + PACIENTES + "select * from pacientes_despues")
+def consulta_stream_pacientes(t) -> DataFrame:
+    carpeta, _ = _por_flujo(t)
+    return estado_en(t.spark, t.estado(), carpeta).pacientes
