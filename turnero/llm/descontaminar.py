@@ -8,8 +8,8 @@ of the alignment are compared: a document is contaminated by an item when, in so
 tokens in a row (the whole item if it is shorter), at least ``PARECIDO`` of them are equal.
 
 How it scales.  Window hashes meet the benchmark's by a broadcast when a count shows that these are at
-most ``MAX_DIFUSION`` rows, else by a shuffle join; both give the same rows.  Only hits move on, each
-alignment once.  The token array of a document is built once however many hits it has, and its hits
+most ``MAX_DIFUSION`` rows, else by a shuffle join; both give the same rows.  Of the windows only
+hits move on, each alignment once; texts move once, to meet their hits.  The token array of a document is built once however many hits it has, and its hits
 are no more than its windows times the items that share one.
 
 Defined results.  Null and short texts have no window and are never contaminated, and an item of fewer
