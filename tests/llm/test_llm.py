@@ -181,6 +181,46 @@ def test_pasaje_repetido_se_quita_una_vez(spark):
             x for x in textos[i].split("\n") if x not in pasaje and x != larga]
 
 
+def test_pasajes_cortos_como_fuerza_bruta(spark):
+    """Every run of over 50 words that stands before goes whole, short or long, and chunks go besides."""
+    rng = random.Random(8)
+    pasajes = [[prosa(-(-60 // n), rng) for _ in range(n)] for n in range(1, 7) for _ in range(4)]
+    pasajes += [[p[0], "", *p[1:]] for p in pasajes[5:9]]
+    docs = {}
+    for i in range(60):
+        lineas = [prosa(rng.randint(0, 9), rng) for _ in range(rng.randint(0, 6))]
+        for p in rng.sample(pasajes, 2):
+            # Part of a passage, or all of it.
+            a, b = (0, len(p)) if rng.random() < 0.6 else sorted(rng.sample(range(len(p) + 1), 2))
+            lineas += [*p[a:b], *(prosa(rng.randint(0, 9), rng) for _ in range(rng.randint(0, 3)))]
+        docs[i] = lineas
+    docs[60] = [prosa(30, rng)] * 5
+
+    def bruto(docs):
+        vistos, fuera = set(), {i: set() for i in docs}
+        for i, lineas in docs.items():
+            w = [len(x.split()) for x in lineas]
+            for a in range(len(lineas)):
+                for b in range(a, len(lineas)):
+                    if w[a] and w[b] and sum(w[a:b + 1]) > 50:
+                        t = tuple(lineas[a:b + 1])
+                        fuera[i] |= set(range(a, b + 1)) if t in vistos else set()
+                        vistos.add(t)
+        return fuera
+
+    esperado = bruto(docs)
+    d = tabla(spark, [(i, "\n".join(x)) for i, x in docs.items()])
+    # A divisor so large that there are no cuts leaves whole documents as chunks, and none is repeated.
+    filas = {f["doc_id"]: f for f in op3.dedup_lineas(d, divisor=2**40).collect()}
+    for i, lineas in docs.items():
+        assert filas[i]["text"] == "\n".join(x for k, x in enumerate(lineas) if k not in esperado[i]), i
+        assert filas[i]["removed_lines"] == len(esperado[i])
+        assert filas[i]["removed_chunks"] == len([k for k in esperado[i] if k - 1 not in esperado[i]])
+    assert sum(map(len, esperado.values())) > 100
+    for f in op3.dedup_lineas(d).collect():
+        assert f["removed_lines"] >= len(esperado[f["doc_id"]])
+
+
 # ---- 4 ----
 
 

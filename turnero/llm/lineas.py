@@ -1,31 +1,43 @@
-"""Line dedup: repeated passages of several lines, found by content-defined chunks.
+"""Line dedup: repeated passages of several lines, found by content-defined chunks and least passages.
 
 A document's lines are hashed, and a rolling hash over the last ``VENTANA`` line hashes (cyclic
 polynomial: rotate and exclusive-or) ends a chunk after each line where its value modulo
-``DIVISOR`` is 0.  A line of more than ``LINEA_LARGA`` words is a passage by itself and always its
-own chunk.  Boundaries depend on the lines next to them alone, so a passage keeps its inner chunks
-wherever it stands.  Chunks of two or more lines, or of one long line, that occur again anywhere
-are compared byte by byte with their first occurrence and removed, except that first one.
-
-How it scales.  The first occurrence of a chunk is a minimum, combined before it moves.  Other occurrences
-move as numbers and meet its text in a join between two exchanges, which AQE splits for a crowded
-chunk; the comparison is made in the document's own row.
-
-Defined results.  Null text counts as empty and comes back empty.  Occurrences go by document id (null
-last), text hash and place.  Rows that repeat id and text are one document and come back that often.
-Chunks without any visible character are kept.  Two chunks of equal hash and different bytes are
-different; the one that is not the first stays.  An empty table gives an empty result.
+``DIVISOR`` is 0.  Boundaries depend on the lines next to them alone, so a passage keeps its inner chunks
+wherever it stands.  Chunks of two or more lines that occur again anywhere go, except the first one.
+
+Chunks alone miss short passages and the edges of long ones.  So a document also has its least passages: from
+each line with words forward, and from each line with words back, the fewest lines that hold more than
+``PASAJE`` words.  Both depend on their own lines alone, and those inside a run of lines of more than
+``PASAJE`` words cover it: a line of the run starts one that ends inside, or else lies in the one that ends
+with the run.  So every run of more than ``PASAJE`` words that stands somewhere before goes whole, be it
+one line or many, wherever else its parts occur.
+
+Chunks and least passages that occur again are joined to runs that match one earlier place, and the runs
+are compared byte by byte with that place before they are removed.
+
+How it scales.  A document has fewer than three hashes a line.  The first place of a hash is a minimum,
+combined before it moves.  Other places move as numbers and meet it in a join between two exchanges, which
+AQE splits for a crowded hash; runs meet the documents they are compared with in the same way.  Text moves
+to be compared: once to where first places are picked out, once to the document's own row.
+
+Defined results.  Null text counts as empty and comes back empty.  Places go by document id (null
+last), text hash and line.  Rows that repeat id and text are one document and come back that often.
+A line goes only when the same line stays at an earlier place.  A passage begins and ends with a line that has
+words: blank lines at its edges may stay.  Chunks without any visible character are kept.  A run whose
+bytes are not those of the earlier place stays, equal hashes or not.  ``removed_chunks`` counts the runs of
+lines taken out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnero.sources.tablas import materializar
+from turnero.sources.tablas import claves_distintas, materializar
 
 VENTANA = 2
 DIVISOR = 2
-LINEA_LARGA = 50  # words
+PASAJE = 50  # words
+PALABRA = r"[^\x20\x09-\x0D]+"
 
 
 def con(valor: Column, f) -> Column:
@@ -37,107 +49,148 @@ def _rota(h: Column, n: int) -> Column:
     return F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n)) if n else h
 
 
-def cortes(lineas: Column, ventana: int, divisor: int, linea_larga: int | None) -> Column:
-    """Chunks of an array of lines as an array of (``desde``, ``hasta``), both inclusive, from 0."""
-    def con_hashes(h: Column, larga: Column) -> Column:
-        n = F.size(h)
+def partir(texto: Column) -> Column:
+    return F.split(F.coalesce(texto, F.lit("")), "\n", -1)
 
-        def corta(i: Column) -> Column:
-            rueda = h[i]
-            for k in range(1, ventana):
-                rueda = rueda.bitwiseXOR(_rota(F.coalesce(F.get(h, i - k), F.lit(0)), k))
-            limite = (F.pmod(rueda, F.lit(divisor)) == 0) | (i == n - 1)
-            return limite | larga[i] | F.coalesce(F.get(larga, i + 1), F.lit(False))
 
-        finales = F.filter(F.sequence(F.lit(0), n - 1), corta)
-        return con(finales, lambda e: F.transform(e, lambda fin, k: F.struct(
-            F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1).alias("desde"), fin.alias("hasta"))))
+def cortes(h: Column, ventana: int, divisor: int) -> Column:
+    """Chunks of an array of line hashes as an array of (``k``, ``n``): first line, from 0, and lines."""
+    n = F.size(h)
 
-    def palabras(linea: Column) -> Column:
-        return F.size(F.regexp_extract_all(linea, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    def corta(i: Column) -> Column:
+        rueda = h[i]
+        for k in range(1, ventana):
+            rueda = rueda.bitwiseXOR(_rota(F.coalesce(F.get(h, i - k), F.lit(0)), k))
+        return (F.pmod(rueda, F.lit(divisor)) == 0) | (i == n - 1)
 
-    largas = F.transform(lineas, lambda x: (
-        F.lit(False) if linea_larga is None
-        # A line of that many words has at least as many characters and spaces between.
-        else F.when(F.octet_length(x) <= 2 * linea_larga, False).otherwise(palabras(x) > linea_larga)
-    ))
-    hashes = F.transform(lineas, lambda x: F.xxhash64(x))
-    return con(hashes, lambda h: con(largas, lambda g: con_hashes(h, g)))
+    def trozo(e: Column, fin: Column, j: Column) -> Column:
+        k = F.when(j == 0, 0).otherwise(F.get(e, j - 1) + 1)
+        return F.struct(k.alias("k"), (fin - k + 1).alias("n"))
 
+    finales = F.filter(F.sequence(F.lit(0), n - 1), corta)
+    return con(finales, lambda e: F.transform(e, lambda fin, j: trozo(e, fin, j)))
 
-def trozos(
-    texto: Column, ventana: int = VENTANA, divisor: int = DIVISOR,
-    linea_larga: int | None = LINEA_LARGA,
-) -> Column:
-    """Chunks of a text: array of (``texto``, ``lineas``, ``cuenta``); joined by line feeds they are it.
 
-    ``cuenta`` tells whether the chunk may be removed when it repeats.
+def minimos(w: Column, pasaje: int) -> Column:
+    """Least passages of an array of word counts, as an array of (``k``, ``n``).
+
+    ``de`` has the line of every word, so the line some words further on is found at once.  One that ends at a
+    line is left out when it also is the least one from its own first line.
     """
-    def trozo(lineas: Column, r: Column) -> Column:
-        n = r["hasta"] - r["desde"] + 1
-        contenido = F.array_join(F.slice(lineas, r["desde"] + 1, n), "\n")
-        larga = (
-            F.lit(False) if linea_larga is None
-            else F.size(F.regexp_extract_all(contenido, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-            > linea_larga
-        )
-        visible = contenido.rlike(r"[^\x20\x09-\x0D]")
-        return F.struct(contenido.alias("texto"), n.alias("lineas"),
-                        (visible & ((n > 1) | larga)).alias("cuenta"))
+    def tramo(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("k"), (b - a + 1).alias("n"))
+
+    def con_inicios(de: Column, s: Column) -> Column:
+        total = F.size(de)
+
+        def atras(j: Column) -> Column:
+            """First line of the least passage that ends with word ``j - 1``."""
+            return F.get(de, j - 1 - pasaje)
+
+        def fin(i: Column) -> Column:
+            return F.coalesce(F.get(s, i + 1), total)
+
+        adelante = F.transform(F.filter(s, lambda j: j + pasaje < total),
+                               lambda j: tramo(F.get(de, j), F.get(de, j + pasaje)))
+        solo_atras = F.filter(
+            F.transform(s, lambda j, i: F.when((j > pasaje) & (atras(j) == atras(fin(i))),
+                                               tramo(atras(fin(i)), F.get(de, j)))),
+            lambda t: t.isNotNull())
+        return F.concat(adelante, solo_atras)
+
+    def con_lineas(de: Column) -> Column:
+        # First word of each line that has words.
+        inicios = F.filter(F.sequence(F.lit(0), F.size(de) - 1),
+                           lambda j: (j == 0) | (F.get(de, j) != F.get(de, j - 1)))
+        return F.when(F.size(de) > pasaje, con(inicios, lambda s: con_inicios(de, s)))
 
-    return con(F.split(F.coalesce(texto, F.lit("")), "\n", -1), lambda lineas: F.transform(
-        cortes(lineas, ventana, divisor, linea_larga), lambda r: trozo(lineas, r)))
+    de = F.flatten(F.transform(w, lambda n, i: F.array_repeat(i, n)))
+    return F.coalesce(con(de, con_lineas), F.array().cast("array<struct<k:int,n:int>>"))
+
+
+def unidades(
+    texto: Column, ventana: int = VENTANA, divisor: int = DIVISOR, pasaje: int = PASAJE,
+) -> Column:
+    """What may repeat in a text: array of (``k``, ``n``, ``h``), first line, lines and hash of the lines."""
+    def de_lineas(h: Column, w: Column) -> Column:
+        trozos = F.filter(cortes(h, ventana, divisor), lambda t: (t["n"] > 1) & F.exists(
+            F.slice(w, t["k"] + 1, t["n"]), lambda x: x > 0))
+        return F.transform(F.concat(trozos, minimos(w, pasaje)), lambda t: F.struct(
+            t["k"].alias("k"), t["n"].alias("n"), F.xxhash64(F.slice(h, t["k"] + 1, t["n"])).alias("h")))
+
+    return con(partir(texto), lambda lineas: con(
+        F.transform(lineas, lambda x: F.xxhash64(x)), lambda h: con(
+            F.transform(lineas, lambda x: F.size(F.regexp_extract_all(x, F.lit(PALABRA), F.lit(0)))),
+            lambda w: de_lineas(h, w))))
 
 
 def dedup_lineas(
     docs: DataFrame, doc: str = "doc_id", texto: str = "text", ventana: int = VENTANA,
-    divisor: int = DIVISOR, linea_larga: int | None = LINEA_LARGA,
+    divisor: int = DIVISOR, pasaje: int = PASAJE,
 ) -> DataFrame:
-    """One row per input row: id, ``text`` without repeated chunks, ``removed_chunks``, ``removed_lines``."""
+    """One row per input row: id, ``text`` without repeated lines, ``removed_chunks``, ``removed_lines``."""
     base = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(texto), F.lit("")).alias("texto"))
-    base = base.withColumn("th", F.xxhash64("texto"))
-    partes = trozos(F.col("texto"), ventana, divisor, linea_larga)
-    filas = base.select("doc", "th", F.posexplode(partes).alias("k", "t")).filter("t.cuenta").select(
-        "doc", "th", "k", F.xxhash64("t.texto").alias("h"), F.col("t.texto").alias("trozo"))
-    lugar = F.struct(F.col("doc").isNull().alias("nulo"), "doc", "th", "k")
-    # First occurrence, with its text, of every hash that occurs in two places.  Repeated rows are one
-    # document: a chunk counts once per document, text and place.
+    # One key for a document; a struct may hold a null and still be compared.
+    base = base.select(
+        F.struct(F.col("doc").isNull().alias("nulo"), "doc", F.xxhash64("texto").alias("th")).alias("d"),
+        "texto")
+    filas = base.select("d", F.inline(unidades(F.col("texto"), ventana, divisor, pasaje)))
+    lugar = F.struct("d", "k")
+    # First place of every hash that occurs in two.  Repeated rows are one document: they are one place.
     primeros = materializar(
-        filas.groupBy("h").agg(
-            F.min(F.struct(lugar.alias("lugar"), F.col("trozo").alias("trozo"))).alias("primero"),
-            F.max(lugar).alias("otro"),
-        ).filter(~F.col("primero.lugar").eqNullSafe(F.col("otro")))
-        .select(F.col("h").alias("_h"), "primero"), "primeros",
+        filas.groupBy("h").agg(F.min(lugar).alias("primero"), F.max(lugar).alias("otro"))
+        .filter(F.col("primero") != F.col("otro"))
+        .select(F.col("h").alias("_h"), F.col("primero.d").alias("d0"), F.col("primero.k").alias("k0")),
+        "primeros",
     )
-    # Occurrences that may have to go, each with the text to compare it with; a table read back has no
-    # partitioning, so both sides move and AQE can split a crowded chunk.
-    dudosos = (
-        filas.drop("trozo").join(primeros, F.col("h") == F.col("_h"))
-        .filter(~lugar.eqNullSafe(F.col("primero.lugar"))).distinct()
-        .groupBy("doc", "th").agg(
-            F.collect_list(F.struct("k", F.col("primero.trozo").alias("texto"))).alias("_dudosos"))
-        .select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_dudosos")
+    # Repeats that match one earlier document at one distance overlap to runs; a table read back has no
+    # partitioning, so both sides move and AQE can split a crowded hash.
+    junto = Window.partitionBy("d", "d0", "salto").orderBy("k", "n")
+    antes = junto.rowsBetween(Window.unboundedPreceding, -1)
+    corridas = materializar(
+        filas.join(primeros, F.col("h") == F.col("_h"))
+        .filter((F.col("d") != F.col("d0")) | (F.col("k") != F.col("k0")))
+        .select("d", "d0", "k", "n", (F.col("k0") - F.col("k")).alias("salto"))
+        .withColumn("nueva", F.coalesce(F.max(F.col("k") + F.col("n")).over(antes) < F.col("k"), F.lit(True)))
+        .withColumn("corrida", F.sum(F.col("nueva").cast("int")).over(junto))
+        .groupBy("d", "d0", "salto", "corrida")
+        .agg(F.min("k").alias("k"), F.max(F.col("k") + F.col("n")).alias("fin"))
+        .select("d", "d0", "salto", "k", (F.col("fin") - F.col("k")).alias("n")), "corridas",
+    )
+    # Documents to compare with, once each.
+    fuentes = materializar(
+        base.join(claves_distintas(corridas.select(F.col("d0").alias("d")), ["d"]), "d", "left_semi")
+        .dropDuplicates(["d"]).select(F.col("d").alias("_d0"), F.col("texto").alias("fuente")), "fuentes",
     )
 
-    def limpiar(p: Column) -> Column:
-        iguales = F.filter("_dudosos", lambda d: p[d["k"]]["texto"] == d["texto"])
+    def lineas_de(lineas: Column, k: Column, n: Column) -> Column:
+        return F.array_join(F.slice(lineas, k + 1, n), "\n")
 
-        def quitar(fuera: Column) -> Column:
-            return F.struct(
-                F.array_join(F.transform(
-                    F.filter(p, lambda t, k: ~F.array_contains(fuera, k)), lambda t: t["texto"]
-                ), "\n").alias("texto"),
-                F.size(fuera).cast("long").alias("trozos"),
-                F.aggregate(fuera, F.lit(0).cast("long"), lambda a, k: a + p[k]["lineas"]).alias("lineas"),
-            )
+    dudosos = (
+        corridas.join(fuentes, F.col("d0") == F.col("_d0"))
+        .select("d", "k", "n", lineas_de(
+            partir(F.col("fuente")), F.col("k") + F.col("salto"), F.col("n")).alias("texto"))
+        .groupBy(F.col("d").alias("_d")).agg(F.collect_list(F.struct("k", "n", "texto")).alias("_dudosos"))
+    )
 
-        return con(F.transform(iguales, lambda d: d["k"]), quitar)
+    def limpiar(lineas: Column) -> Column:
+        iguales = F.filter("_dudosos", lambda c: lineas_de(lineas, c["k"], c["n"]) == c["texto"])
+        fuera = F.array_distinct(F.flatten(F.transform(
+            iguales, lambda c: F.sequence(c["k"], c["k"] + c["n"] - 1))))
+        return con(fuera, lambda f: F.struct(
+            F.array_join(F.transform(
+                F.array_except(F.sequence(F.lit(0), F.size(lineas) - 1), f), lambda i: F.get(lineas, i)
+            ), "\n").alias("texto"),
+            F.size(F.array_except(f, F.transform(f, lambda i: i + 1))).cast("long").alias("trozos"),
+            F.size(f).cast("long").alias("lineas"),
+        ))
 
     return (
-        base.join(dudosos, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
-        .select("doc", "texto", F.when(F.col("_dudosos").isNotNull(), con(partes, limpiar)).alias("_q"))
+        base.join(dudosos, F.col("d") == F.col("_d"), "left")
+        .select("d", "texto",
+                F.when(F.col("_dudosos").isNotNull(), con(partir(F.col("texto")), limpiar)).alias("_q"))
         .select(
-            F.col("doc").alias(doc), F.coalesce("_q.texto", "texto").alias("text"),
+            F.col("d.doc").alias(doc), F.coalesce("_q.texto", "texto").alias("text"),
             F.coalesce("_q.trozos", F.lit(0)).cast("long").alias("removed_chunks"),
             F.coalesce("_q.lineas", F.lit(0)).cast("long").alias("removed_lines"),
         )
