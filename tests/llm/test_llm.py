@@ -412,6 +412,44 @@ def test_salto_marca_la_repeticion():
     assert nuevos == ["4465/7583/8288/9437"] and spans[1] == [] and spans[2] == []
 
 
+@pytest.mark.parametrize("lugar", [0, 20, 40])
+def test_una_vista_marca_cuarenta_repeticiones(lugar):
+    """However far away, every occurrence of a number that a pattern finds once is found."""
+    rng = random.Random(3)
+    tarjeta, partida = "4465758382889437", "4465/7583/8288/9437"
+
+    def letras(n):
+        return " ".join("".join(rng.choices("abcdef", k=4)) for _ in range(n))
+
+    # Features say nothing; what is observed must come over the skip edges.
+    modelo = {"ficha": np.zeros((op8.N_RASGOS, 5)), "vecina": np.zeros((5, 5)),
+              "salto": op8.factor([], 10.0 * np.eye(5) + 0.1)}
+    numeros = [partida] * 40
+    numeros.insert(lugar, tarjeta)
+    t = " ".join(f"{letras(5)} {x} {letras(5)} 1234/56" for x in numeros)
+    otros = [f"{letras(3)} 17 {letras(3)}", t]
+    hallados = op8.etiquetar(otros, modelo)
+    assert hallados[0] == [] and [t[a:b] for a, _, b, es_base in hallados[1] if not es_base] == [partida] * 40
+    assert len(op8.Fichas(t, op8.base(t)).enlaces) <= 4 * 81
+
+
+def test_mensajes_hasta_el_final():
+    """On a chain, messages reach its end: marginals are those of the exact recursion."""
+    n, c = 60, 3
+    azar = np.random.default_rng(4)
+    unarios, tabla_ = azar.normal(size=(n, c)), 4 * np.eye(c)
+    unarios[0] = [-50, 0, -50]
+    aristas = np.array([(i, i + 1) for i in range(n - 1)])
+    p = op8.propagar(unarios, aristas, np.broadcast_to(tabla_, (n - 1, c, c)))
+    ida, vuelta = unarios.copy(), np.zeros((n, c))
+    for i in range(1, n):
+        ida[i] += np.logaddexp.reduce(ida[i - 1][:, None] + tabla_, axis=0)
+    for i in reversed(range(n - 1)):
+        vuelta[i] = np.logaddexp.reduce((vuelta[i + 1] + unarios[i + 1])[None, :] + tabla_, axis=1)
+    exacto = np.exp(ida + vuelta - (ida + vuelta).max(1, keepdims=True))
+    assert np.abs(p - exacto / exacto.sum(1, keepdims=True)).max() < 1e-2
+
+
 def test_entropia(spark):
     azar = "Zq8xT2vLm9Rk4WbYc7Nd3Hs"
     textos = [f"clave {azar} fin", "clave " + "a1" * 15, f"clave example{azar}", "palabramuylargasincifrasninguna"]
