@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnero.llm.descontaminar import descontaminar
-from turnero.llm.fichas import secuencias
+from turnero.llm.fichas import por_fragmentos
 from turnero.llm.mezcla import en_orden
 from turnero.llm.remuestreo import remuestrear
 from turnero.llm.simhash import uno_por_grupo
@@ -41,7 +41,7 @@ def mezclar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def fichas(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fixed-length token sequences with their slots in the training order."""
-    return secuencias(docs)
+    return por_fragmentos(docs)
 
 
 STAGES = [

@@ -1,10 +1,13 @@
 """The training-data operators against brute force, exact round trips and planted cases."""
 
+import glob
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import tempfile
 
 import numpy as np
 import pytest
@@ -18,6 +21,7 @@ from turnero.llm import (
     conversaciones as op1, descontaminar as op7, exactos as op6, fichas as op4, lineas as op3,
     mezcla as op10, pii as op8, remuestreo as op5, secretos as op9, simhash as op2,
 )
+from turnero.sources.tablas import carpeta_compartida
 
 CARPETA = "/root/testdata/sf0.001"
 RNG = random.Random(7)
@@ -250,6 +254,29 @@ def test_fichas_ida_y_vuelta(spark, documentos, tmp_path):
     assert por_doc == {d: codificar(t) for d, t in documentos.items()}
 
 
+def test_consulta_escribe_fragmentos_y_se_reanuda(spark):
+    """The query's rows come from shard files; a reader can start at any slot."""
+    docs = spark.read.parquet(f"{CARPETA}/documents.parquet")
+    df = entrada.queries()["op4_token_output"](spark, CARPETA)
+    ruta = max(glob.glob(f"{carpeta_compartida(spark).removeprefix('file://')}/secuencias-*"), key=os.path.getmtime)
+    clave = lambda x: tuple(bytes(v) if isinstance(v, bytearray) else v for v in x)
+    leidas = sorted(map(clave, df.collect()))
+    assert leidas == sorted(map(clave, op4.secuencias(docs).select(df.columns).collect()))
+    n = len(leidas)
+    assert sum(os.path.getsize(x) for x in glob.glob(f"{ruta}/*.bin")) == n * (16 + 2 * op4.LARGO)
+    sec = op4.secuencias(docs, largo=64, filas_por_fragmento=100)
+    # Partitions hold ranges of shards.
+    partes = sec.groupBy(F.spark_partition_id().alias("p")).agg(F.min("shard"), F.max("shard")).orderBy("p").collect()
+    assert all(a[2] < b[1] for a, b in zip(partes, partes[1:])) and len(partes) > 1
+    ruta = tempfile.mkdtemp()
+    op4.escribir_fragmentos(sec, f"file://{ruta}")
+    os.truncate(f"{ruta}/000000.bin", 0)  # not read when resuming after it
+    total = sec.count()
+    for desde in (100, 257, total - 1, total):
+        hay = op4.leer_fragmentos(spark, ruta, 64, 100, desde=desde)
+        assert sorted(x["slot"] for x in hay.select("slot").collect()) == list(range(desde, total))
+
+
 # ---- 5 ----
 
 

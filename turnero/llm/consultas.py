@@ -10,7 +10,7 @@ from turnero.llm import mezcla
 from turnero.llm.conversaciones import formatear_conversaciones, hilos_de_turnos, leer_conversaciones
 from turnero.llm.descontaminar import contaminados
 from turnero.llm.exactos import deduplicar_exactos
-from turnero.llm.fichas import secuencias
+from turnero.llm.fichas import por_fragmentos
 from turnero.llm.lineas import dedup_lineas
 from turnero.llm.pii import detectar_pii
 from turnero.llm.remuestreo import remuestrear
@@ -85,7 +85,7 @@ def line_dedup(spark: SparkSession, carpeta: str) -> DataFrame:
 
 @consulta("op4_token_output")
 def token_output(spark: SparkSession, carpeta: str) -> DataFrame:
-    return secuencias(leer(spark, carpeta, "documents"))
+    return por_fragmentos(leer(spark, carpeta, "documents"))
 
 
 @consulta("op5_quality_classifier")

@@ -5,6 +5,7 @@ Texts become token ids of a byte-level BPE vocabulary, each ended by ``FIN``, cu
 keyed Feistel permutation of these numbers, with cycle-walking to stay inside their range, gives
 every sequence its slot in the training order.  Slots go by range into shards of fixed-stride records,
 so a reader finds slot s at byte (s mod shard rows) * stride of its shard and can resume anywhere.
+The registered query and the pipeline write the shards and return what they read back.
 
 How it scales.  Texts are tokenized once, where they are read, and the ids are written to the shared folder
 with running counts; one total per task makes the counts global.  Each sequence moves once, to its
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnero.sources.tablas import materializar
+from turnero.sources.tablas import carpeta_de_trabajo, materializar
 
 VOCABULARIO = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split pattern that belongs to the vocabulary, and a free id as end of text.
@@ -38,6 +38,7 @@ LARGO = 512
 FILAS_POR_FRAGMENTO = 4096
 CLAVE = 20_24
 RONDAS = 6
+REGISTROS = 1024  # records read at a time
 CABEZA = np.dtype([("doc", "<i8"), ("orden", "<u4"), ("n", "<u4")])
 SIN_ID = -(2**63)
 
@@ -149,43 +150,31 @@ def secuencias(
 
     def cortar(lotes):
         for lote in lotes:
-            for d, tarea, antes, ids in zip(*(lote[c].to_pylist() for c in ("doc", "tarea", "antes", "ids"))):
-                trozos = [ids[i:i + 2 * largo] for i in range(0, len(ids), 2 * largo)]
-                puestos = permutar(bases[tarea] + antes + np.arange(len(trozos)), n, clave)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(puestos), pa.array([d] * len(trozos), pa.int64()),
-                    pa.array(np.arange(len(trozos))),
-                    pa.array([len(t) // 2 for t in trozos], pa.int64()),
-                    pa.array([t.ljust(2 * largo, b"\0") for t in trozos], pa.binary()),
-                ], names=["slot", "doc", "seq_no", "n_tokens", "tokens"])
+            docs_, tareas, antes, ids = (lote[c].to_pylist() for c in ("doc", "tarea", "antes", "ids"))
+            cuantas = np.array([-(-len(i) // (2 * largo)) for i in ids], np.int64)
+            inicios = np.array([bases[t] + a for t, a in zip(tareas, antes)], np.int64)
+            orden = np.arange(cuantas.sum()) - np.repeat(np.cumsum(cuantas) - cuantas, cuantas)
+            puestos = permutar(np.repeat(inicios, cuantas) + orden, n, clave)
+            trozos = [x[i:i + 2 * largo] for x in ids for i in range(0, len(x), 2 * largo)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(puestos), pa.array(docs_, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), cuantas))),
+                pa.array(orden), pa.array([len(t) // 2 for t in trozos], pa.int64()),
+                pa.array([t.ljust(2 * largo, b"\0") for t in trozos], pa.binary()),
+            ], names=["slot", "doc", "seq_no", "n_tokens", "tokens"])
 
     fragmento = F.expr(f"slot div {filas_por_fragmento}L")
     return (
         filas.select("doc", "tarea", "antes", "ids")
-        .mapInArrow(_agrupar(cortar), "slot long, doc long, seq_no long, n_tokens long, tokens binary")
+        .mapInArrow(cortar, "slot long, doc long, seq_no long, n_tokens long, tokens binary")
         .withColumn("shard", fragmento)
-        .repartition(max(1, -(-n // filas_por_fragmento)), "shard").sortWithinPartitions("slot")
+        # Slots are 0..n-1, so the ranges are known without a sample: each shard is one partition.
+        .repartitionById(max(1, -(-n // filas_por_fragmento)), F.col("shard").cast("int"))
+        .sortWithinPartitions("slot")
         .select("slot", "shard", ((F.col("slot") % filas_por_fragmento) * paso).alias("offset"),
                 F.col("doc").alias(doc), "seq_no", "n_tokens", "tokens")
     )
 
 
-def _agrupar(f, filas: int = 2000):
-    """Joins the small batches that ``f`` yields."""
-    def juntos(lotes):
-        cola, n = [], 0
-        for b in f(lotes):
-            cola.append(b)
-            n += b.num_rows
-            if n >= filas:
-                yield pa.concat_batches(cola)
-                cola, n = [], 0
-        if cola:
-            yield pa.concat_batches(cola)
-
-    return juntos
-
-
 # ---- Files ----
 
 
@@ -230,25 +219,59 @@ def _cerrar(sistema, carpeta, intento, fragmento, archivo, primero, filas, octet
 
 
 def leer_fragmentos(
-    spark: SparkSession, ruta: str, largo: int = LARGO, filas_por_fragmento: int = FILAS_POR_FRAGMENTO
+    spark: SparkSession, ruta: str, largo: int = LARGO, filas_por_fragmento: int = FILAS_POR_FRAGMENTO,
+    desde: int = 0,
 ) -> DataFrame:
-    """Records of written shards: slot, document id, place, token count and ids."""
+    """Records of written shards from slot ``desde`` on: slot, document id, place, token count and ids.
+
+    Earlier shards are not opened, and the shard of ``desde`` is read from that record's byte on.  ``ruta``
+    is a URI or a local folder that every executor can read.
+    """
     tipo = np.dtype([*CABEZA.descr, ("ids", "<u2", (largo,))])
+    esquema = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()),
+                         ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+    raiz = (ruta if "://" in ruta else f"file://{ruta}").rstrip("/")
+
+    def registros(fragmento):
+        sistema, archivo = pafs.FileSystem.from_uri(f"{raiz}/{fragmento:06d}.bin")
+        slot = max(desde, fragmento * filas_por_fragmento)
+        with sistema.open_input_file(archivo) as f:
+            f.seek((slot - fragmento * filas_por_fragmento) * tipo.itemsize)
+            while datos := f.read(REGISTROS * tipo.itemsize):
+                r = np.frombuffer(datos, tipo)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(slot + np.arange(len(r))),
+                    pa.array(r["doc"].astype(np.int64), mask=r["doc"] == SIN_ID),
+                    pa.array(r["orden"].astype(np.int64)), pa.array(r["n"].astype(np.int64)),
+                    pa.array([x.tobytes() for x in r["ids"]], pa.binary()),
+                ], schema=esquema)
+                slot += len(r)
 
     def partir(lotes):
         for lote in lotes:
-            for archivo, datos in zip(lote["path"].to_pylist(), lote["content"].to_pylist()):
-                r = np.frombuffer(datos, tipo)
-                base = int(re.search(r"(\d+)\.bin$", archivo)[1]) * filas_por_fragmento
-                yield pa.RecordBatch.from_pylist([
-                    {"slot": base + i, "doc_id": None if x["doc"] == SIN_ID else int(x["doc"]),
-                     "seq_no": int(x["orden"]), "n_tokens": int(x["n"]),
-                     "tokens": x["ids"].tobytes()} for i, x in enumerate(r)
-                ], schema=pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()),
-                                     ("n_tokens", pa.int64()), ("tokens", pa.binary())]))
+            for fragmento in lote["shard"].to_pylist():
+                yield from registros(fragmento)
 
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(ruta)
-        .select("path", "content")
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(raiz)
+        .select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("shard"))
+        .filter(F.col("shard") >= desde // filas_por_fragmento)
         .mapInArrow(partir, "slot long, doc_id long, seq_no long, n_tokens long, tokens binary")
     )
+
+
+def por_fragmentos(docs: DataFrame) -> DataFrame:
+    """``secuencias`` written as shards to a working folder, as read back from them."""
+    ruta = carpeta_de_trabajo(docs.sparkSession, "secuencias")
+    if "://" not in ruta:
+        ruta = f"file://{ruta}"
+    hechos = escribir_fragmentos(secuencias(docs), ruta)
+    if hechos.isEmpty():
+        leidos = docs.sparkSession.createDataFrame(
+            [], "slot long, doc_id long, seq_no long, n_tokens long, tokens binary")
+    else:
+        leidos = leer_fragmentos(docs.sparkSession, ruta)
+    fila = F.col("slot") % FILAS_POR_FRAGMENTO
+    return leidos.select(
+        "slot", F.expr(f"slot div {FILAS_POR_FRAGMENTO}L").alias("shard"),
+        (fila * (CABEZA.itemsize + 2 * LARGO)).alias("offset"), "doc_id", "seq_no", "n_tokens", "tokens")
