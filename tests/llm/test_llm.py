@@ -460,6 +460,15 @@ def test_una_vista_marca_cuarenta_repeticiones(lugar):
     assert len(op8.Fichas(t, op8.base(t)).enlaces) <= 4 * 81
 
 
+def test_factores_de_todos_los_documentos(spark, monkeypatch):
+    """Every document is counted, however many there are."""
+    textos = [f"nota {i}" for i in range(3000)]
+    vistos = []
+    monkeypatch.setattr(op8, "entrenar", vistos.append)
+    op8.detectar_pii(tabla(spark, enumerate(textos), extra=False))
+    assert vistos == [op8.contar(textos)]
+
+
 def test_mensajes_hasta_el_final():
     """On a chain, messages reach its end: marginals are those of the exact recursion."""
     n, c = 60, 3

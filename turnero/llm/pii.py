@@ -9,10 +9,9 @@ a pattern misses it.  It goes on until no message of a document changes; the rou
 without a fixed point reach, grows with the document's candidates.  A token whose label is sure enough becomes an added span; base spans all stay.
 
 Training is piecewise: the token factors by multinomial logistic regression, the edge factors by label
-counts, both on the base spans of at most ``MUESTRA`` documents of the corpus (those with the smallest hashes
-among documents that hold a digit or ``@``).
+counts, both on the base spans of all documents that hold a digit or ``@``.  Tasks count, and the counts add up.
 
-How it scales.  Documents are independent: one pass, no shuffle.  Same tokens are linked to the next
+How it scales.  Documents are independent: one pass to count and one to label, no shuffle of rows.  Same tokens are linked to the next
 occurrence; where some are observed, the others are linked to the last of them before and the first after
 instead, so that what is observed is one step from every occurrence and is not outvoted by their number.
 A candidate has at most four skip edges on average, however often a token repeats.  Messages of all documents of a batch are computed together; documents that are done drop out.
@@ -31,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 CLASES = ("email", "ip", "card", "phone")
-MUESTRA = 2000
-SEMILLA = 20_24
 SEGURO = 0.9
 RONDAS = 50  # rounds at least, and per candidate of a document, before message passing gives up
 LOTE = 256  # documents whose messages are computed together
@@ -321,13 +318,9 @@ TIPO_SPANS = pa.list_(pa.struct([
     ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def ajustar(docs: DataFrame, doc: str, texto: str, muestra: int = MUESTRA):
-    """Factors from the sample.  Tasks count; only counts of distinct cases reach the driver."""
-    filas = docs.select(F.col(doc).alias("doc"), F.col(texto).cast("string").alias("texto"))
-    filas = filas.filter(F.col("texto").rlike("[0-9@]")).withColumn(
-        "orden", F.xxhash64(F.lit(SEMILLA), "doc", "texto"))
-    # At most ``muestra`` hashes.
-    elegidas = filas.select(F.col("orden").alias("_orden")).distinct().orderBy("_orden").limit(muestra)
+def ajustar(docs: DataFrame, texto: str):
+    """Factors from all documents.  Tasks count; only counts of distinct cases reach the driver."""
+    filas = docs.select(F.col(texto).cast("string").alias("texto")).filter(F.col("texto").rlike("[0-9@]"))
 
     def en_tarea(lotes):
         c: dict[tuple[str, int, int], int] = {}
@@ -339,18 +332,15 @@ def ajustar(docs: DataFrame, doc: str, texto: str, muestra: int = MUESTRA):
             schema=pa.schema([("tipo", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
     conteos = (
-        filas.join(F.broadcast(elegidas), F.col("orden") == F.col("_orden"), "left_semi").select("texto")
-        .mapInArrow(en_tarea, "tipo string, a long, b long, n long")
+        filas.mapInArrow(en_tarea, "tipo string, a long, b long, n long")
         .groupBy("tipo", "a", "b").agg(F.sum("n").alias("n")).collect()
     )
     return entrenar({(f["tipo"], f["a"], f["b"]): f["n"] for f in conteos})
 
 
-def detectar_pii(
-    docs: DataFrame, doc: str = "doc_id", texto: str = "text", muestra: int = MUESTRA
-) -> DataFrame:
+def detectar_pii(docs: DataFrame, doc: str = "doc_id", texto: str = "text") -> DataFrame:
     """One row per document: id and ``spans``, an array of (``kind``, ``start``, ``end``, ``base``)."""
-    modelo = ajustar(docs, doc, texto, muestra)
+    modelo = ajustar(docs, texto)
 
     @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     def buscar(textos: pa.Array) -> pa.Array:
