@@ -22,7 +22,7 @@ def _lista(valores) -> Column:
 def seg(c) -> Column:
     """``HH:mm`` or ``HH:mm:ss`` to seconds since midnight; null when there is no such time of day.
 
-    The hour may have one digit; fractions of a second are dropped.
+    The hour may have one digit; fractions of a second are dropped.  ``24:00`` is the end of the day.
     """
     c = _col(c)
 
@@ -31,7 +31,7 @@ def seg(c) -> Column:
 
     segundos = F.when(parte(3) == "", F.lit(0)).otherwise(F.substring(parte(3), 1, 2).try_cast("int"))
     return F.when(
-        c.rlike(r"^([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?$"),
+        c.rlike(r"^(([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]+)?)?|24:00(:00([.]0+)?)?)$"),
         parte(1).try_cast("int") * 3600 + parte(2).try_cast("int") * 60 + segundos,
     )
 
