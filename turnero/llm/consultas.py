@@ -11,6 +11,7 @@ from turnero.llm.conversaciones import formatear_conversaciones, hilos_de_turnos
 from turnero.llm.descontaminar import contaminados
 from turnero.llm.exactos import deduplicar_exactos
 from turnero.llm.fichas import por_fragmentos
+from turnero.llm.idioma import detectar_lengua
 from turnero.llm.lineas import dedup_lineas
 from turnero.llm.pii import detectar_pii
 from turnero.llm.remuestreo import remuestrear
@@ -204,3 +205,11 @@ def mixing(spark: SparkSession, carpeta: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken",
         F.get("copies", F.lit(0))["position"].alias("first_position"),
     ).orderBy("first_position", "doc_id")
+
+
+# ---- 11 ----
+
+
+@consulta("op11_language_id")
+def language_id(spark: SparkSession, carpeta: str) -> DataFrame:
+    return detectar_lengua(leer(spark, carpeta, "documents"))
