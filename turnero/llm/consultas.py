@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnero.llm import mezcla
+from turnero.llm import mezcla, reparacion, trie
 from turnero.llm.conversaciones import formatear_conversaciones, hilos_de_turnos, leer_conversaciones
 from turnero.llm.descontaminar import contaminados
 from turnero.llm.exactos import deduplicar_exactos
 from turnero.llm.fichas import por_fragmentos
+from turnero.llm.flujo import huella_en_orden
 from turnero.llm.idioma import detectar_lengua
 from turnero.llm.lineas import dedup_lineas
 from turnero.llm.pii import detectar_pii
@@ -213,3 +214,187 @@ def mixing(spark: SparkSession, carpeta: str) -> DataFrame:
 @consulta("op11_language_id")
 def language_id(spark: SparkSession, carpeta: str) -> DataFrame:
     return detectar_lengua(leer(spark, carpeta, "documents"))
+
+
+# ---- 12, 13 ----
+
+
+def _crc32_sql(texto: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+      list_transform(string_split({texto}, ''), lambda c: ascii(c)::bigint)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _crc32(*partes: Column) -> Column:
+    return F.crc32(F.concat(*partes).cast("binary"))
+
+
+def _mejor(*opciones: str) -> str:
+    """Least (cost, audit) of some struct expressions; absent ones are null."""
+    return f"list_sort(list_filter([{', '.join(opciones)}], lambda o: o is not null))[1]"
+
+
+def _paso_sql(letra: str, costo: str, resto: str, turno: str = "''") -> str:
+    return f"{{'c': {costo} + {resto}.c, 'a': '{letra}' || {resto}.a, 'r': {turno} || {resto}.r}}"
+
+
+def _sin_insertar(estado: str, papel: str, sigue: str) -> str:
+    """Best way on from a state with the next turn, nothing inserted before it."""
+    turno = "role || ':' || text || chr(10)"
+    nuevo = f"'{'user' if papel == 'u' else 'assistant'}:' || text || chr(10)"
+    opciones = [
+        _paso_sql("D", "3", estado),
+        f"case when not x and ini = '{papel}' then {_paso_sql('K', 'tr', sigue, turno)}"
+        f" when not x then {_paso_sql('R', '2 + tr', sigue, nuevo)} end",
+    ]
+    if estado == "v0":
+        opciones.append(f"case when not x and ini = 's' then {_paso_sql('K', 'tr', 'vs', turno)} end")
+    return _mejor(*opciones)
+
+
+USUARIO, ASISTENTE = "'user:' || chr(10)", "'assistant:' || chr(10)"
+
+# The oracle goes through the states of the grammar turn by turn, from the end; the operator aligns with
+# target strings.
+REPARACION_SQL = f"""
+with recursive o as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+    {_crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 k
+  from conversations),
+t as (
+  select conv_id, turn, case k when 4 then 'user' else role end role,
+    case k when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text,
+    unnest(range(case k when 3 then 2 else 1 end)) vez
+  from o where k <> 0),
+n as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, vez) i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, vez) igual, left(role, 1) ini
+  from t),
+f as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when igual > 1 then 'duplicate'
+    when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') then 'truncated' else '' end falta,
+    lag(ini) over (partition by conv_id order by i) || ini par
+  from n),
+g as (
+  select *, falta in ('blank', 'duplicate') x, case falta when 'truncated' then 1 else 0 end tr from f),
+v as (
+  select conv_id, max(i) i, {{'c': 0, 'a': '', 'r': ''}} v0,
+    {{'c': 4, 'a': 'II', 'r': {USUARIO} || {ASISTENTE}}} vs,
+    {{'c': 2, 'a': 'I', 'r': {ASISTENTE}}} vu, {{'c': 0, 'a': '', 'r': ''}} va
+  from g group by conv_id
+  union all
+  select conv_id, i - 1,
+    {_mejor('m0', _paso_sql('I', '2', 'mu', USUARIO), _paso_sql('II', '4', 'ma', f"{USUARIO} || {ASISTENTE}"))},
+    {_mejor('ms', _paso_sql('I', '2', 'mu', USUARIO), _paso_sql('II', '4', 'ma', f"{USUARIO} || {ASISTENTE}"))},
+    {_mejor('mu', _paso_sql('I', '2', 'ma', ASISTENTE))}, {_mejor('ma', _paso_sql('I', '2', 'mu', USUARIO))}
+  from (
+    select v.conv_id, v.i, {_sin_insertar('v0', 'u', 'vu')} m0, {_sin_insertar('vs', 'u', 'vu')} ms,
+      {_sin_insertar('vu', 'a', 'va')} mu, {_sin_insertar('va', 'u', 'vu')} ma
+    from v join g on g.conv_id is not distinct from v.conv_id and g.i = v.i)),
+r as (select conv_id, v0.c, v0.a, v0.r from v where i = 0),
+s as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+    count(*) filter (falta = 'blank') blank, count(*) filter (falta = 'duplicate') duplicate,
+    count(*) filter (falta = 'truncated') truncated,
+    count(*) filter (par not in ('su', 'ua', 'au')) illegal
+  from g group by conv_id)
+select c.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(r.c, 0)::bigint as cost, coalesce(r.a, '') audit,
+  sha256(coalesce(left(r.r, -1), '')) repaired_sha256
+from (select distinct conv_id from conversations) c
+left join s on s.conv_id is not distinct from c.conv_id
+left join r on r.conv_id is not distinct from c.conv_id"""
+
+
+def danar(conversaciones: DataFrame) -> DataFrame:
+    """The fixed damage of the query: rows dropped, emptied, cut, repeated or given to the user."""
+    def o_espacio(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    k = _crc32(o_espacio("conv_id"), F.lit(":"), o_espacio("turn")) % 20
+    return (
+        conversaciones.select("conv_id", "turn", o_espacio("role").alias("role"), o_espacio("text").alias("text"), k.alias("k"))
+        .filter("k <> 0")
+        .select(
+            "conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"),
+            F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.regexp_replace("text", "[.!?]", ""))
+            .otherwise(F.col("text")).alias("text"),
+            F.explode(F.sequence(F.lit(1), F.when(F.col("k") == 3, 2).otherwise(1))).alias("_vez"),
+        ).drop("_vez")
+    )
+
+
+@consulta("op12_structure_repair", REPARACION_SQL)
+def structure_repair(spark: SparkSession, carpeta: str) -> DataFrame:
+    originales = leer(spark, carpeta, "conversations").select("conv_id", "turn", "role", "text")
+    faltas, textos = reparacion.anotar(danar(originales))
+    audits, reparados = reparacion.reparar(faltas, textos)
+    lineas = F.array_join(F.transform("turnos", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    huellas = huella_en_orden(
+        reparados.select("clave", "lugar", lineas.alias("lineas")), ["clave"], ["lugar"], "lineas", "\n")
+
+    def de(falta: str) -> Column:
+        return F.count_if(F.col("falta") == falta).alias(falta)
+
+    cuentas = faltas.groupBy("clave").agg(
+        (F.max("turno") - F.min("turno") + 1 - F.count_distinct("turno")).alias("gaps"),
+        de("blank"), de("duplicate"), de("truncated"))
+    todas = originales.select("conv_id").distinct().withColumn("clave", reparacion.clave_de("conv_id"))
+    for parte in (cuentas, reparacion.ilegales(faltas), audits, huellas):
+        todas = todas.join(parte, "clave", "left")
+    numeros = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return todas.select(
+        "conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in numeros],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+CABEZA = 5
+LARGO_CABEZA = 9
+
+TRIE_SQL = f"""
+with t as (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) pos
+  from conversations where conv_id is not null),
+ids as (
+  select conv_id c, conv_id - conv_id % {CABEZA} b, {_crc32_sql("conv_id::varchar")} % {LARGO_CABEZA} h
+  from (select distinct conv_id from t)),
+re as (
+  select c, 0 parte, pos, role, text from ids join t on t.conv_id = b and pos <= h
+  union all select c, 1, pos, role, text from ids join t on t.conv_id = c and pos > h),
+s as (
+  select c, coalesce(list(md5(length(role) || ':' || role || text) order by parte, pos)
+      filter (parte is not null), []) ids,
+    coalesce(list(strlen(text) order by parte, pos) filter (parte is not null), []) pesos
+  from ids left join re using (c) group by c),
+p as (
+  select c, d, len(ids) largo, array_to_string(ids[1:d], '') k, case when d = 0 then 0 else pesos[d] end peso
+  from s, unnest(range(0, len(ids) + 1)) u(d)),
+n as (
+  select d, k, min(c) conv_id, count(*) n, any_value(peso) peso,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (largo = d), '')) fin
+  from p group by d, k),
+q as (
+  select n.*, m.conv_id parent_conv_id, m.k pk from n
+  left join p on p.c = n.conv_id and p.d = n.d - 1 left join n m on m.d = p.d and m.k = p.k),
+h as (select d - 1 d, pk k, count(*) hijos from q where d > 0 group by all),
+z as (
+  select q.*, coalesce(hijos, 0) hijos from q left join h using (d, k)),
+b as (
+  select p.d, p.k, sum((z.n - 1) * z.peso) ahorro, count(*) filter (z.hijos = 0) hojas
+  from z join p on p.c = z.conv_id and p.d <= z.d group by p.d, p.k)
+select conv_id, d as depth, parent_conv_id, n n_convs, hijos n_children, hojas n_leaves,
+  ahorro::bigint saved_tokens, fin ends_sha256
+from z join b using (d, k)"""
+
+
+@consulta("op13_prefix_trie", TRIE_SQL)
+def prefix_trie(spark: SparkSession, carpeta: str) -> DataFrame:
+    propias = materializar(trie.secuencias(leer(spark, carpeta, "conversations")), "conversaciones")
+    conv = F.col("conv_id")
+    return trie.trie(trie.reconstruir(
+        propias, conv - conv % CABEZA, _crc32(conv.cast("string")) % LARGO_CABEZA, LARGO_CABEZA - 1))
