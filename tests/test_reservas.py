@@ -171,11 +171,11 @@ def test_revivir_sobre_hora_tomada(spark):
     despues, no = r.cambiar_estado(e.citas, cambios(spark, [("c1", "pendiente", 1)]))
     assert filas(despues, "id", "estado") == [("c1", "cancelada"), ("c2", "pendiente"), ("c3", "cancelada")]
     assert filas(no, "id", "motivo_rechazo") == [("c1", "horario_tomado")]
-    # When the holder is cancelled in the same batch the first to ask gets the slot.
+    # One by one: c3 asks while c2 still holds the slot, c1 after it was cancelled.
     lote = [("c3", "confirmada", 1), ("c2", "cancelada", 2), ("c1", "pendiente", 3)]
     despues, no = r.cambiar_estado(e.citas, cambios(spark, lote))
-    assert filas(despues, "id", "estado") == [("c1", "cancelada"), ("c2", "cancelada"), ("c3", "confirmada")]
-    assert filas(no, "id") == [("c1",)]
+    assert filas(despues, "id", "estado") == [("c1", "pendiente"), ("c2", "cancelada"), ("c3", "cancelada")]
+    assert filas(no, "id") == [("c3",)]
 
 
 def test_cambios_invalidos_y_ultimo_gana(spark):

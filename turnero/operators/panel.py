@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnero.functions.texto import activa, presente, vacio_a_nulo
 from turnero.functions.tiempo import hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
+from turnero.operators.en_orden import decidir_en_orden, hueco
+from turnero.operators.numeracion import numerar
 from turnero.operators.reservas import (
-    DIA, Estado, Resultado, agregar, con_turno, id_estable, ids_texto, marcar_actualizado,
-    marcar_existente, primeras,
+    Estado, Resultado, agregar, con_motivo, id_estable, ids_texto, marcar_actualizado, marcar_existente,
 )
-from turnero.sources.tablas import con_mes, materializar, reducir_a
+from turnero.sources.tablas import claves_distintas, con_mes, materializar, reducir_a
 
 CAMPOS = ["sede_id", "audiologo_id", "nombre", "telefono"]
 DATOS = [
@@ -39,75 +40,71 @@ def separar_validas(solicitudes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def revisar_ediciones(citas: DataFrame, cambios: DataFrame) -> DataFrame:
-    """Last edit per appointment with ``motivo_rechazo``, null when it applies.
+    """Every edit with ``motivo_rechazo``, null when its values are those that hold at the end.
 
-    Edits of a batch see the appointments as they were before it.  An edit of an active appointment
-    is refused when another active appointment holds the new slot, or an earlier edit of the batch
-    takes it.  ``cambios`` has ``id``, ``orden`` and the new values.
+    Edits are decided one by one by ``orden`` (equal ones by id).  An edit of an active appointment is refused
+    while another active appointment holds the new slot; an edit that applied and was followed by another of
+    the same appointment that applied is ``reemplazado``.  ``cambios`` has ``id``, ``orden`` and the new values; rows
+    with ``alta`` true are new appointments, which take part in the same order.
     """
-    ultimos = primeras(cambios, ["id"], [F.desc("orden")]).withColumn("ini", seg("hora_inicio"))
-    actuales = citas.select(
-        "id", F.col("estado").alias("_estado"), F.col("audiologo_id").alias("_a"),
-        F.col("fecha").alias("_f"), seg("hora_inicio").alias("_ini"),
-    )
+    if "alta" not in cambios.columns:
+        cambios = cambios.withColumn("alta", F.lit(False))
+    con_turno = numerar(cambios, [], [F.col("orden"), F.col("id")], "t")
+    existen = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select("id", F.lit(True).alias("_existe"))
     revisados = materializar(
-        ultimos.join(actuales, "id", "left").withColumn(
-            "_conserva",
-            F.col("audiologo_id").eqNullSafe(F.col("_a")) & F.col("fecha").eqNullSafe(F.col("_f"))
-            & F.col("ini").eqNullSafe(F.col("_ini")),
-        ),
+        con_turno.join(existen, "id", "left").withColumn(
+            "_motivo", F.when(F.col("_existe").isNull() & ~F.col("alta"), "cita_desconocida")).drop("_existe"),
         "ediciones",
     )
-    con_regla = revisados.filter(activa("_estado"))
-    # Staying in the slot is always possible, so only those that move compete for one.
-    mueven = con_regla.filter(~F.col("_conserva")).select("id", "orden", *DIA, "hora_inicio")
-    ganan = con_turno(mueven, citas, ["orden", "id"]).select("id")
-    pierden = mueven.join(ganan, "id", "left_anti").select("id", F.lit(True).alias("_pierde"))
+    dichos = materializar(decidir_en_orden(citas, revisados.filter(F.col("_motivo").isNull()).select(
+        "t", "id", F.lit(True).alias("mueve"), hueco().alias("hueco"),
+        F.when(F.col("alta"), True).alias("activa"))), "dichos")
+    return con_motivo(revisados, dichos).drop("t")
+
+
+def normalizar_ediciones(cambios: DataFrame) -> DataFrame:
+    """Edits as they are stored: the end is the start plus the default time, empty texts are null."""
     return (
-        revisados.join(pierden, "id", "left")
-        .withColumn(
-            "motivo_rechazo",
-            F.when(F.col("_estado").isNull(), "cita_desconocida")
-            .when(F.col("_pierde"), "horario_tomado"),
-        )
-        .drop("_estado", "_a", "_f", "_ini", "ini", "_conserva", "_pierde")
+        cambios.withColumn("hora_fin", hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60))
+        .withColumn("hora_inicio", hms(seg("hora_inicio")))
+        .withColumn("motivo_consulta", vacio_a_nulo("motivo_consulta"))
+        .withColumn("notas", vacio_a_nulo("notas"))
     )
 
 
+def citas_editadas(citas: DataFrame, aplican: DataFrame, ahora: Column | None = None) -> DataFrame:
+    """Only the appointments that the edits change, as they are after them: a delta to store by month."""
+    ahora = F.current_timestamp() if ahora is None else ahora
+    datos = [c for c in DATOS if c in citas.columns]
+    nuevos = aplican.select("id", F.struct(*datos).alias("_n"))
+    despues = citas.join(nuevos, "id").withColumns({c: F.col("_n")[c] for c in datos})
+    if "mes" in citas.columns:
+        despues = con_mes(despues)
+    return marcar_actualizado(despues, ahora, F.lit(True)).select(*citas.columns)
+
+
 def editar(
     citas: DataFrame, cambios: DataFrame, ahora: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Appointments after the edits, and the edits that were refused.
+    """Appointments after the edits, and the edits that were refused or replaced.
 
     An edit replaces patient, professional, site, date, start, reason and notes; the end becomes
     the start plus the default time and the state stays.
     """
-    ahora = F.current_timestamp() if ahora is None else ahora
-    fin = hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60)
-    normalizados = (
-        cambios.withColumn("hora_fin", fin).withColumn("hora_inicio", hms(seg("hora_inicio")))
-        .withColumn("motivo_consulta", vacio_a_nulo("motivo_consulta"))
-        .withColumn("notas", vacio_a_nulo("notas"))
-    )
-    revisados = materializar(revisar_ediciones(citas, normalizados), "ediciones")
-    datos = [c for c in DATOS if c in citas.columns]
-    aplican = revisados.filter(F.col("motivo_rechazo").isNull()).select(
-        "id", F.struct(*datos).alias("_n")
-    )
-    despues = citas.join(aplican, "id", "left")
-    cambia = F.col("_n").isNotNull()
-    despues = despues.withColumns(
-        {c: F.when(cambia, F.col("_n")[c]).otherwise(F.col(c)) for c in datos}
-    )
-    if "mes" in citas.columns:
-        despues = con_mes(despues)
-    despues = marcar_actualizado(despues, ahora, cambia)
+    revisados = materializar(revisar_ediciones(citas, normalizar_ediciones(cambios)), "ediciones").drop("alta")
+    aplican = revisados.filter(F.col("motivo_rechazo").isNull())
     return (
-        despues.select(*citas.columns),
+        con_ediciones(citas, aplican, ahora),
         revisados.filter(F.col("motivo_rechazo").isNotNull()),
     )
 
 
+def con_ediciones(citas: DataFrame, aplican: DataFrame, ahora: Column | None = None) -> DataFrame:
+    """All appointments after the edits: those unchanged stay where they are."""
+    return citas.join(claves_distintas(aplican, ["id"]), "id", "left_anti").unionByName(
+        citas_editadas(citas, aplican, ahora))
+
+
 def pacientes_del_panel(
     pacientes: DataFrame, validas: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
@@ -146,8 +143,8 @@ def guardar_panel(
     """Saves a batch of staff forms.
 
     ``ediciones`` has ``solicitud_id``, ``recibida_en``, ``cita_id`` (null for a new appointment),
-    the four required fields, ``fecha``, ``hora_inicio``, ``motivo`` and ``notas``.  Edits are
-    applied first, in order; new appointments then compete for what is free.
+    the four required fields, ``fecha``, ``hora_inicio``, ``motivo`` and ``notas``.  Forms are decided one by
+    one in order of arrival, edits and new appointments alike.
     """
     completas, incompletas = separar_validas(ediciones)
     con_paciente, nuevos = pacientes_del_panel(estado.pacientes, completas)
@@ -163,44 +160,31 @@ def guardar_panel(
     guardables = df.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
     citas = ids_texto(estado.citas)
-    cambios = guardables.filter(F.col("cita_id").isNotNull()).select(
-        F.col("cita_id").cast("string").alias("id"),
-        F.struct("recibida_en", "solicitud_id").alias("orden"),
+    alta = F.col("cita_id").isNull()
+    cambios = guardables.select(
+        F.when(alta, id_estable("cita", "solicitud_id")).otherwise(F.col("cita_id").cast("string")).alias("id"),
+        alta.alias("alta"), F.struct("recibida_en", "solicitud_id").alias("orden"),
         "solicitud_id", "paciente_id", "audiologo_id", "sede_id", "fecha", "hora_inicio",
         F.col("motivo").alias("motivo_consulta"), "notas",
     )
-    editadas, rechazo_edicion = editar(citas, cambios, ahora)
-
-    altas = guardables.filter(F.col("cita_id").isNull())
-    ganan = materializar(
-        con_turno(
-            altas.select("recibida_en", "solicitud_id", *DIA, "hora_inicio"),
-            editadas, ["recibida_en", "solicitud_id"],
-        ).select("solicitud_id"),
-        "altas",
-    )
-    aceptadas = altas.join(ganan, "solicitud_id", "left_semi").select(
-        "solicitud_id", id_estable("cita", "solicitud_id").alias("id"), "paciente_id",
-        "audiologo_id", "sede_id", "fecha", hms(seg("hora_inicio")).alias("hora_inicio"),
-        hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60).alias("hora_fin"),
-        vacio_a_nulo("motivo").alias("motivo_consulta"), vacio_a_nulo("notas").alias("notas"),
-        F.lit("pendiente").alias("estado"),
+    revisadas = materializar(revisar_ediciones(citas, normalizar_ediciones(cambios)), "ediciones")
+    valen = revisadas.filter(F.col("motivo_rechazo").isNull())
+    aceptadas = valen.filter("alta").select(
+        "solicitud_id", "id", "paciente_id", "audiologo_id", "sede_id", "fecha", "hora_inicio", "hora_fin",
+        "motivo_consulta", "notas", F.lit("pendiente").alias("estado"),
     )
     rechazadas = (
         incompletas.select("solicitud_id", F.lit("formulario_incompleto").alias("motivo_rechazo"))
         .unionByName(
             df.filter(F.col("motivo_rechazo").isNotNull()).select("solicitud_id", "motivo_rechazo")
         )
-        .unionByName(rechazo_edicion.select("solicitud_id", "motivo_rechazo"))
         .unionByName(
-            altas.join(ganan, "solicitud_id", "left_anti")
-            .select("solicitud_id", F.lit("horario_tomado").alias("motivo_rechazo"))
-        )
+            revisadas.filter(F.col("motivo_rechazo").isNotNull()).select("solicitud_id", "motivo_rechazo"))
     )
     pacientes = estado.pacientes.withColumn("id", F.col("id").cast("string"))
     return Resultado(
         aceptadas=aceptadas,
         rechazadas=rechazadas,
         pacientes=agregar(pacientes, nuevos, "pacientes", ahora),
-        citas=agregar(editadas, aceptadas, "citas", ahora),
+        citas=agregar(con_ediciones(citas, valen.filter(~F.col("alta")), ahora), aceptadas, "citas", ahora),
     )

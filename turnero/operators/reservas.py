@@ -6,7 +6,7 @@ the batch asked for it.  Rejected requests are data, each with its reason, and l
 tables: patients are created or updated only for accepted ones.
 
 How it scales.  A batch is usually small beside the stored tables, so those are narrowed to its
-keys: by broadcasting the keys when a count shows they are few, else after a map-side reduction.
+keys after a map-side reduction.
 The winner of a contested slot comes from a filtered ``row_number``, which Spark limits per group
 before the shuffle, and the loser is whoever is not among the winners, so a slot wanted by a third
 of all requests never gathers them in one task.
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
+from turnero.operators.en_orden import decidir_en_orden
+from turnero.operators.numeracion import numerar
 from turnero.sources.tablas import (
     claves_distintas, con_valores_por_defecto, en_fechas_de, materializar, reducir_a, unir,
 )
@@ -355,52 +357,44 @@ def con_acciones(citas: DataFrame) -> DataFrame:
 
 
 def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
-    """Every change with ``motivo_rechazo``, null when it applies.
+    """Every change with ``motivo_rechazo``, null when it holds at the end.
 
-    ``cambios`` has ``id``, ``estado`` and ``orden``.  An unknown state never applies; of the others the last
-    one of an appointment counts and replaces those before it.  A batch first frees the slots it cancels and
-    then un-cancels in order; un-cancelling onto a slot that stays taken is refused.
+    ``cambios`` has ``id``, ``estado`` and ``orden``; changes are decided one by one in that order (equal ones
+    by id and state).  An unknown state or appointment never applies, and reviving an appointment is refused
+    while another active one holds its slot.  A change that applied and was followed by another of the same
+    appointment that applied is ``reemplazado``.
     """
     todos = cambios.select("id", F.col("estado").alias("nuevo"), "orden")
-    valido = F.coalesce(F.col("nuevo").isin(ESTADOS), F.lit(False))
-    ultimos = primeras(todos.filter(valido), ["id"], [F.desc("orden"), F.desc("nuevo")])
-    ultimo = ultimos.select("id", F.col("orden").alias("_orden"), F.col("nuevo").alias("_nuevo"))
-    sin_efecto = todos.filter(~valido).withColumn("motivo_rechazo", F.lit("estado_invalido")).unionByName(
-        todos.filter(valido).join(ultimo, "id")
-        .filter((F.col("orden") != F.col("_orden")) | (F.col("nuevo") != F.col("_nuevo")))
-        .select("id", "nuevo", "orden", F.lit("reemplazado").alias("motivo_rechazo"))
-    )
-    # Only the appointments that change move.
-    actuales = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select(
-        "id", "estado", *DIA, "hora_inicio")
+    con_turno = numerar(todos, [], [F.col("orden"), F.col("id"), F.col("nuevo")], "t")
+    existen = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select("id", F.lit(True).alias("_existe"))
     revisados = materializar(
-        ultimos.join(actuales.withColumn("_existe", F.lit(True)), "id", "left"), "cambios"
-    )
-    reviven = revisados.filter(
-        F.col("_existe") & ~activa("estado") & activa("nuevo")
-    )
-    liberan = revisados.filter(~activa("nuevo")).select("id")
-    ganan = con_turno(
-        reviven.select("id", "orden", *DIA, "hora_inicio"),
-        citas.join(liberan, "id", "left_anti"), ["orden", "id"],
-    ).select("id")
-    pierden = reviven.join(ganan, "id", "left_anti").select("id", F.lit(True).alias("_pierde"))
-    return (
-        revisados.join(pierden, "id", "left")
-        .withColumn(
-            "motivo_rechazo",
-            F.when(F.col("_existe").isNull(), "cita_desconocida")
-            .when(F.col("_pierde"), "horario_tomado"),
-        )
-        .select("id", "nuevo", "motivo_rechazo")
-        .unionByName(sin_efecto.drop("orden"))
+        con_turno.join(existen, "id", "left").withColumn(
+            "_motivo",
+            F.when(~F.coalesce(F.col("nuevo").isin(ESTADOS), F.lit(False)), "estado_invalido")
+            .when(F.col("_existe").isNull(), "cita_desconocida"),
+        ).drop("_existe"), "cambios",
     )
+    validos = revisados.filter(F.col("_motivo").isNull())
+    dichos = materializar(decidir_en_orden(citas, validos.select(
+        "t", "id", activa("nuevo").alias("activa"))), "dichos")
+    return con_motivo(revisados, dichos).select("id", "nuevo", "motivo_rechazo")
+
+
+def con_motivo(revisados: DataFrame, dichos: DataFrame) -> DataFrame:
+    """Changes (``t``, ``id``, ``_motivo``) with the outcome of ``decidir_en_orden`` as ``motivo_rechazo``."""
+    juntos = revisados.join(dichos, "t", "left")
+    ultimos = juntos.filter("aplica").groupBy("id").agg(F.max("t").alias("t")).select("t", F.lit(True).alias("_ultimo"))
+    return juntos.join(ultimos, "t", "left").withColumn(
+        "motivo_rechazo",
+        F.coalesce("_motivo", F.when(~F.col("aplica"), "horario_tomado")
+                   .when(F.col("_ultimo").isNull(), "reemplazado")),
+    ).drop("_motivo", "aplica", "_ultimo")
 
 
 def cambiar_estado(
     citas: DataFrame, cambios: DataFrame, ahora: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Appointments after the state changes, and the changes that were refused."""
+    """Appointments after the state changes, and the changes that were refused or replaced."""
     ahora = F.current_timestamp() if ahora is None else ahora
     revisados = materializar(revisar_cambios_estado(citas, cambios), "cambios")
     aplican = revisados.filter(F.col("motivo_rechazo").isNull()).select("id", "nuevo")

@@ -142,37 +142,40 @@ def upsert_pacientes(t):
 
 # ---- Changes of state ----
 
-CAMBIOS = """
-, ultimos as (
-  select id, estado nuevo, orden from (select *, row_number() over (
-    partition by id order by orden desc) rn from cambios where estado <> 'otro') where rn = 1),
-revisados as (
-  select u.*, c.id is not null existe, c.estado, c.audiologo_id, c.fecha, c.ini
-  from ultimos u left join citas c on c.id = u.id),
-reviven as (
-  select * from revisados
-  where existe and estado = 'cancelada' and nuevo <> 'cancelada'),
-siguen as (
-  select * from citas where estado <> 'cancelada'
-    and id not in (select id from revisados where nuevo = 'cancelada')),
-ganan as (
-  select id from (select *, row_number() over (
-    partition by audiologo_id, fecha, ini order by orden, id) rn from reviven) v
-  where rn = 1 and not exists (select 1 from siguen s where s.audiologo_id = v.audiologo_id
-    and s.fecha = v.fecha and s.ini = v.ini)),
+# The oracle goes through the changes one at a time: ``agenda`` is the table of appointments under way, by key,
+# with a row for the turn and one for each decision.
+LLENO = """exists (select 1 from recurring.agenda h where h.k <> {k} and h.estado <> 'cancelada'
+  and h.audiologo_id = {s}.audiologo_id and h.fecha = {s}.fecha and h.ini = {s}.ini)"""
+
+CAMBIOS = f"""
+, cam as (select *, row_number() over (order by orden, id, estado) t from cambios),
+agenda(k, id, audiologo_id, fecha, ini, estado, t) using key (k) as (
+  select 'c' || id, id, audiologo_id, fecha, ini, estado, null::bigint from citas
+  where id in (select id from cam) or (audiologo_id, fecha, ini) in (
+    select (audiologo_id, fecha, ini) from citas where id in (select id from cam))
+  union all select 'turno', null, null, null, null, null, 1
+  union (
+    with o as (select cam.* from recurring.agenda p join cam on cam.t = p.t where p.k = 'turno'),
+    x as (
+      select o.t, o.id, o.estado nuevo, a.audiologo_id, a.fecha, a.ini,
+        case when o.estado = 'otro' then 'estado_invalido' when a.k is null then 'cita_desconocida'
+          when a.estado = 'cancelada' and o.estado <> 'cancelada' and {LLENO.format(k="a.k", s="a")}
+          then 'horario_tomado' end motivo
+      from o left join recurring.agenda a on a.k = 'c' || o.id)
+    select 'turno', null, null, null, null, null, t + 1 from o
+    union all select 'd' || t, id, null, null, null, motivo, t from x
+    union all select 'c' || id, id, audiologo_id, fecha, ini, nuevo, null from x where motivo is null)),
+dichos as (select t, id, estado motivo from agenda where k[1] = 'd'),
 cambiados as (
-  select r.id, nuevo, case when not existe then 'cita_desconocida'
-    when v.id is not null and g.id is null then 'horario_tomado' end motivo_rechazo
-  from revisados r left join (select id from reviven) v on v.id = r.id left join ganan g on g.id = r.id
-  union all select id, estado, 'estado_invalido' from cambios where estado = 'otro'
-  union all select c.id, c.estado, 'reemplazado' from cambios c join ultimos u on u.id = c.id
-    where c.estado <> 'otro' and c.orden <> u.orden)"""
+  select c.id, c.estado nuevo, coalesce(motivo, case when c.t < max(c.t) filter (motivo is null)
+    over (partition by c.id) then 'reemplazado' end) motivo_rechazo
+  from cam c join dichos d on d.t = c.t),
+vigentes as (select c.id, coalesce(a.estado, c.estado) estado from citas c left join agenda a on a.k = 'c' || c.id)"""
 
 
 @consulta(
     "cambiar_estado",
-    CAMBIOS + """select c.id, coalesce(b.nuevo, c.estado) estado from citas c
-    left join cambiados b on b.id = c.id and b.motivo_rechazo is null""",
+    CAMBIOS + "select id, estado from vigentes",
 )
 def cambiar_estado(t):
     return r.cambiar_estado(t.citas, t.cambios)[0].select("id", "estado")
@@ -221,22 +224,29 @@ con_paciente as (
     when n = 1 then cast(k.id as varchar)
     else sha256('paciente-panel|' || solicitud_id) end paciente_id
   from completas f left join conocidos k on k.telefono = f.telefono),
-cambios_panel as (
-  select * from (select *, row_number() over (
-    partition by cita_id order by recibida_en desc, solicitud_id desc) u
-    from con_paciente where cita_id is not null) where u = 1),
-revisados as (
-  select f.*, c.estado, c.id is not null existe,
-    c.audiologo_id = f.audiologo_id and c.fecha = f.fecha and c.ini = f.ini conserva
-  from cambios_panel f left join citas c on c.id = f.cita_id),
-mueven as (
-  select *, row_number() over (
-    partition by audiologo_id, fecha, ini order by recibida_en, solicitud_id) rn
-  from revisados where existe and estado <> 'cancelada' and not conserva),
-pierden as (
-  select solicitud_id from mueven m where rn > 1 or exists (
-    select 1 from citas c where c.estado <> 'cancelada' and c.audiologo_id = m.audiologo_id
-      and c.fecha = m.fecha and c.ini = m.ini)),
+formas as (select *, row_number() over (order by recibida_en, solicitud_id) t from con_paciente),
+agenda(k, audiologo_id, fecha, ini, estado, t) using key (k) as (
+  select 'c' || id, audiologo_id, fecha, ini, estado, null::bigint from citas
+  where id in (select cita_id from formas) or (audiologo_id, fecha, ini) in (
+    select (audiologo_id, fecha, ini) from formas)
+  union all select 'turno', null, null, null, null, 1
+  union (
+    with o as (select f.* from recurring.agenda p join formas f on f.t = p.t where p.k = 'turno'),
+    x as (
+      select o.*, coalesce('c' || cita_id, 'n' || solicitud_id) clave, coalesce(a.estado, 'pendiente') estado,
+        case when cita_id is not null and a.k is null then 'cita_desconocida'
+          when (a.k is null or a.estado <> 'cancelada'
+              and not (a.audiologo_id = o.audiologo_id and a.fecha = o.fecha and a.ini = o.ini))
+            and """ + LLENO.format(k="coalesce('c' || cita_id, 'n' || solicitud_id)", s="o") + """
+          then 'horario_tomado' end rechazo
+      from o left join recurring.agenda a on a.k = 'c' || o.cita_id)
+    select 'turno', null, null, null, null, t + 1 from o
+    union all select 'd' || t, null, null, null, rechazo, t from x
+    union all select clave, audiologo_id, fecha, ini, estado, t from x where rechazo is null)),
+dichos as (
+  select f.solicitud_id, coalesce(d.estado, case when cita_id is not null
+    and f.t < max(f.t) filter (d.estado is null) over (partition by cita_id) then 'reemplazado' end) motivo_rechazo
+  from formas f join agenda d on d.k = 'd' || f.t),
 editadas as (
   select cast(c.id as varchar) id, coalesce(e.paciente_id, cast(c.paciente_id as varchar)) paciente_id,
     coalesce(e.audiologo_id, c.audiologo_id) audiologo_id,
@@ -245,17 +255,8 @@ editadas as (
     case when e.cita_id is null then c.ini + c.dur else e.ini + 30 end fin, c.estado,
     case when e.cita_id is null then motivo_consulta else nullif(e.motivo, '') end motivo_consulta,
     case when e.cita_id is null then c.notas else nullif(e.notas, '') end notas
-  from citas c left join (
-    select * from revisados where existe
-      and solicitud_id not in (select solicitud_id from pierden)) e on e.cita_id = c.id),
-altas as (
-  select *, row_number() over (
-    partition by audiologo_id, fecha, ini order by recibida_en, solicitud_id) rn
-  from con_paciente where cita_id is null),
-altas_ok as (
-  select * from altas a where rn = 1 and not exists (
-    select 1 from editadas c where c.estado <> 'cancelada' and c.audiologo_id = a.audiologo_id
-      and c.fecha = a.fecha and c.ini = a.ini))"""
+  from citas c left join agenda a on a.k = 'c' || c.id left join formas e on e.t = a.t),
+altas_ok as (select f.* from formas f join agenda a on a.k = 'n' || f.solicitud_id)"""
 
 CAMPOS = f"""id, paciente_id, audiologo_id, sede_id, fecha, {hm('ini', 'hora_inicio')},
   {hm('fin', 'hora_fin')}, estado, motivo_consulta, notas"""
@@ -275,10 +276,7 @@ def guardar_cita_panel(t):
     "guardar_panel_rechazadas",
     PANEL + """select solicitud_id, 'formulario_incompleto' motivo_rechazo from ediciones
       where solicitud_id not in (select solicitud_id from completas)
-    union all select solicitud_id, 'cita_desconocida' from revisados where not existe
-    union all select solicitud_id, 'horario_tomado' from pierden
-    union all select solicitud_id, 'horario_tomado' from altas
-      where solicitud_id not in (select solicitud_id from altas_ok)""",
+    union all select * from dichos where motivo_rechazo is not null""",
 )
 def guardar_panel_rechazadas(t):
     return panel.guardar_panel(t.ediciones, t.estado()).rechazadas
@@ -294,7 +292,11 @@ def guardar_panel_pacientes(t):
     return panel.guardar_panel(t.ediciones, t.estado()).pacientes
 
 
-@consulta("editar_cita", PANEL + f"select {CAMPOS} from editadas")
+@consulta(
+    "editar_cita",
+    PANEL.replace("from con_paciente),\nagenda", "from con_paciente where cita_id is not null),\nagenda")
+    + f"select {CAMPOS} from editadas",
+)
 def editar_cita(t):
     completas, _ = panel.separar_validas(t.ediciones)
     con_paciente, _ = panel.pacientes_del_panel(t.pacientes, completas)

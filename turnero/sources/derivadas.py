@@ -56,7 +56,7 @@ def hm_sql(m: str) -> str:
 
 
 PRELUDIO = f"""
-with ns as (select count(*) n from supplier),
+with recursive ns as (select count(*) n from supplier),
 sedes as (
   select n_nationkey id, n_name nombre, r_name ciudad, n_nationkey % 8 <> 7 activa
   from nation join region on r_regionkey = n_regionkey),
