@@ -7,7 +7,7 @@ from tests.test_reservas import A, SOLICITUD, lote_al_azar, solicitudes
 from turnero.operators.reservas import reservar
 from turnero.streaming import reservas_stream as reservas_stream_mod
 from turnero.streaming.reservas_stream import (
-    decisiones, estado_en, lotes, procesar_lote, reservas_stream,
+    compactar as reservas_stream_mod_compactar, confirmado, decisiones, estado_en, lotes, procesar_lote, reservas_stream,
 )
 
 PACIENTE = ("id", "nombre", "telefono", "email", "eps")
@@ -83,3 +83,71 @@ def test_lote_a_medias_no_cuenta(spark, tmp_path, monkeypatch):
     assert decisiones(spark, carpeta, SOLICITUD).count() == 15
     procesar_lote(solicitudes(spark, lista[15:]), 1, base, carpeta)
     _comparar(spark, carpeta, base, lista)
+
+
+def test_entregadas_dos_veces(spark, tmp_path):
+    """Requests that come again, in their batch and in later ones, are decided once."""
+    lista, citas, pac = lote_al_azar(9, 30)
+    lista.sort(key=lambda f: f[1])
+    base, carpeta = estado(spark, citas, pac, A), str(tmp_path)
+    tarde = [(f[0], f[1] + 1000, *f[2:]) for f in lista[:12]]
+    procesar_lote(solicitudes(spark, lista[:15] + tarde[:5]), 0, base, carpeta)
+    procesar_lote(solicitudes(spark, lista[10:] + tarde), 1, base, carpeta)
+    _comparar(spark, carpeta, base, lista)
+    res = reservar(solicitudes(spark, lista + tarde + lista), base)
+    assert filas(res.citas, *CITA) == filas(reservar(solicitudes(spark, lista), base).citas, *CITA)
+    assert res.aceptadas.count() + res.rechazadas.count() == len(lista)
+
+
+def test_compactacion(spark, tmp_path):
+    """With merges on the way the tables come out the same, and a repeated batch is still skipped."""
+    lista, citas, pac = lote_al_azar(10, 40)
+    lista.sort(key=lambda f: f[1])
+    base, carpeta = estado(spark, citas, pac, A), str(tmp_path)
+    for lote in range(4):
+        parte = solicitudes(spark, lista[lote * 10:lote * 10 + 10])
+        procesar_lote(parte, lote, base, carpeta, juntar=2)
+    procesar_lote(parte, 3, base, carpeta, juntar=2)
+    assert [n for _, n in confirmado(spark, carpeta).vivos] == [2] and lotes(spark, carpeta).count() == 4
+    _comparar(spark, carpeta, base, lista)
+
+
+def test_cincuenta_lotes(spark, tmp_path):
+    """What a batch has to read grows with the logarithm of the batches before it."""
+    carpeta, vivos = str(tmp_path), []
+    esquema = spark.range(1).schema
+    for lote in range(50):
+        c = reservas_stream_mod.confirmado(spark, carpeta)
+        vivos.append(len(c.vivos))
+        reservas_stream_mod._guardar(spark.range(lote, lote + 1).coalesce(1), carpeta, "decisiones", f"i{lote}")
+        nuevo = reservas_stream_mod.Confirmado(c.version + 1, [*c.vivos, (f"i{lote}", 0)], {"q": lote})
+        reservas_stream_mod._confirmar(spark, carpeta, nuevo, "q", lote, f"i{lote}")
+        reservas_stream_mod_compactar(spark, carpeta, {"decisiones": esquema}, 4)
+    # With 4 to a level, 50 is 302 in base 4.
+    c = confirmado(spark, carpeta)
+    assert [n for _, n in c.vivos] == [2, 2, 2, 0, 0] and max(vivos) <= 9 and c.avance == {"q": 49}
+    todas = reservas_stream_mod._parte(spark, carpeta, "decisiones", esquema)
+    assert sorted(f["id"] for f in todas.collect()) == list(range(50)) and len(todas.inputFiles()) <= 9
+    assert lotes(spark, carpeta).count() == 50
+
+
+def _falla_a_medias(spark, carpeta, partes, juntar):
+    """Merges the first parts and fails before the commit row."""
+    if len(confirmado(spark, carpeta).vivos) == 2:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(reservas_stream_mod, "_confirmar", lambda *a: 1 / 0)
+            reservas_stream_mod_compactar(spark, carpeta, partes, juntar)
+
+
+def test_compactar_a_medias_no_cuenta(spark, tmp_path, monkeypatch):
+    """A merge that breaks off leaves the batches in place."""
+    lista, citas, pac = lote_al_azar(11, 20)
+    lista.sort(key=lambda f: f[1])
+    base, carpeta = estado(spark, citas, pac, A), str(tmp_path)
+    procesar_lote(solicitudes(spark, lista[:10]), 0, base, carpeta, juntar=2)
+    with monkeypatch.context() as m:
+        m.setattr(reservas_stream_mod, "compactar", lambda *a: _falla_a_medias(*a))
+        with pytest.raises(ZeroDivisionError):
+            procesar_lote(solicitudes(spark, lista[10:]), 1, base, carpeta, juntar=2)
+    assert len(confirmado(spark, carpeta).vivos) == 2
+    _comparar(spark, carpeta, base, lista)

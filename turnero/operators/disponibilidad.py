@@ -12,7 +12,7 @@ shrinks on the map side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnero.functions.texto import activa
 from turnero.functions.tiempo import dow, envolver, hms, seg, serie_fechas
@@ -53,6 +53,22 @@ def horas_bloqueadas(bloqueos: DataFrame) -> DataFrame:
     )
 
 
+def unir_intervalos(bloqueadas: DataFrame) -> DataFrame:
+    """Blocked intervals (see ``horas_bloqueadas``) as disjoint ones: overlapping and touching ones are one.
+
+    An interval opens an island when it starts after all that start before it have ended, which a running
+    maximum of ends tells.  A day has one row per start, so at most 86,400, whatever the number of blocks.
+    """
+    antes = Window.partitionBy(*DIA).orderBy("b_ini").rowsBetween(Window.unboundedPreceding, -1)
+    hasta = Window.partitionBy(*DIA).orderBy("b_ini").rowsBetween(Window.unboundedPreceding, 0)
+    nueva = F.coalesce(F.col("b_ini") > F.col("_tope"), F.lit(True))
+    return (
+        bloqueadas.withColumn("_tope", F.max("b_fin").over(antes))
+        .withColumn("_isla", F.sum(nueva.cast("int")).over(hasta))
+        .groupBy(*DIA, "_isla").agg(F.min("b_ini").alias("b_ini"), F.max("b_fin").alias("b_fin")).drop("_isla")
+    )
+
+
 def dias_con_fecha(horarios_fecha: DataFrame) -> DataFrame:
     """Professional days that have any dated row."""
     return horarios_fecha.filter(F.col("audiologo_id").isNotNull()).select(*DIA).distinct()
@@ -244,7 +260,7 @@ def _libres(
         rangos = quitar_dias_cerrados(rangos, dias_cerrados(bloqueos))
     slots = generar_slots(rangos)
     if restar_bloqueos:
-        slots = quitar_bloqueados(slots, horas_bloqueadas(bloqueos))
+        slots = quitar_bloqueados(slots, unir_intervalos(horas_bloqueadas(bloqueos)))
     slots = quitar_ocupados(slots, ocupadas)
     return repetir(slots).select(
         *DIA, hms("slot_ini").alias("hora_inicio"), hms("slot_fin").alias("hora_fin")

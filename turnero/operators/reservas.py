@@ -72,12 +72,13 @@ def validar_solicitudes(
 ) -> DataFrame:
     """Adds ``motivo_rechazo``: why a request cannot be stored at all, or null.
 
-    Name, phone, date and start are required.  Professional and site may be null but must exist.
+    Id, name, phone, date and start are required.  Professional and site may be null but must exist.
     """
     df = marcar_existente(solicitudes, "audiologo_id", audiologos, "_a")
     df = marcar_existente(df, "sede_id", sedes, "_s")
     motivo = (
-        F.when(F.col("nombre").isNull(), "falta_nombre")
+        F.when(F.col("solicitud_id").isNull(), "falta_id")
+        .when(F.col("nombre").isNull(), "falta_nombre")
         .when(F.col("telefono").isNull(), "falta_telefono")
         .when(F.col("fecha").isNull(), "falta_fecha")
         .when(seg("hora_inicio").isNull(), "falta_hora")
@@ -255,15 +256,27 @@ def upsert_pacientes(
 # ---- The whole batch ----
 
 
+def primera_entrega(solicitudes: DataFrame) -> DataFrame:
+    """One row per request: the first that arrived; a delivery repeated later is no new request.
+
+    Only ids that repeat are ordered, and Spark limits that per group before the shuffle.  A row without id
+    cannot be told from another and stays.
+    """
+    con_id = solicitudes.filter(F.col("solicitud_id").isNotNull())
+    resto = [F.col(c) for c, t in solicitudes.dtypes if c not in LLEGADA and not t.startswith("map")]
+    return primeras(con_id, ["solicitud_id"], [F.col("recibida_en"), *resto]).unionByName(
+        solicitudes.filter(F.col("solicitud_id").isNull()))
+
+
 def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
     """Every request with ``motivo_rechazo``: null when accepted.
 
-    The accepted ones are found by slot and the rest follow by request id, which is unique, so no
-    step groups all requests of a contested slot.  The reviewed batch is written once and read by
-    the three branches that need it.
+    A request delivered more than once is decided once, as it first arrived.  The accepted ones are found by
+    slot and the rest follow by request id, so no step groups all requests of a contested slot.  The reviewed
+    batch is written once and read by the three branches that need it.
     """
     revisadas = materializar(
-        validar_solicitudes(solicitudes, estado.audiologos, estado.sedes), "revisadas"
+        validar_solicitudes(primera_entrega(solicitudes), estado.audiologos, estado.sedes), "revisadas"
     )
     validas = revisadas.filter(F.col("motivo_rechazo").isNull())
     ganadoras = con_turno(
@@ -274,7 +287,8 @@ def decidir(solicitudes: DataFrame, estado: Estado) -> DataFrame:
         .withColumn(
             "motivo_rechazo",
             F.coalesce(
-                "motivo_rechazo", F.when(F.col("_gana").isNull(), F.lit("horario_tomado"))
+                "motivo_rechazo",
+                F.when(F.col("_gana").isNull(), F.lit("horario_tomado")),
             ),
         )
         .drop("_gana")
@@ -323,8 +337,8 @@ def reservar(
     """Decides a batch of requests and gives the tables after it.
 
     Schedules, blocks and overlaps are not looked at: only an equal professional, date and start
-    makes a conflict.  ``solicitud_id`` must be unique.  The call runs the job that decides, so that
-    appointments and patients follow from the same decisions.
+    makes a conflict.  ``solicitud_id`` names a request: delivered twice, it is decided once.  The call runs
+    the job that decides, so that appointments and patients follow from the same decisions.
     """
     lote = completar_opcionales(solicitudes)
     decididas = materializar(decidir(lote, estado), "decisiones")

@@ -18,6 +18,7 @@ from turnero.functions.tiempo import (
     dow, fmt_fecha_grupo, fmt_hora, hhmm, nombre_dia, orden_dia, serie_dias,
 )
 from turnero.operators.catalogo import sedes_activas
+from turnero.operators.numeracion import numerar
 from turnero.sources.tablas import claves_distintas, entre_fechas
 
 
@@ -109,6 +110,23 @@ def agenda(
     ).orderBy("fecha", "hora_inicio", "id")
 
 
+def agenda_numerada(citas: DataFrame) -> DataFrame:
+    """Appointments with their place in the list of their day, from 1, by start and id.
+
+    No day is gathered in one task, see ``numerar``; ``etiqueta_dia`` is on the first row of each day.
+    """
+    filas = citas.select("fecha", "hora_inicio", "id")
+    numeradas = numerar(filas, ["fecha"], [F.col("hora_inicio").asc_nulls_first(), F.col("id")], "posicion")
+    return numeradas.withColumn(
+        "etiqueta_dia", F.when(F.col("posicion") == 1, fmt_fecha_grupo("fecha")))
+
+
+def por_nombre_en_espanol(df: DataFrame, nombre: str = "nombre", desempate: str = "id") -> DataFrame:
+    """Adds ``puesto``: the place by name in Spanish order, where accents and capitals come second and ñ
+    follows n; equal names go by ``desempate``."""
+    return numerar(df, [], [F.collate(F.col(nombre), "es").asc_nulls_first(), F.col(desempate)], "puesto")
+
+
 # ---- Counts ----
 
 

@@ -95,15 +95,17 @@ def confirmar(spark: SparkSession, carpeta: str, nombre: str, base: int, parte:
 def leer(
     spark: SparkSession, carpeta: str, nombre: str, esquema: T.StructType,
     desde: str | None = None, hasta: str | None = None, version: int | None = None,
+    solo: list[str] | None = None,
 ) -> DataFrame:
     """The table as last committed, or in a version, with ``mes``; only the months from ``desde`` to ``hasta``.
 
-    Dates cut months only, rows without date are always there.  Months that are left out are not even listed.
+    Dates cut months only, rows without date are always there.  ``solo`` names the months instead.  Months that
+    are left out are not even listed.
     """
     _, meses = confirmada(spark, carpeta, nombre, version)
     rutas = [
         f"{carpeta}/{nombre}/parte={p}/mes={m}" for m, partes in sorted(meses.items()) for p in partes
-        if _toca(m, desde, hasta)
+        if (m in solo if solo is not None else _toca(m, desde, hasta))
     ]
     campos = [c for c in esquema.fields if c.name != "mes"]
     con_particion = T.StructType([*campos, T.StructField("parte", T.StringType()), T.StructField("mes", T.StringType())])
@@ -139,11 +141,11 @@ def agregar_filas(df: DataFrame, carpeta: str, nombre: str, bytes_archivo: int =
 
 def reemplazar(
     df: DataFrame, carpeta: str, nombre: str, desde: str | None = None, hasta: str | None = None,
-    bytes_archivo: int = BYTES_ARCHIVO,
+    bytes_archivo: int = BYTES_ARCHIVO, solo: list[str] | None = None,
 ) -> int:
     """Puts ``df`` in place of all rows in the months from ``desde`` to ``hasta``; the new version.
 
-    Both ends are open when null.  A month of the table in that span which ``df`` has no row of is empty
+    Both ends are open when null; ``solo`` names the months instead.  A month of the table in that span which ``df`` has no row of is empty
     afterwards, in the same commit.  Rows without date are replaced only when both ends are open.
     ``df`` may be computed from the table itself, which is read until the commit.  Rows of ``df`` outside
     the span are an error, for they would be doubled.
@@ -154,11 +156,13 @@ def reemplazar(
     todo = desde is None and hasta is None
 
     def dentro(m: str) -> bool:
+        if solo is not None:
+            return m in solo
         return todo or (m not in (SIN_MES, TODO) and _toca(m, desde, hasta))
 
     fuera = [m for m in escritos if not dentro(m)]
     if fuera:
-        raise ValueError(f"rows outside {desde} to {hasta}: {fuera}")
+        raise ValueError(f"rows outside the months to replace: {fuera}")
     meses = {m: p for m, p in meses.items() if not dentro(m)} | {m: [parte] for m in escritos}
     return confirmar(spark, carpeta, nombre, version, parte, meses)
 
