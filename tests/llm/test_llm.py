@@ -331,7 +331,11 @@ def contaminados_brutos(docs, items):
         for i, u in items.items():
             b = fichas(u)
             v = min(13, len(b))
-            for k in range(-len(b), len(a)) if len(b) >= 8 else ():
+            if len(b) < 8:
+                if b and any(a[k:k + len(b)] == b for k in range(len(a))):
+                    salida.add((d, i))
+                continue
+            for k in range(-len(b), len(a)):
                 m = [0 <= k + j < len(a) and a[k + j] == x for j, x in enumerate(b)]
                 if any(sum(m[s:s + v]) >= 0.8 * v for s in range(len(b) - v + 1)):
                     salida.add((d, i))
@@ -360,6 +364,9 @@ def test_descontaminar_con_sustituciones(spark):
             w[k] = "cambio"
         docs[100 + i] = f"{prosa(5 * i, rng)}, {' '.join(w).upper()}. {prosa(9, rng)}"
     docs[200] = docs[101]
+    items |= {91: "Siete palabras que no son ocho fin", 92: "sola", 93: "", 94: "uno dos cuatro"}
+    docs |= {300: "antes uno, DOS tres.", 301: "uno dos", 302: "x siete palabras que no son ocho fin", 303: "sola",
+             304: "siete palabras que no eran ocho fin", 305: None, 306: ""}
     f = op7.contaminados(
         tabla(spark, docs.items()), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
     hallados = {(x["doc_id"], x["item_id"]) for x in f}
@@ -486,6 +493,20 @@ def test_mensajes_hasta_el_final():
     assert np.abs(p - exacto / exacto.sum(1, keepdims=True)).max() < 1e-2
 
 
+def test_claves_sin_palabra(spark):
+    """Random keys of letters and digits are nearly all found, prose is not."""
+    rng = random.Random(9)
+    letras = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    claves = {i: "".join(rng.choices(letras, k=(20, 24, 32)[i % 3])) for i in range(1200)}
+    claves = {i: c for i, c in claves.items() if any(x.isdigit() for x in c)}
+    f = {x["doc_id"]: x["spans"] for x in op9.detectar_secretos(tabla(spark, claves.items())).collect()}
+    for resto, menos in ((0, 0.95), (1, 0.98), (2, 0.99)):
+        grupo = [i for i in claves if i % 3 == resto]
+        assert sum(bool(f[i]) for i in grupo) >= menos * len(grupo)
+    limpios = {i: prosa(60, rng) for i in range(50)}
+    assert all(not x["spans"] for x in op9.detectar_secretos(tabla(spark, limpios.items())).collect())
+
+
 def test_entropia(spark):
     azar = "Zq8xT2vLm9Rk4WbYc7Nd3Hs"
     textos = [f"clave {azar} fin", "clave " + "a1" * 15, f"clave example{azar}", "palabramuylargasincifrasninguna"]

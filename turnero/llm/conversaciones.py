@@ -10,7 +10,7 @@ Control strings inside roles and texts get a backslash after their first charact
 marks of the template stay the only ones; ``leer_conversaciones`` takes the turns back out.
 
 Defined results.  A null role or text counts as empty.  A message whose parent is null or absent is a
-root.  Messages on a cycle hang on no root and are in no path.  Messages that repeat a (tree, id)
+root.  A message without id cannot be placed in a tree and is in no path.  Messages on a cycle hang on no root and are in no path.  Messages that repeat a (tree, id)
 count once: the least (role, text) stays.  A null tree key is a tree of its own.  Equal branch scores
 go by leaf id.  An empty table gives an empty result.
 """

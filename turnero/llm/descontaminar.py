@@ -7,15 +7,17 @@ with those of the benchmark; each hit lines the item up with the document, and t
 of the alignment are compared: a document is contaminated by an item when, in some ``VENTANA`` aligned
 tokens in a row (the whole item if it is shorter), at least ``PARECIDO`` of them are equal.
 
-How it scales.  Window hashes meet the benchmark's by a broadcast when a count shows that these are at
-most ``MAX_DIFUSION`` rows, else by a shuffle join; both give the same rows.  Of the windows only
-hits move on, each alignment once; texts move once, to meet their hits.  The token array of a document is built once however many hits it has, and its hits
-are no more than its windows times the items that share one.
-
-Defined results.  Null and short texts have no window and are never contaminated, and an item of fewer
-than ``TRAMO`` tokens is too short to be evidence; at least ``TRAMO`` aligned tokens must lie in the
-document.  Items with equal tokens are reported under
-the least id.  Rows that repeat id and text are one document.  A null document id is reported as
+An item shorter than a window cannot be seeded; it must stand in the document whole, token by token, and is
+found by the hash of all its tokens.
+
+How it scales.  Window hashes meet the benchmark's by an equi join; how, is left to Spark's size statistics, and
+nothing is hinted.  Of the windows only hits move on, each alignment once; texts move once, to meet their hits.
+The token array of a document is built once however many hits it has, and its hits are no more than its
+windows times the items that share one.
+
+Defined results.  Null texts and texts without a token are never contaminated, and an item without a token is
+in no document.  Of a longer item at least ``TRAMO`` aligned tokens must lie in the document.  Items with equal
+tokens are reported under the least id.  Rows that repeat id and text are one document.  A null document id is reported as
 null.  An empty table gives an empty result.
 """
 
@@ -31,7 +33,6 @@ TRAMO = 8
 MASCARAS = [(0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 1, 3, 6, 7), (2, 3, 4, 6, 7)]
 VENTANA = 13
 PARECIDO = 0.8
-MAX_DIFUSION = 1_000_000
 
 
 def con(valor: Column, f) -> Column:
@@ -66,17 +67,40 @@ def ventanas_de(df: DataFrame, *claves: str) -> DataFrame:
 
 
 def aciertos(docs: DataFrame, pruebas: DataFrame) -> DataFrame:
-    """Alignments (``doc``, ``th``, ``item``, ``desfase``) that some window supports."""
+    """Alignments (``doc``, ``th``, ``item``, ``desfase``) that some window, or a whole short item, supports."""
     s = materializar(
         ventanas_de(pruebas, "item").select("item", F.col("lugar").alias("en"), F.col("s").alias("sp"))
         .distinct(), "semillas",
     )
-    if s.count() <= MAX_DIFUSION:
-        s = F.broadcast(s)
-    return (
+    largos = (
         ventanas_de(docs, "doc", "th").join(s, F.col("s") == F.col("sp"))
         .select("doc", "th", "item", (F.col("lugar") - F.col("en")).alias("desfase")).distinct()
     )
+    cortos = pruebas.filter(F.size("fichas").between(1, TRAMO - 1))
+    # At most TRAMO - 1 sizes.
+    tamanos = sorted(f["n"] for f in cortos.select(F.size("fichas").alias("n")).distinct().collect())
+    if not tamanos:
+        return largos
+    enteros = cortos.select("item", F.xxhash64(F.transform("fichas", lambda t: F.xxhash64(t))).alias("sp"))
+    return largos.unionByName(
+        tramos_enteros(docs, tamanos).join(enteros, F.col("s") == F.col("sp"))
+        .select("doc", "th", "item", F.col("lugar").alias("desfase")).distinct()
+    )
+
+
+def tramos_enteros(docs: DataFrame, tamanos: list[int]) -> DataFrame:
+    """One row per run of each of the sizes: ``doc``, ``th``, ``lugar`` and the hash ``s`` of its tokens."""
+    def de_largo(h: Column, k: int) -> Column:
+        lugares = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(h) - k))
+        tramos = F.transform(lugares, lambda i: F.struct(
+            i.alias("lugar"), F.xxhash64(F.slice(h, i + 1, k)).alias("s")))
+        return F.when(F.size(h) >= k, tramos).otherwise(F.array().cast("array<struct<lugar:int,s:bigint>>"))
+
+    def todos(h: Column) -> Column:
+        return F.flatten(F.array(*[de_largo(h, k) for k in tamanos]))
+
+    hashes = F.transform(fichas(F.col("texto")), lambda t: F.xxhash64(t))
+    return docs.select("doc", "th", F.explode(con(hashes, todos)).alias("v")).select("doc", "th", "v.*")
 
 
 def coincidencia(doc: Column, item: Column, desfase: Column) -> Column:
@@ -113,7 +137,8 @@ def contaminados(
         puntos = F.transform(F.col("aciertos"), lambda a: F.struct(
             a["item"].alias("item"), coincidencia(d, a["fichas"], a["desfase"]).alias("iguales"),
             F.least(F.lit(VENTANA), F.size(a["fichas"])).alias("ancho")))
-        return F.filter(puntos, lambda p: p["iguales"] >= F.ceil(p["ancho"] * F.lit(PARECIDO)))
+        return F.filter(puntos, lambda p: p["iguales"] >= F.when(p["ancho"] < TRAMO, p["ancho"]).otherwise(
+            F.ceil(p["ancho"] * F.lit(PARECIDO))))
 
     return (
         base.join(por_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))

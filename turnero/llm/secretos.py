@@ -33,7 +33,7 @@ VENTANA = 20
 CIFRAS, MINUSCULAS, MAYUSCULAS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASES = {
     "hexadecimal": ("0-9A-Fa-f", CIFRAS + "abcdefABCDEF", 3.0),
-    "base64": ("A-Za-z0-9+/_=-", CIFRAS + MINUSCULAS + MAYUSCULAS + "+/_=-", 4.0),
+    "base64": ("A-Za-z0-9+/_=-", CIFRAS + MINUSCULAS + MAYUSCULAS + "+/_=-", 3.7),
 }
 PERMITIDOS = r"(?i)example|sample|dummy|placeholder|xxxx|0123456789|abcdefgh"
 CLASE_SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean>"
