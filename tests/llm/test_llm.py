@@ -264,7 +264,7 @@ def test_consulta_escribe_fragmentos_y_se_reanuda(spark):
     assert leidas == sorted(map(clave, op4.secuencias(docs).select(df.columns).collect()))
     n = len(leidas)
     assert sum(os.path.getsize(x) for x in glob.glob(f"{ruta}/*.bin")) == n * (16 + 2 * op4.LARGO)
-    sec = op4.secuencias(docs, largo=64, filas_por_fragmento=100)
+    sec = op4.secuencias(docs, largo=64, filas_por_fragmento=20)
     # Partitions hold ranges of shards.
     partes = sec.groupBy(F.spark_partition_id().alias("p")).agg(F.min("shard"), F.max("shard")).orderBy("p").collect()
     assert all(a[2] < b[1] for a, b in zip(partes, partes[1:])) and len(partes) > 1
@@ -272,11 +272,29 @@ def test_consulta_escribe_fragmentos_y_se_reanuda(spark):
     op4.escribir_fragmentos(sec, f"file://{ruta}")
     os.truncate(f"{ruta}/000000.bin", 0)  # not read when resuming after it
     total = sec.count()
-    for desde in (100, 257, total - 1, total):
-        hay = op4.leer_fragmentos(spark, ruta, 64, 100, desde=desde)
+    for desde in (20, 257, total - 1, total):
+        hay = op4.leer_fragmentos(spark, ruta, 64, 20, desde=desde)
         assert sorted(x["slot"] for x in hay.select("slot").collect()) == list(range(desde, total))
 
 
+def test_fragmentos_con_y_sin_esquema(spark, tmp_path):
+    """A URI, a bare folder, a write over what a failed attempt left, null ids, an empty table."""
+    d = tabla(spark, [(None, "uno dos"), (5, "x " * 900), (-(2**63) + 1, None)])
+    sec = op4.secuencias(d, largo=64, filas_por_fragmento=4)
+    esperado = sorted((f["slot"], f["doc_id"] or 0, f["seq_no"]) for f in sec.collect())
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "000000.bin").write_bytes(b"half a shard")
+    for ruta in (f"file://{tmp_path}/a", f"{tmp_path}/b", f"file:{tmp_path}/c"):
+        for _ in range(2):
+            op4.escribir_fragmentos(sec, ruta)
+        leidos = op4.leer_fragmentos(spark, ruta, 64, 4).collect()
+        assert sorted((f["slot"], f["doc_id"] or 0, f["seq_no"]) for f in leidos) == esperado
+        assert sum(f["doc_id"] is None for f in leidos) == 1
+    with pytest.raises(ValueError):
+        op4.escribir_fragmentos(sec, "ftp://host/x")
+    assert op4.escribir_fragmentos(op4.secuencias(d.limit(0)), f"{tmp_path}/v").count() == 0
+
+
 # ---- 5 ----
 
 

@@ -9,7 +9,7 @@ The registered query and the pipeline write the shards and return what they read
 
 How it scales.  Texts are tokenized once, where they are read, and the ids are written to the shared folder
 with running counts; one total per task makes the counts global.  Each sequence moves once, to its
-shard, and shards have a fixed size.  The numbers follow the files and splits of the input: equal files
+shard; shards have a fixed size, and a task writes ``FRAGMENTOS_POR_TAREA`` of them.  The numbers follow the files and splits of the input: equal files
 read with equal settings give equal slots.
 
 Defined results.  Null and empty texts are one sequence with the end mark alone.  Repeated rows each get
@@ -38,7 +38,11 @@ LARGO = 512
 FILAS_POR_FRAGMENTO = 4096
 CLAVE = 20_24
 RONDAS = 6
+FRAGMENTOS_POR_TAREA = 16  # consecutive shards that one task writes, about 70 MB
 REGISTROS = 1024  # records read at a time
+# Schemes of Spark's file systems with what Arrow calls them.
+ESQUEMAS = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs",
+            "abfs": "abfs", "abfss": "abfss"}
 CABEZA = np.dtype([("doc", "<i8"), ("orden", "<u4"), ("n", "<u4")])
 SIN_ID = -(2**63)
 
@@ -162,13 +166,13 @@ def secuencias(
                 pa.array([t.ljust(2 * largo, b"\0") for t in trozos], pa.binary()),
             ], names=["slot", "doc", "seq_no", "n_tokens", "tokens"])
 
-    fragmento = F.expr(f"slot div {filas_por_fragmento}L")
+    fragmento, por_tarea = F.expr(f"slot div {filas_por_fragmento}L"), filas_por_fragmento * FRAGMENTOS_POR_TAREA
     return (
         filas.select("doc", "tarea", "antes", "ids")
         .mapInArrow(cortar, "slot long, doc long, seq_no long, n_tokens long, tokens binary")
         .withColumn("shard", fragmento)
-        # Slots are 0..n-1, so the ranges are known without a sample: each shard is one partition.
-        .repartitionById(max(1, -(-n // filas_por_fragmento)), F.col("shard").cast("int"))
+        # Slots are 0..n-1, so the ranges are known without a sample: some shards in a row are one partition.
+        .repartitionById(max(1, -(-n // por_tarea)), F.expr(f"cast(slot div {por_tarea}L as int)"))
         .sortWithinPartitions("slot")
         .select("slot", "shard", ((F.col("slot") % filas_por_fragmento) * paso).alias("offset"),
                 F.col("doc").alias(doc), "seq_no", "n_tokens", "tokens")
@@ -178,15 +182,32 @@ def secuencias(
 # ---- Files ----
 
 
+def uri(spark: SparkSession, ruta: str) -> tuple[str, str]:
+    """``ruta`` as Spark resolves it (a bare path is on the default file system), and the same for Arrow."""
+    camino = spark._jvm.org.apache.hadoop.fs.Path(ruta)
+    if (dado := camino.toUri().getScheme()) and dado not in ESQUEMAS:
+        raise ValueError(f"no way to write records to {ruta}")
+    completa = camino.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(camino).toString()
+    esquema, resto = completa.split(":", 1)
+    if esquema not in ESQUEMAS:
+        raise ValueError(f"no way to write records to {completa}")
+    if esquema == "file":
+        resto = "//" + resto if not resto.startswith("//") else resto
+    return completa, f"{ESQUEMAS[esquema]}:{resto}".rstrip("/")
+
+
 def escribir_fragmentos(sec: DataFrame, ruta: str, doc: str = "doc_id") -> DataFrame:
     """Writes the shards as files of fixed-stride records and returns the list of them.
 
-    ``ruta`` is a URI that every executor can write.  A shard is written under a temporary name and then
-    renamed, and a retried task writes the same bytes again.  A record is document id (int64),
+    ``ruta`` is a folder that every executor can write, with a scheme or on the default file system.  A shard is
+    written under a temporary name and then renamed; a retried task writes the same bytes again and replaces
+    what the earlier attempt left.  A record is document id (int64),
     place in the document (uint32), token count (uint32) and the ids (uint16 each).
     """
+    _, destino = uri(sec.sparkSession, ruta)
+
     def escribir(lotes):
-        sistema, carpeta = pafs.FileSystem.from_uri(ruta)
+        sistema, carpeta = pafs.FileSystem.from_uri(destino)
         sistema.create_dir(carpeta, recursive=True)
         intento = TaskContext.get().taskAttemptId()
         abierto = None
@@ -213,7 +234,10 @@ def escribir_fragmentos(sec: DataFrame, ruta: str, doc: str = "doc_id") -> DataF
 
 def _cerrar(sistema, carpeta, intento, fragmento, archivo, primero, filas, octetos):
     archivo.close()
-    sistema.move(f"{carpeta}/_{fragmento:06d}.{intento}", f"{carpeta}/{fragmento:06d}.bin")
+    final = f"{carpeta}/{fragmento:06d}.bin"
+    if sistema.get_file_info(final).type != pafs.FileType.NotFound:
+        sistema.delete_file(final)  # not every file system renames onto a file
+    sistema.move(f"{carpeta}/_{fragmento:06d}.{intento}", final)
     return pa.RecordBatch.from_pylist(
         [{"shard": fragmento, "first_slot": primero, "rows": filas, "bytes": octetos}])
 
@@ -224,13 +248,12 @@ def leer_fragmentos(
 ) -> DataFrame:
     """Records of written shards from slot ``desde`` on: slot, document id, place, token count and ids.
 
-    Earlier shards are not opened, and the shard of ``desde`` is read from that record's byte on.  ``ruta``
-    is a URI or a local folder that every executor can read.
+    Earlier shards are not opened, and the shard of ``desde`` is read from that record's byte on.
     """
     tipo = np.dtype([*CABEZA.descr, ("ids", "<u2", (largo,))])
     esquema = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()),
                          ("n_tokens", pa.int64()), ("tokens", pa.binary())])
-    raiz = (ruta if "://" in ruta else f"file://{ruta}").rstrip("/")
+    de_spark, raiz = uri(spark, ruta)
 
     def registros(fragmento):
         sistema, archivo = pafs.FileSystem.from_uri(f"{raiz}/{fragmento:06d}.bin")
@@ -253,7 +276,7 @@ def leer_fragmentos(
                 yield from registros(fragmento)
 
     return (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(raiz)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(de_spark)
         .select(F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long").alias("shard"))
         .filter(F.col("shard") >= desde // filas_por_fragmento)
         .mapInArrow(partir, "slot long, doc_id long, seq_no long, n_tokens long, tokens binary")
@@ -263,8 +286,6 @@ def leer_fragmentos(
 def por_fragmentos(docs: DataFrame) -> DataFrame:
     """``secuencias`` written as shards to a working folder, as read back from them."""
     ruta = carpeta_de_trabajo(docs.sparkSession, "secuencias")
-    if "://" not in ruta:
-        ruta = f"file://{ruta}"
     hechos = escribir_fragmentos(secuencias(docs), ruta)
     if hechos.isEmpty():
         leidos = docs.sparkSession.createDataFrame(
