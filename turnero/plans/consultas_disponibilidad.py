@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from turnero.functions.tiempo import hms, serie_dias
 from turnero.operators import disponibilidad as d
 from turnero.plans.registro import DESDE, HASTA, HORAS, consulta, hm
+from turnero.sources.derivadas import PLANTILLAS
+from turnero.sources.tablas import valores
 
 PARES = f"""
 , dias as (
@@ -190,4 +192,9 @@ def series_int(t):
     f"select audiologo_id, dia_semana, {HORAS}, dur duracion_cita_min from horarios_disponibles",
 )
 def values_source(t):
-    return t.horarios_disponibles
+    """Weekly rows out of a VALUES relation of the templates, joined with the professionals of each kind."""
+    plantilla = valores(t.spark, PLANTILLAS, ["tipo", "dia_semana", "ini", "fin", "duracion_cita_min"])
+    gente = t.origen("supplier").select(F.col("s_suppkey").alias("audiologo_id"), (F.col("s_suppkey") % 4).alias("tipo"))
+    return gente.join(plantilla, "tipo").select(
+        "audiologo_id", "dia_semana", hms(F.col("ini") * 60).alias("hora_inicio"),
+        hms(F.col("fin") * 60).alias("hora_fin"), "duracion_cita_min")

@@ -24,6 +24,13 @@ def read_table(spark: SparkSession, carpeta: str, nombre: str) -> DataFrame:
     return spark.read.schema(ESQUEMAS[nombre]).parquet(f"{carpeta}/{nombre}")
 
 
+def valores(spark: SparkSession, filas: list[tuple], columnas: list[str]) -> DataFrame:
+    """A VALUES relation: a few rows of literals that are part of the plan and read no file."""
+    marcas = ", ".join("(" + ", ".join(f":v{i}_{j}" for j in range(len(columnas))) + ")" for i in range(len(filas)))
+    datos = {f"v{i}_{j}": v for i, fila in enumerate(filas) for j, v in enumerate(fila)}
+    return spark.sql(f"select * from values {marcas} as t({', '.join(columnas)})", args=datos)
+
+
 def con_mes(df: DataFrame) -> DataFrame:
     return df.withColumn("mes", F.date_format("fecha", "yyyy-MM"))
 
