@@ -13,15 +13,15 @@ SEMANA = f"audiologo_id, dia_semana, {HORAS}, dur duracion_cita_min"
 FECHA = f"audiologo_id, fecha, {HORAS}, dur duracion_cita_min"
 BLOQUEO = f"audiologo_id, fecha, {HORAS}, motivo"
 
-# Standard week with a lunch break: Monday to Thursday until 17:00, Friday until 16:30.
+# A week with a lunch break: Monday to Thursday until 18:15, Friday until 17:15.
 ESTANDAR = [
-    *h.lunes_a(4, "07:30", "12:00"), *h.lunes_a(4, "13:00", "17:00"),
-    (5, "07:30", "12:00"), (5, "13:00", "16:30"),
+    *h.lunes_a(4, "08:15", "12:15"), *h.lunes_a(4, "13:15", "18:15"),
+    (5, "08:15", "12:15"), (5, "13:15", "17:15"),
 ]
 ESTANDAR_SQL = """, estandar as (
   select cast(d as int) dia_semana, ini, fin, 30 dur
-  from range(1, 6) r(d) cross join (values (450, 720), (780, 1020)) b(ini, tope)
-  cross join lateral (select case when d = 5 and tope = 1020 then 990 else tope end fin) f)"""
+  from range(1, 6) r(d) cross join (values (495, 735), (795, 1095)) b(ini, tope)
+  cross join lateral (select case when d = 5 and tope = 1095 then 1035 else tope end fin) f)"""
 
 SEDES_NOMBRADAS = ["NATION_3", "NATION_8", "NATION_15"]
 EN_SEDES = """(select a.id from audiologos a join sedes s on s.id = a.sede_id
