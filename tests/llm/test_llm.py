@@ -8,6 +8,8 @@ import os
 import random
 import re
 import tempfile
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -298,16 +300,59 @@ def test_fragmentos_con_y_sin_esquema(spark, tmp_path):
 # ---- 5 ----
 
 
+def partes_que_quedan(spark, carpeta, resto, toxicos, malos):
+    """Labels of half the documents; of the other half good ones stay, junk and toxic text goes."""
+    docs = spark.read.parquet(f"{carpeta}/documents.parquet")
+    et = spark.read.parquet(f"{carpeta}/labels.parquet")
+    ajuste = et.filter(F.col("doc_id") % 2 != resto)
+    quedan = {f["doc_id"] for f in op5.remuestrear(docs, ajuste).select("doc_id").collect()}
+    prueba = et.filter(F.col("doc_id") % 2 == resto).collect()
+
+    def parte(calidad, toxico):
+        x = [f["doc_id"] in quedan for f in prueba if f["quality"] == calidad and f["toxic"] == toxico]
+        return sum(x) / len(x)
+
+    assert parte(1, 0) >= 0.95 and parte(1, 1) <= toxicos and parte(0, 0) <= malos
+
+
 def test_calidad_en_documentos_apartados(spark):
-    """Labels of half the documents; of the other half, good ones stay and junk goes."""
-    c = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{c}/documents.parquet")
-    et = spark.read.parquet(f"{c}/labels.parquet")
-    quedan = {f["doc_id"] for f in op5.remuestrear(docs, et.filter("doc_id % 2 = 0")).select("doc_id").collect()}
-    prueba = et.filter("doc_id % 2 = 1").collect()
-    buenos = [f["doc_id"] in quedan for f in prueba if f["quality"] == 1 and f["toxic"] == 0]
-    malos = [f["doc_id"] in quedan for f in prueba if f["quality"] == 0]
-    assert sum(buenos) / len(buenos) >= 0.95 and sum(malos) / len(malos) <= 0.4
+    partes_que_quedan(spark, "/root/testdata/sf0.01", 1, 0.7, 0.2)
+
+
+@pytest.mark.parametrize("resto", [0, 1])
+def test_toxicos_en_documentos_apartados(spark, resto):
+    partes_que_quedan(spark, "/root/testdata/sf0.1", resto, 0.4, 0.25)
+
+
+def test_pesos_y_sorteo_como_fuerza_bruta(spark, documentos):
+    """Counts, log weights, the number drawn and the drawn set, in plain Python."""
+    textos = {**documentos, -1: None, -2: "", -3: " \n", -4: "una DOS tres!!", -5: "una DOS tres!!",
+              -6: prosa(op5.BLOQUE + 1000, random.Random(1))}
+    et = {f["doc_id"]: (f["quality"], f["toxic"])
+          for f in spark.read.parquet(f"{CARPETA}/labels.parquet").collect() if f["doc_id"] in documentos}
+    d = tabla(spark, textos.items())
+    e = spark.createDataFrame([(i, *x) for i, x in et.items()], "doc_id long, quality int, toxic int")
+
+    def palabras(t):
+        return [zlib.crc32(w.encode()) % 65_536 for w in re.findall(r"\w+|[^\w\s]+", (t or "").lower())]
+
+    crudo, bueno = Counter(), Counter()
+    for i, t in textos.items():
+        crudo.update(palabras(t))
+        if et.get(i) == (1, 0):
+            bueno.update(palabras(t))
+    parte = sum(bueno.values()) / sum(crudo.values())
+    pesos = {}
+    for i, t in textos.items():
+        r = [round(math.log((bueno[c] + 1) / (crudo[c] * parte + 1)) * 2**20) for c in palabras(t)]
+        ventanas = [r[k:k + 512] for k in range(0, len(r), 512)]
+        pesos[i] = sum(len(v) * sum(sorted(v)[:8]) for v in ventanas) / max(1, len(r)) / 2**20
+    salida = {f["doc_id"]: f["log_weight"] for f in op5.remuestrear(d, e).collect()}
+    assert salida and all(abs(pesos[i] - w) < 1e-4 for i, w in salida.items())
+    ruido = {f["doc_id"]: f["r"] / 1e6 for f in d.select("doc_id", op5.llave(F.lit(0), F.col("doc_id")).alias("r")).collect()}
+    k = math.ceil(len(textos) * (sum(x == (1, 0) for x in et.values()) / len(et) + op5.HOLGURA))
+    orden = sorted(textos, key=lambda i: -(pesos[i] + ruido[i]))
+    assert set(salida) == set(orden[:k])
 
 
 def test_k_esima(spark):
