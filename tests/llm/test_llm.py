@@ -327,7 +327,7 @@ def test_toxicos_en_documentos_apartados(spark, resto):
 def test_pesos_y_sorteo_como_fuerza_bruta(spark, documentos):
     """Counts, log weights, the number drawn and the drawn set, in plain Python."""
     textos = {**documentos, -1: None, -2: "", -3: " \n", -4: "una DOS tres!!", -5: "una DOS tres!!",
-              -6: prosa(op5.BLOQUE + 1000, random.Random(1))}
+              -6: prosa(op5.BLOQUE // 2, random.Random(1))}
     et = {f["doc_id"]: (f["quality"], f["toxic"])
           for f in spark.read.parquet(f"{CARPETA}/labels.parquet").collect() if f["doc_id"] in documentos}
     d = tabla(spark, textos.items())
