@@ -5,9 +5,12 @@ XXH64 values have it.  Documents link when fingerprints differ in at most ``dist
 
 Search.  Each fingerprint is cut into 32 segments of 2 bits and mapped to the vector of their bit
 counts, 0 to 2.  The Manhattan distance of two such vectors is never more than the number of
-differing bits.  The 32 coordinates form three grids; when the distance is at most 4, it is at most
-1 in one of them.  So a range join of radius 1 in each grid, an equality join on the cell and the
-cells one step above, brings every linked pair together, and the bits are then compared exactly.
+differing bits.  The 32 coordinates form three grids; when at most 5 bits differ, at most one does in the
+segments of some grid, and the Manhattan distance there is at most 1.  So a range join of radius 1 in each
+grid, an equality join on the cell and the cells one step above, brings every linked pair together.  A cell
+is refined by the bits behind its counts, since a step up by one differing bit leaves one or two patterns:
+unrelated fingerprints then meet with probability 12 / 2^22 a grid, not with that of equal counts.  The bits
+are then compared exactly.
 Fingerprints are joined once each, however many documents share one, so a group of copies counts as
 one point.  Links become components by alternating large-star and small-star steps.
 
@@ -81,24 +84,29 @@ def enlaces(huellas: DataFrame, distancia: int = DISTANCIA) -> DataFrame:
     v = huellas.withColumn("v", vector(F.col("h")))
     bases, sondas = [], []
     for g, campos in enumerate(REJILLAS):
-        celda = F.col("v").bitwiseAND(_long(sum(3 << (2 * j) for j in campos)))
-        bases.append(F.struct(F.lit(g).alias("rejilla"), celda.alias("celda")))
-        sondas.append(F.struct(F.lit(g).alias("rejilla"), celda.alias("celda"),
-                               F.lit(False).alias("paso")))
+        mascara = _long(sum(3 << (2 * j) for j in campos))
+        celda, bits = F.col("v").bitwiseAND(mascara), F.col("h").bitwiseAND(mascara)
+
+        def punto(celda: Column, bits: Column, paso: bool | None = None) -> Column:
+            campos = [F.lit(g).alias("rejilla"), celda.alias("celda"), bits.alias("bits")]
+            return F.struct(*campos, *([] if paso is None else [F.lit(paso).alias("paso")]))
+
+        bases.append(punto(celda, bits))
+        sondas.append(punto(celda, bits, False))
         for j in campos:
-            # A count below 2 has a cell one step above: 0 to 1 flips one bit, 1 to 2 flips both.
+            # A count below 2 has a cell one step above: 0 to 1 sets either bit, 1 to 2 the one that is not set.
             campo = F.shiftrightunsigned(F.col("v"), 2 * j).bitwiseAND(F.lit(3).cast("long"))
             sube = F.when(campo == 0, 1).otherwise(3).cast("long")
             arriba = celda.bitwiseXOR(F.shiftleft(sube, 2 * j))
-            sondas.append(F.when(campo < 2, F.struct(
-                F.lit(g).alias("rejilla"), arriba.alias("celda"), F.lit(True).alias("paso"))))
+            sondas.append(F.when(campo < 2, punto(arriba, bits.bitwiseOR(F.shiftleft(sube, 2 * j)), True)))
+            sondas.append(F.when(campo == 0, punto(arriba, bits.bitwiseOR(_long(2 << (2 * j))), True)))
     base = v.select(F.col("h").alias("b"), F.inline(F.array(*bases)))
     sonda = v.select(
         F.col("h").alias("a"), F.inline(F.filter(F.array(*sondas), lambda s: s.isNotNull()))
     )
     cerca = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distancia
     return (
-        sonda.join(base, ["rejilla", "celda"])
+        sonda.join(base, ["rejilla", "celda", "bits"])
         .filter(cerca & (F.col("paso") | (F.col("a") < F.col("b"))))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
