@@ -21,7 +21,7 @@ COLUMNAS = ["doc_id", "text", "lang", "source", "n_chars"]
 def calidad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards text labelled good."""
     etiquetas = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return remuestrear(docs, etiquetas).select(*COLUMNAS)
+    return remuestrear(docs, etiquetas, ngramas=2).select(*COLUMNAS)
 
 
 def casi_iguales(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def token_output(spark: SparkSession, carpeta: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, carpeta: str) -> DataFrame:
     """The documents that stay; those rejected have no row."""
     docs = leer(spark, carpeta, "documents").select("doc_id", "text")
-    return remuestrear(docs, leer(spark, carpeta, "labels")).select(
+    return remuestrear(docs, leer(spark, carpeta, "labels"), ngramas=2).select(
         "doc_id", "log_weight", F.lit(True).alias("kept"))
 
 

@@ -1,10 +1,12 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed word unigrams are fitted: one on target text (labelled good and not toxic),
-one on all raw text.  Words are runs of letters and digits, or of other visible characters, in lower case.
-The log ratio of a word compares the times it was seen in target text with the times the raw model expects there,
-both raised by ``SUAVIZADO``, so a rare word tells little.  A document's log weight is taken from windows of
-``VENTANA`` words: the sum of the ``PEORES`` least log ratios of a window, averaged over the windows by their words.
+Two generative models of hashed n-grams are fitted: one on target text (labelled good and not toxic),
+one on all raw text.  Words are runs of letters and digits, or of other visible characters, in lower case; n-grams
+are words and, with ``ngramas`` 2 as in the registered query and the pipeline, pairs of neighbouring words.
+The log ratio of an n-gram compares the times it was seen in target text with the times the raw model expects there,
+both raised by ``SUAVIZADO``, so a rare one tells little.  A document's log weight is taken from windows of
+``VENTANA`` words: the sum of the ``PEORES`` least log ratios of words of a window and of the ``PEORES_PARES`` least
+of pairs that end in it, averaged over the windows by their words.
 The plain sum over all words grows with the length of a text, and its many ratios near 0 hide a few telling
 ones; the least ones show a few bad words, and windows keep a long text from being judged by its length.
 Documents are drawn without replacement in proportion to their weights: Gumbel noise is added to the log weight
@@ -14,8 +16,8 @@ and the ``k`` largest sums stay.
 a good document lost costs more than a bad one kept.  The noise is a hash of seed and document id, so a
 rerun draws the same documents.
 
-How it scales.  Each task adds up its words in two tables of ``CUBOS`` numbers; only those move.  The
-raw model counts every word of every document.  The target model takes at most ``MAX_OBJETIVO``
+How it scales.  Each task adds up its n-grams in two tables of ``CUBOS`` numbers for words and as many for pairs;
+only those move.  The raw model counts every n-gram of every document.  The target model takes at most ``MAX_OBJETIVO``
 labelled documents, those with the smallest id hashes, so that their ids may be broadcast.  Log ratios
 are fixed-point integers: sums are exact, whatever the order.  The k-th largest sum is found
 by counting in ever narrower ranges, never by sorting everything into one place.
@@ -44,10 +46,13 @@ CUBOS = 65_536
 SUAVIZADO = 1.0
 VENTANA = 512  # words
 PEORES = 8
+PEORES_PARES = 2
+NINGUNO = np.iinfo(np.int64).max  # stands for no pair
 SEMILLA = 20_24
 HOLGURA = 0.05
 MAX_OBJETIVO = 20_000
 ESCALA = 1 << 20
+MEZCLA = np.uint64(0x9E3779B97F4A7C15)  # the top 16 bits of a product are a pair's bucket, out of CUBOS
 BLOQUE = 1 << 18  # characters cut to words at a time
 RECUERDOS = 200_000  # words a worker remembers
 RANGOS = 4096
@@ -77,30 +82,51 @@ def cubos(texto: str | None):
         desde = hasta
 
 
-def _contar(lotes):
-    """Adds up the words of a partition: all of them, and those of target documents."""
-    crudo, objetivo = np.zeros(CUBOS, np.int64), np.zeros(CUBOS, np.int64)
-    for lote in lotes:
-        for texto, bueno in zip(lote["texto"], lote["bueno"]):
-            for h in cubos(texto.as_py()):
-                c = np.bincount(h, minlength=CUBOS) if len(h) > 4 * CUBOS else None
-                for tabla in (crudo, objetivo) if bueno.as_py() else (crudo,):
-                    if c is None:
-                        np.add.at(tabla, h, 1)
-                    else:
-                        tabla += c
-    hay = np.flatnonzero(crudo)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(hay), pa.array(crudo[hay]), pa.array(objetivo[hay])],
-        names=["cubo", "crudo", "objetivo"],
-    )
+def rasgos(texto: str | None, ngramas: int):
+    """Buckets of a text's words, and of the pairs that end with them, some ``BLOQUE`` characters at a time.
+
+    A pair has buckets from ``CUBOS`` on.  The first word of a text ends none, so the first part has one pair less;
+    later parts begin with the pair that spans the cut.
+    """
+    ultima = np.zeros(0, np.int64)
+    for h in cubos(texto):
+        pares = np.zeros(0, np.int64)
+        if ngramas > 1:
+            seguidas = np.concatenate([ultima, h]).astype(np.uint64)
+            juntas = (seguidas[:-1] << np.uint64(16)) | seguidas[1:]
+            pares = CUBOS + ((juntas * MEZCLA) >> np.uint64(48)).astype(np.int64)
+            ultima = h[-1:] if len(h) else ultima
+        yield h, pares
+
+
+def _contador(ngramas: int):
+    def contar(lotes):
+        """Adds up the n-grams of a partition: all of them, and those of target documents."""
+        n = ngramas * CUBOS
+        crudo, objetivo = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for lote in lotes:
+            for texto, bueno in zip(lote["texto"], lote["bueno"]):
+                for h in itertools.chain.from_iterable(rasgos(texto.as_py(), ngramas)):
+                    c = np.bincount(h, minlength=n) if len(h) > 4 * n else None
+                    for tabla in (crudo, objetivo) if bueno.as_py() else (crudo,):
+                        if c is None:
+                            np.add.at(tabla, h, 1)
+                        else:
+                            tabla += c
+        hay = np.flatnonzero(crudo)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hay), pa.array(crudo[hay]), pa.array(objetivo[hay])],
+            names=["cubo", "crudo", "objetivo"],
+        )
+
+    return contar
 
 
 def ajustar(
     docs: DataFrame, etiquetas: DataFrame, doc: str, texto: str, bueno: Column,
-    max_objetivo: int = MAX_OBJETIVO,
+    max_objetivo: int = MAX_OBJETIVO, ngramas: int = 1,
 ) -> np.ndarray:
-    """Log ratio of target to raw model per bucket, as fixed-point integers."""
+    """Log ratio of target to raw model per bucket, as fixed-point integers; words first, then pairs."""
     ejemplos = (
         etiquetas.filter(bueno & F.col(doc).isNotNull()).select(F.col(doc).alias("_id")).distinct()
         .orderBy(F.xxhash64(F.lit(SEMILLA), "_id"), "_id").limit(max_objetivo)
@@ -111,31 +137,42 @@ def ajustar(
         # At most max_objetivo ids.
         .join(F.broadcast(ejemplos), F.col("_doc") == F.col("_id"), "left")
         .select("texto", F.coalesce("bueno", F.lit(False)).alias("bueno"))
-        .mapInArrow(_contar, "cubo long, crudo long, objetivo long")
+        .mapInArrow(_contador(ngramas), "cubo long, crudo long, objetivo long")
         .groupBy("cubo").agg(F.sum("crudo").alias("crudo"), F.sum("objetivo").alias("objetivo"))
         .collect()  # one row per bucket
     )
-    crudo, objetivo = np.zeros(CUBOS), np.zeros(CUBOS)
+    crudo, objetivo = np.zeros((ngramas, CUBOS)), np.zeros((ngramas, CUBOS))
     for f in filas:
-        crudo[f["cubo"]], objetivo[f["cubo"]] = f["crudo"], f["objetivo"]
+        crudo.flat[f["cubo"]], objetivo.flat[f["cubo"]] = f["crudo"], f["objetivo"]
     if not objetivo.any():
-        return np.zeros(CUBOS, np.int64)
-    esperado = crudo * (objetivo.sum() / crudo.sum())
-    return np.rint(np.log((objetivo + SUAVIZADO) / (esperado + SUAVIZADO)) * ESCALA).astype(np.int64)
+        return np.zeros(ngramas * CUBOS, np.int64)
+    # Words and pairs are models of their own.
+    esperado = crudo * (objetivo.sum(1, keepdims=True) / np.maximum(1, crudo.sum(1, keepdims=True)))
+    return np.rint(np.log((objetivo + SUAVIZADO) / (esperado + SUAVIZADO)) * ESCALA).astype(np.int64).ravel()
+
+
+def _menores(r: np.ndarray, cuantas: int) -> int:
+    return int((np.partition(r, cuantas - 1)[:cuantas] if len(r) > cuantas else r).sum())
 
 
 def peso(razones: np.ndarray, texto: str | None) -> int:
-    """Fixed-point log weight of a text."""
+    """Fixed-point log weight of a text; ``razones`` holds pairs when it has more than ``CUBOS`` numbers."""
     suma = palabras = 0
-    resto = np.zeros(0, np.int64)
-    for h in itertools.chain(cubos(texto), [None]):
-        r = resto if h is None else np.concatenate([resto, razones[h]])
-        enteras = len(r) if h is None else len(r) // VENTANA * VENTANA
+    ngramas = len(razones) // CUBOS
+    # What is left of words, and of the pairs that end with them; the pair of the first word is none.
+    resto, resto_pares = np.zeros(0, np.int64), np.full(1, NINGUNO)
+    for rasgo in itertools.chain(rasgos(texto, ngramas), [None]):
+        r, p = resto, resto_pares
+        if rasgo is not None:
+            r, p = np.concatenate([r, razones[rasgo[0]]]), np.concatenate([p, razones[rasgo[1]]])
+        enteras = len(r) if rasgo is None else len(r) // VENTANA * VENTANA
         for i in range(0, enteras, VENTANA):
-            v = r[i:min(i + VENTANA, enteras)]
-            suma += len(v) * int((np.partition(v, PEORES - 1)[:PEORES] if len(v) > PEORES else v).sum())
+            hasta = min(i + VENTANA, enteras)
+            v, w = r[i:hasta], p[i:hasta]
+            w = w[1:] if len(w) and w[0] == NINGUNO else w
+            suma += len(v) * (_menores(v, PEORES) + _menores(w, PEORES_PARES))
         palabras += enteras
-        resto = r[enteras:]
+        resto, resto_pares = r[enteras:], p[enteras:]
     return suma // max(1, palabras)
 
 
@@ -181,15 +218,18 @@ def k_esima(llaves: DataFrame, k: int) -> int | None:
 def remuestrear(
     docs: DataFrame, etiquetas: DataFrame, doc: str = "doc_id", texto: str = "text",
     calidad: str = "quality", toxico: str | None = "toxic", holgura: float = HOLGURA,
-    semilla: int = SEMILLA, max_objetivo: int = MAX_OBJETIVO,
+    semilla: int = SEMILLA, max_objetivo: int = MAX_OBJETIVO, ngramas: int = 1,
 ) -> DataFrame:
     """The rows that are drawn, with all their columns and ``log_weight``.
 
-    Target text is labelled good and, when ``toxico`` names a column, not toxic.
+    Target text is labelled good and, when ``toxico`` names a column, not toxic.  ``ngramas`` is the longest n-gram
+    that is looked at: 1, words alone, or 2, words and pairs.
     """
+    if ngramas not in (1, 2):
+        raise ValueError("n-grams are words (1) or words and pairs (2)")
     buena = F.coalesce(F.col(calidad) == 1, F.lit(False))
     objetivo = buena if toxico is None else buena & F.coalesce(F.col(toxico) == 0, F.lit(True))
-    razones = ajustar(docs, etiquetas, doc, texto, objetivo, max_objetivo)
+    razones = ajustar(docs, etiquetas, doc, texto, objetivo, max_objetivo, ngramas)
     parte = etiquetas.filter(F.col(calidad).isNotNull()).agg(F.avg(objetivo.cast("double"))).first()[0]
     # The row travels as one struct, so none of its columns can clash with those of this operator.
     columnas = [c for c in docs.columns if c != "log_weight"]
