@@ -228,6 +228,26 @@ def test_pasajes_cortos_como_fuerza_bruta(spark):
         assert f["removed_lines"] >= len(esperado[f["doc_id"]])
 
 
+def test_texto_sin_repetir_no_se_mueve(spark, monkeypatch):
+    """Of 400 documents 6 share a passage: no shuffle of the result moves the others' text; a full filter loses none."""
+    rng = random.Random(5)
+    comun = "\n".join(prosa(12, rng) for _ in range(9))
+    textos = {i: "\n".join(f"{i} {prosa(12, rng)}" for _ in range(9)) + ("\n" + comun if i % 70 == 3 else "")
+              for i in range(400)}
+    d = spark.createDataFrame(textos.items(), "doc_id long, text string")
+    limpio = op3.dedup_lineas(d)
+    salida = {f["doc_id"]: (f["text"], f["removed_lines"]) for f in limpio.collect()}
+    assert all(salida[i] == ((t.removesuffix("\n" + comun), 9) if i % 70 == 3 and i > 3 else (t, 0))
+               for i, t in textos.items())
+    claves = spark.range(3, 400, 70).select(F.col("id").alias("doc_id"))
+    quiza = {f["doc_id"] for f in op3.quiza_en(d, claves, "doc_id", 6).filter("_quiza").collect()}
+    assert {i for i in textos if i % 70 == 3} <= quiza and len(quiza) < 60
+    # A filter without room says yes too often, never no.
+    monkeypatch.setattr(op3, "BITS_POR_PAGINA", 8)
+    monkeypatch.setattr(op3, "MAX_PAGINAS", 1)
+    assert {f["doc_id"]: (f["text"], f["removed_lines"]) for f in op3.dedup_lineas(d).collect()} == salida
+
+
 # ---- 4 ----
 
 

@@ -17,8 +17,10 @@ are compared byte by byte with that place before they are removed.
 
 How it scales.  A document has fewer than three hashes a line.  The first place of a hash is a minimum,
 combined before it moves.  Other places move as numbers and meet it in a join between two exchanges, which
-AQE splits for a crowded hash; runs meet the documents they are compared with in the same way.  Text moves
-to be compared: once to where first places are picked out, once to the document's own row.
+AQE splits for a crowded hash; runs meet the documents they are compared with in the same way.  Only text that
+takes part in a comparison moves: documents with a first place once, documents with a repeat once.  All others are
+told by a filter of ``BITS_POR_CLAVE`` bits a key, sent to every task, and stay where they are read.  It has at most
+``MAX_PAGINAS`` pages of 4 KB; when it is full, more documents than needed move, and none is missed.
 
 Defined results.  Null text counts as empty and comes back empty.  Places go by document id (null
 last), text hash and line.  Rows that repeat id and text are one document and come back that often.
@@ -37,6 +39,9 @@ from turnero.sources.tablas import claves_distintas, materializar
 VENTANA = 2
 DIVISOR = 2
 PASAJE = 50  # words
+BITS_POR_CLAVE = 16
+BITS_POR_PAGINA = 32_768  # of Spark's bitmaps
+MAX_PAGINAS = 4096
 PALABRA = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,6 +129,25 @@ def unidades(
             lambda w: de_lineas(h, w))))
 
 
+def quiza_en(df: DataFrame, claves: DataFrame, clave: str, cuantas: int) -> DataFrame:
+    """Adds ``_quiza``: false when ``clave`` is surely not in ``claves``, which has at most ``cuantas`` keys."""
+    paginas = max(1, min(MAX_PAGINAS, -(-cuantas * BITS_POR_CLAVE // BITS_POR_PAGINA)))
+    bit = F.pmod(F.xxhash64(clave), F.lit(paginas * BITS_POR_PAGINA))
+    filtro = (
+        claves.select(bit.alias("_bit")).groupBy(F.expr(f"_bit div {BITS_POR_PAGINA}").alias("_pagina"))
+        .agg(F.bitmap_construct_agg(F.col("_bit") % BITS_POR_PAGINA).alias("_mapa"))
+    )
+    octeto = F.expr(f"conv(hex(substring(_mapa, cast(_bit % {BITS_POR_PAGINA} div 8 as int) + 1, 1)), 16, 10)")
+    puesto = F.expr("_bit % 8").cast("int")
+    return (
+        df.withColumn("_bit", bit)
+        # At most MAX_PAGINAS pages.
+        .join(F.broadcast(filtro), F.expr(f"_bit div {BITS_POR_PAGINA}") == F.col("_pagina"), "left")
+        .withColumn("_quiza", F.coalesce(F.getbit(octeto.cast("int"), puesto) == 1, F.lit(False)))
+        .drop("_bit", "_pagina", "_mapa")
+    )
+
+
 def dedup_lineas(
     docs: DataFrame, doc: str = "doc_id", texto: str = "text", ventana: int = VENTANA,
     divisor: int = DIVISOR, pasaje: int = PASAJE,
@@ -157,9 +181,10 @@ def dedup_lineas(
         .agg(F.min("k").alias("k"), F.max(F.col("k") + F.col("n")).alias("fin"))
         .select("d", "d0", "salto", "k", (F.col("fin") - F.col("k")).alias("n")), "corridas",
     )
+    cuantas = corridas.count()
     # Documents to compare with, once each.
     fuentes = materializar(
-        base.join(claves_distintas(corridas.select(F.col("d0").alias("d")), ["d"]), "d", "left_semi")
+        quiza_en(base, corridas.select(F.col("d0").alias("d")), "d", cuantas).filter("_quiza").drop("_quiza").join(claves_distintas(corridas.select(F.col("d0").alias("d")), ["d"]), "d", "left_semi")
         .dropDuplicates(["d"]).select(F.col("d").alias("_d0"), F.col("texto").alias("fuente")), "fuentes",
     )
 
@@ -185,8 +210,12 @@ def dedup_lineas(
             F.size(f).cast("long").alias("lineas"),
         ))
 
-    return (
-        base.join(dudosos, F.col("d") == F.col("_d"), "left")
+    marcados = quiza_en(base, corridas.select("d"), "d", cuantas)
+    intactos = marcados.filter(~F.col("_quiza")).select(
+        F.col("d.doc").alias(doc), F.col("texto").alias("text"), F.lit(0).cast("long").alias("removed_chunks"),
+        F.lit(0).cast("long").alias("removed_lines"))
+    return intactos.unionByName(
+        marcados.filter("_quiza").join(dudosos, F.col("d") == F.col("_d"), "left")
         .select("d", "texto",
                 F.when(F.col("_dudosos").isNotNull(), con(partir(F.col("texto")), limpiar)).alias("_q"))
         .select(

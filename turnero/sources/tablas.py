@@ -10,12 +10,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnero.sources.esquemas import ESQUEMAS, POR_DEFECTO
 
+LIMPIEZA = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FECHADAS = ["citas", "horarios_fecha", "bloqueos"]
 
 
@@ -182,14 +184,27 @@ def carpeta_de_trabajo(spark: SparkSession, nombre: str) -> str:
     return f"{carpeta_compartida(spark)}/{nombre}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def sin_restos(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action go when it ends; a second action would compute them again."""
+    antes = spark.conf.get(LIMPIEZA, "false")
+    spark.conf.set(LIMPIEZA, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(LIMPIEZA, antes)
+
+
 def materializar(df: DataFrame, nombre: str, **opciones: str) -> DataFrame:
     """Writes ``df`` to a working folder, with options of the Parquet writer, and reads it back.
 
     For a result that several later steps use: it is computed once, all steps see the same rows
-    even when executors are lost, and the plan behind it is cut off.
+    even when executors are lost, and the plan behind it is cut off.  Nothing reads the shuffle files of that plan
+    any more, so Spark removes them with the end of the write and not when the driver collects its garbage.
     """
     ruta = carpeta_de_trabajo(df.sparkSession, nombre)
-    df.write.options(**opciones).parquet(ruta)
+    with sin_restos(df.sparkSession):
+        df.write.options(**opciones).parquet(ruta)
     return df.sparkSession.read.schema(df.schema).parquet(ruta)
 
 
