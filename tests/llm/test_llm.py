@@ -9,6 +9,7 @@ import os
 import random
 import re
 import tempfile
+import time
 import zlib
 from collections import Counter
 
@@ -24,7 +25,7 @@ from turnero.llm import (
     conversaciones as op1, descontaminar as op7, exactos as op6, fichas as op4, lineas as op3,
     mezcla as op10, pii as op8, remuestreo as op5, secretos as op9, simhash as op2,
 )
-from turnero.sources.tablas import carpeta_compartida
+from turnero.sources.tablas import carpeta_compartida, materializar
 
 CARPETA = "/root/testdata/sf0.001"
 RNG = random.Random(7)
@@ -318,6 +319,21 @@ def test_fragmentos_con_y_sin_esquema(spark, tmp_path):
     assert op4.escribir_fragmentos(op4.secuencias(d.limit(0)), f"{tmp_path}/v").count() == 0
 
 
+def test_fragmentos_por_tandas(spark, documentos, monkeypatch):
+    """The shards are written in turns, so that a turn's sequences alone are in shuffle files; together they are all."""
+    docs = spark.read.parquet(f"{CARPETA}/documents.parquet")
+    monkeypatch.setattr(op4, "FILAS_POR_FRAGMENTO", 8)
+    monkeypatch.setattr(op4, "FRAGMENTOS_POR_TAREA", 2)
+    escribir, tandas = op4.escribir_fragmentos, []
+    monkeypatch.setattr(op4, "escribir_fragmentos", lambda sec, ruta: tandas.append(escribir(sec, ruta)))
+    clave = lambda x: tuple(bytes(v) if isinstance(v, bytearray) else v for v in x)
+    leidas = op4.por_fragmentos(docs)
+    esperadas = op4.secuencias(docs, filas_por_fragmento=8).select(leidas.columns)
+    assert sorted(map(clave, leidas.collect())) == sorted(map(clave, esperadas.collect()))
+    filas = [t.agg(F.sum("rows")).first()[0] for t in tandas]
+    assert len(filas) == op4.TANDAS and sum(filas) == esperadas.count() and max(filas) <= sum(filas) / op4.TANDAS + 16
+
+
 # ---- 5 ----
 
 
@@ -443,6 +459,20 @@ def test_pares_en_documentos_apartados(spark, monkeypatch, carpeta, resto, toxic
     partes_que_quedan(spark, f"/root/testdata/{carpeta}", resto, toxicos, malos)
 
 
+def test_lo_escrito_no_deja_barajas(spark):
+    """Once a step is written, the shuffle files behind it are gone."""
+    def archivos():
+        todos = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in todos.split() if "/shuffle_" in x}
+
+    antes = archivos()
+    df = materializar(spark.range(20_000).repartition(4, "id").groupBy(F.col("id") % 1000).count(), "prueba")
+    limite = time.time() + 20
+    while (quedan := archivos() - antes) and time.time() < limite:
+        time.sleep(0.2)
+    assert not quedan and df.count() == 1000
+
+
 # ---- 6 ----
 
 

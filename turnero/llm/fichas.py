@@ -9,7 +9,9 @@ The registered query and the pipeline write the shards and return what they read
 
 How it scales.  Texts are tokenized once, where they are read, and the ids are written to the shared folder
 with running counts; one total per task makes the counts global.  Each sequence moves once, to its
-shard; shards have a fixed size, and a task writes ``FRAGMENTOS_POR_TAREA`` of them.  The numbers follow the files and splits of the input: equal files
+shard; shards have a fixed size, and a task writes ``FRAGMENTOS_POR_TAREA`` of them.  The query and the pipeline
+write all shards in ``TANDAS`` turns, each a range of slots: every turn reads the ids again, but only the
+sequences of one turn are in shuffle files at a time.  The numbers follow the files and splits of the input: equal files
 read with equal settings give equal slots.
 
 Defined results.  Null and empty texts are one sequence with the end mark alone.  Repeated rows each get
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,6 +43,7 @@ FILAS_POR_FRAGMENTO = 4096
 CLAVE = 20_24
 RONDAS = 6
 FRAGMENTOS_POR_TAREA = 16  # consecutive shards that one task writes, about 70 MB
+TANDAS = 4  # turns in which all shards are written
 REGISTROS = 1024  # records read at a time
 # Schemes of Spark's file systems with what Arrow calls them.
 ESQUEMAS = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs",
@@ -61,7 +66,7 @@ def codificador(vocabulario: bytes):
         _POR_PROCESO[llave] = tiktoken.Encoding(
             "vocabulario", pat_str=PATRON, mergeable_ranks=rangos, special_tokens={}).encode_ordinary
     codificar = _POR_PROCESO[llave]
-    return lambda texto: np.array([*codificar(texto or ""), FIN], "<u2").tobytes()
+    return lambda texto: np.frombuffer(array("H", [*codificar(texto or ""), FIN]), np.uint16).astype("<u2").tobytes()
 
 
 def leer_vocabulario(spark: SparkSession, ruta: str) -> bytes:
@@ -143,7 +148,13 @@ def secuencias(
     Columns: ``slot``, ``shard``, ``offset`` (bytes into the shard), document id, ``seq_no``,
     ``n_tokens`` (without padding) and ``tokens`` (``largo`` little-endian 16-bit ids).
     """
-    paso = CABEZA.itemsize + 2 * largo
+    return en_puestos(*numeradas(docs, doc, texto, vocabulario, largo), doc, largo, clave, filas_por_fragmento)
+
+
+def numeradas(
+    docs: DataFrame, doc: str, texto: str, vocabulario: str, largo: int,
+) -> tuple[DataFrame, dict[int, int], int]:
+    """Token ids of all rows, the number of the first sequence of each task, and the number of sequences."""
     filas = con_fichas(docs, doc, texto, vocabulario, largo)
     # One row for each task.
     por_tarea = filas.groupBy("tarea").agg(F.sum("cuantas").alias("n")).orderBy("tarea").collect()
@@ -151,17 +162,31 @@ def secuencias(
     for f in por_tarea:
         bases[f["tarea"]] = n
         n += f["n"]
+    return filas, bases, n
+
+
+def en_puestos(
+    filas: DataFrame, bases: dict[int, int], n: int, doc: str, largo: int, clave: int, filas_por_fragmento: int,
+    desde: int = 0, hasta: int | None = None,
+) -> DataFrame:
+    """The sequences of slots from ``desde`` to before ``hasta``, a whole number of tasks' shards, see ``secuencias``."""
+    paso = CABEZA.itemsize + 2 * largo
+    hasta = n if hasta is None else min(n, hasta)
 
     def cortar(lotes):
         for lote in lotes:
-            docs_, tareas, antes, ids = (lote[c].to_pylist() for c in ("doc", "tarea", "antes", "ids"))
-            cuantas = np.array([-(-len(i) // (2 * largo)) for i in ids], np.int64)
-            inicios = np.array([bases[t] + a for t, a in zip(tareas, antes)], np.int64)
-            orden = np.arange(cuantas.sum()) - np.repeat(np.cumsum(cuantas) - cuantas, cuantas)
-            puestos = permutar(np.repeat(inicios, cuantas) + orden, n, clave)
-            trozos = [x[i:i + 2 * largo] for x in ids for i in range(0, len(x), 2 * largo)]
+            docs_, tareas, antes, ids = (lote[c] for c in ("doc", "tarea", "antes", "ids"))
+            cuantas = -(-pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // (2 * largo))
+            inicios = np.array([bases[t] + a for t, a in zip(tareas.to_pylist(), antes.to_pylist())], np.int64)
+            fila = np.repeat(np.arange(len(ids)), cuantas)
+            orden = np.arange(len(fila)) - np.repeat(np.cumsum(cuantas) - cuantas, cuantas)
+            puestos = permutar(inicios[fila] + orden, n, clave)
+            van = np.flatnonzero((puestos >= desde) & (puestos < hasta))
+            fila, orden = fila[van], orden[van]
+            bytes_ = [memoryview(x.as_buffer()) for x in ids]
+            trozos = [bytes(bytes_[f][o:o + 2 * largo]) for f, o in zip(fila.tolist(), (orden * 2 * largo).tolist())]
             yield pa.RecordBatch.from_arrays([
-                pa.array(puestos), pa.array(docs_, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), cuantas))),
+                pa.array(puestos[van]), docs_.take(pa.array(fila)),
                 pa.array(orden), pa.array([len(t) // 2 for t in trozos], pa.int64()),
                 pa.array([t.ljust(2 * largo, b"\0") for t in trozos], pa.binary()),
             ], names=["slot", "doc", "seq_no", "n_tokens", "tokens"])
@@ -172,7 +197,7 @@ def secuencias(
         .mapInArrow(cortar, "slot long, doc long, seq_no long, n_tokens long, tokens binary")
         .withColumn("shard", fragmento)
         # Slots are 0..n-1, so the ranges are known without a sample: some shards in a row are one partition.
-        .repartitionById(max(1, -(-n // por_tarea)), F.expr(f"cast(slot div {por_tarea}L as int)"))
+        .repartitionById(max(1, -(-(hasta - desde) // por_tarea)), F.expr(f"cast((slot - {desde}L) div {por_tarea}L as int)"))
         .sortWithinPartitions("slot")
         .select("slot", "shard", ((F.col("slot") % filas_por_fragmento) * paso).alias("offset"),
                 F.col("doc").alias(doc), "seq_no", "n_tokens", "tokens")
@@ -286,12 +311,17 @@ def leer_fragmentos(
 def por_fragmentos(docs: DataFrame) -> DataFrame:
     """``secuencias`` written as shards to a working folder, as read back from them."""
     ruta = carpeta_de_trabajo(docs.sparkSession, "secuencias")
-    hechos = escribir_fragmentos(secuencias(docs), ruta)
-    if hechos.isEmpty():
+    filas, bases, n = numeradas(docs, "doc_id", "text", VOCABULARIO, LARGO)
+    por_tarea = FILAS_POR_FRAGMENTO * FRAGMENTOS_POR_TAREA
+    tanda = max(1, -(-n // (por_tarea * TANDAS))) * por_tarea
+    for desde in range(0, n, tanda):
+        escribir_fragmentos(en_puestos(
+            filas, bases, n, "doc_id", LARGO, CLAVE, FILAS_POR_FRAGMENTO, desde, desde + tanda), ruta)
+    if not n:
         leidos = docs.sparkSession.createDataFrame(
             [], "slot long, doc_id long, seq_no long, n_tokens long, tokens binary")
     else:
-        leidos = leer_fragmentos(docs.sparkSession, ruta)
+        leidos = leer_fragmentos(docs.sparkSession, ruta, LARGO, FILAS_POR_FRAGMENTO)
     fila = F.col("slot") % FILAS_POR_FRAGMENTO
     return leidos.select(
         "slot", F.expr(f"slot div {FILAS_POR_FRAGMENTO}L").alias("shard"),
