@@ -115,11 +115,10 @@ def coincidencia(doc: Column, item: Column, desfase: Column) -> Column:
     )))
 
 
-def contaminados(
-    docs: DataFrame, pruebas: DataFrame, doc: str = "doc_id", texto: str = "text",
-    item: str = "item_id", texto_item: str = "text",
+def _hallados(
+    docs: DataFrame, pruebas: DataFrame, doc: str, texto: str, item: str, texto_item: str,
 ) -> DataFrame:
-    """One row per document and item that overlap: both ids, ``matched`` and ``window`` tokens."""
+    """Alignments that hold: ``doc``, ``th`` (hash of the text) and ``p``, the item with its equal tokens."""
     base = docs.select(F.col(doc).alias("doc"), F.col(texto).alias("texto"))
     base = base.withColumn("th", F.xxhash64("texto"))
     items = materializar(
@@ -142,7 +141,17 @@ def contaminados(
 
     return (
         base.join(por_doc, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")))
-        .select("doc", F.explode(con(fichas(F.col("texto")), revisar)).alias("p"))
+        .select("doc", "th", F.explode(con(fichas(F.col("texto")), revisar)).alias("p"))
+    )
+
+
+def contaminados(
+    docs: DataFrame, pruebas: DataFrame, doc: str = "doc_id", texto: str = "text",
+    item: str = "item_id", texto_item: str = "text",
+) -> DataFrame:
+    """One row per document and item that overlap: both ids, ``matched`` and ``window`` tokens."""
+    return (
+        _hallados(docs, pruebas, doc, texto, item, texto_item)
         .groupBy(F.col("doc").alias(doc), F.col("p.item").alias(item))
         .agg(F.max("p.iguales").cast("long").alias("matched"),
              F.max("p.ancho").cast("long").alias("window"))
@@ -154,14 +163,13 @@ def descontaminar(
     item: str = "item_id", texto_item: str = "text",
 ) -> DataFrame:
     """The rows of documents that overlap no item.  Rows with a null id are judged by their text too."""
-    malos = (
-        contaminados(docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(texto)).alias("th"))
-                                 .alias("fila"), F.col(texto).alias("texto")),
-                     pruebas, "fila", "texto", item, texto_item)
-        .select("fila").distinct()
+    malos = materializar(
+        _hallados(docs, pruebas, doc, texto, item, texto_item)
+        .select(F.col("doc").alias("_doc"), F.col("th").alias("_th")).distinct(), "contaminados",
     )
     con_llave = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("todo"),
-        F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(texto)).alias("th")).alias("llave"),
+        F.col(doc).alias("doc"), F.xxhash64(F.col(texto)).alias("th"),
     )
-    return con_llave.join(malos, F.col("llave") == F.col("fila"), "left_anti").select("todo.*")
+    return con_llave.join(
+        malos, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left_anti").select("todo.*")
