@@ -41,10 +41,15 @@ def _caja(c: str) -> Column:
     return F.struct(F.col(c).alias("v"))
 
 
-def _inicio(citas: DataFrame, ops: DataFrame) -> DataFrame:
+def estado_actual(citas: DataFrame, cambios: DataFrame) -> DataFrame:
+    """Stored appointments that ``cambios`` names: active (``a``) and in which slot (``h``); the table is gone through once."""
+    return materializar(
+        citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select(
+            "id", activa().alias("a"), hueco().alias("h")), "actuales")
+
+
+def _inicio(actuales: DataFrame, ops: DataFrame) -> DataFrame:
     """Per appointment of the batch: is it active before it (``a``), and in which slot (``h``)."""
-    actuales = citas.join(claves_distintas(ops, ["id"]), "id", "left_semi").select(
-        "id", activa().alias("a"), hueco().alias("h"))
     return ops.groupBy("id").agg(
         F.coalesce(F.max("activa"), F.lit(False)).alias("_alguna"),
         F.coalesce(F.min("activa"), F.lit(True)).alias("_todas"),
@@ -60,18 +65,20 @@ def _disputas(citas: DataFrame, ops: DataFrame, inicio: DataFrame) -> tuple[Data
         .unionByName(reviven.select(F.col("h").alias("hueco"), "id")).distinct(), "quieren")
     moviles = inicio.filter(F.col("a") & F.col("h").isNotNull()).select(F.col("h").alias("hueco"), "id")
     claves = quieren.select("hueco.*")
-    quietas = (
-        en_fechas_de(citas, claves).filter(activa()).join(claves_distintas(ops, ["id"]), "id", "left_anti")
+    activas = (
+        en_fechas_de(citas, claves).filter(activa())
         # Never null, so no check for null is pushed down to be computed once more; -1 is nobody's start.
         .select("audiologo_id", "fecha", F.coalesce(seg("hora_inicio"), F.lit(-1)).alias("ini"))
     )
+    # Somebody outside the batch holds a slot when more hold it than those of the batch; no join by id is needed.
+    todas = reducir_a(activas, claves, HUECO, lambda c: c.groupBy(*HUECO).agg(F.count(F.lit(1)).alias("_n")))
+    del_lote = moviles.groupBy("hueco").agg(F.count(F.lit(1)).alias("_m"))
     fijos = materializar(
-        reducir_a(quietas, claves, HUECO, DataFrame.distinct).select(F.struct(*HUECO).alias("hueco")), "fijos")
-    disputados = (
+        todas.select(F.struct(*HUECO).alias("hueco"), "_n").join(del_lote, "hueco", "left")
+        .filter(F.col("_n") > F.coalesce("_m", F.lit(0))).select("hueco"), "fijos")
+    disputados = materializar(
         quieren.unionByName(moviles).groupBy("hueco").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-        .filter("a <> b").select("hueco").unionByName(fijos)
-    )
-    disputados = claves_distintas(disputados, ["hueco"])
+        .filter("a <> b").select("hueco").unionByName(fijos), "disputados")
     ids = materializar(quieren.join(disputados, "hueco", "left_semi").select("id").distinct(), "en_disputa")
 
     # An appointment that is in no dispute gives its slot up at its first cancellation or move.
@@ -147,21 +154,22 @@ def _decidir(ronda: DataFrame, tenedores: DataFrame) -> DataFrame:
     return juntos.select("id", "t", "x.*", aplica.alias("aplica"))
 
 
-def decidir_en_orden(citas: DataFrame, ops: DataFrame) -> DataFrame:
+def decidir_en_orden(citas: DataFrame, ops: DataFrame, actuales: DataFrame | None = None) -> DataFrame:
     """Which changes apply: (``t``, ``aplica``), one row per change.
 
     ``ops`` has ``t`` (the turn, unique), ``id`` (of a stored appointment or a new one), ``activa`` (does it
     make the appointment active, inactive, or neither: null) and, where there are moves, ``mueve`` (does it set
     the slot) and ``hueco`` (to which, see ``hueco``).  An active appointment that keeps its slot is never in
-    conflict.
+    conflict.  ``actuales`` is what ``estado_actual`` gives for these changes or more, if the caller has it.
     """
     tipo = citas.select(hueco().alias("h")).schema["h"].dataType
     if "mueve" not in ops.columns:
         ops = ops.withColumns({"mueve": F.lit(False), "hueco": F.lit(None)})
     ops = materializar(ops.select(
         "t", F.col("id").cast("string").alias("id"), "mueve", F.col("hueco").cast(tipo).alias("hueco"), "activa"), "turnos")
-    citas = citas.withColumn("id", F.col("id").cast("string"))
-    inicio = materializar(_inicio(citas, ops), "inicio")
+    if actuales is None:
+        actuales = estado_actual(citas.withColumn("id", F.col("id").cast("string")), ops)
+    inicio = materializar(_inicio(actuales.withColumn("id", F.col("id").cast("string")), ops), "inicio")
     ids, tenedores = _disputas(citas, ops, inicio)
     decididas = ops.join(ids, "id", "left_anti").select("t", F.lit(True).alias("aplica"))
     pendientes = ops.join(ids, "id", "left_semi")

@@ -15,6 +15,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.sources.tablas import materializar
 
 
+def por_turno(df: DataFrame, orden: list, nombre: str = "t") -> DataFrame:
+    """Adds ``nombre``, a number that grows by ``orden``, no two rows the same; it has gaps.
+
+    Enough to tell earlier from later, and rows move once only.  Equal rows come in any order, but only once:
+    the numbers are written and read back.
+    """
+    return materializar(
+        df.repartitionByRange(*orden).sortWithinPartitions(*orden)
+        .withColumn(nombre, F.monotonically_increasing_id()), "turnos")
+
+
 def numerar(
     df: DataFrame, clave: list[str], orden: list, nombre: str = "numero", partes: int | None = None,
 ) -> DataFrame:

@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnero.functions.texto import activa, presente, vacio_a_nulo
 from turnero.functions.tiempo import hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO
-from turnero.operators.en_orden import decidir_en_orden, hueco
-from turnero.operators.numeracion import numerar
+from turnero.operators.en_orden import decidir_en_orden, estado_actual, hueco
+from turnero.operators.numeracion import por_turno
 from turnero.operators.reservas import (
     Estado, Resultado, agregar, con_motivo, id_estable, ids_texto, marcar_actualizado, marcar_existente,
 )
-from turnero.sources.tablas import claves_distintas, con_mes, materializar, reducir_a
+from turnero.sources.tablas import con_mes, materializar, reducir_a
 
 CAMPOS = ["sede_id", "audiologo_id", "nombre", "telefono"]
 DATOS = [
@@ -45,28 +45,42 @@ def revisar_ediciones(citas: DataFrame, cambios: DataFrame) -> DataFrame:
     Edits are decided one by one by ``orden`` (equal ones by id).  An edit of an active appointment is refused
     while another active appointment holds the new slot; an edit that applied and was followed by another of
     the same appointment that applied is ``reemplazado``.  ``cambios`` has ``id``, ``orden`` and the new values; rows
-    with ``alta`` true are new appointments, which take part in the same order.
+    with ``alta`` true are new appointments, which take part in the same order.  Only the columns that decide move from
+    step to step; the edits stay as written (``con_fila``) and take their outcome by row at the end.
     """
     if "alta" not in cambios.columns:
         cambios = cambios.withColumn("alta", F.lit(False))
-    con_turno = numerar(cambios, [], [F.col("orden"), F.col("id")], "t")
-    existen = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select("id", F.lit(True).alias("_existe"))
+    filas = cambios if "_fila" in cambios.columns else con_fila(cambios, "ediciones")
+    con_turno = por_turno(
+        filas.select("_fila", "id", "orden", "alta", "audiologo_id", "fecha", "hora_inicio"), [F.col("orden"), F.col("id")])
+    actuales = estado_actual(citas, con_turno)
+    existen = actuales.select("id", F.lit(True).alias("_existe"))
     revisados = materializar(
-        con_turno.join(existen, "id", "left").withColumn(
+        con_turno.select("t", "_fila", "id", "alta", hueco().alias("hueco")).join(existen, "id", "left").withColumn(
             "_motivo", F.when(F.col("_existe").isNull() & ~F.col("alta"), "cita_desconocida")).drop("_existe"),
-        "ediciones",
+        "revisados",
     )
     dichos = materializar(decidir_en_orden(citas, revisados.filter(F.col("_motivo").isNull()).select(
-        "t", "id", F.lit(True).alias("mueve"), hueco().alias("hueco"),
-        F.when(F.col("alta"), True).alias("activa"))), "dichos")
-    return con_motivo(revisados, dichos).drop("t")
+        "t", "id", F.lit(True).alias("mueve"), "hueco", F.when(F.col("alta"), True).alias("activa")), actuales), "dichos")
+    resueltos = materializar(con_motivo(revisados, dichos).select("_fila", "motivo_rechazo"), "resueltos")
+    return filas.join(resueltos, "_fila").drop("_fila")
+
+
+def con_fila(cambios: DataFrame, nombre: str) -> DataFrame:
+    """Writes the rows with ``_fila``, by which each is found again, and reads them back."""
+    return materializar(cambios.withColumn("_fila", F.monotonically_increasing_id()), nombre)
 
 
 def normalizar_ediciones(cambios: DataFrame) -> DataFrame:
-    """Edits as they are stored: the end is the start plus the default time, empty texts are null."""
+    """Edits as they are stored: the end is the start plus the default time, empty texts are null.
+
+    The start is ``hora_inicio``, or ``_ini`` in seconds where it was read already.
+    """
+    if "_ini" not in cambios.columns:
+        cambios = cambios.withColumn("_ini", seg("hora_inicio"))
     return (
-        cambios.withColumn("hora_fin", hms(seg("hora_inicio") + DURACION_POR_DEFECTO * 60))
-        .withColumn("hora_inicio", hms(seg("hora_inicio")))
+        cambios.withColumn("hora_fin", hms(F.col("_ini") + DURACION_POR_DEFECTO * 60))
+        .withColumn("hora_inicio", hms("_ini")).drop("_ini")
         .withColumn("motivo_consulta", vacio_a_nulo("motivo_consulta"))
         .withColumn("notas", vacio_a_nulo("notas"))
     )
@@ -91,7 +105,7 @@ def editar(
     An edit replaces patient, professional, site, date, start, reason and notes; the end becomes
     the start plus the default time and the state stays.
     """
-    revisados = materializar(revisar_ediciones(citas, normalizar_ediciones(cambios)), "ediciones").drop("alta")
+    revisados = revisar_ediciones(citas, normalizar_ediciones(cambios)).drop("alta")
     aplican = revisados.filter(F.col("motivo_rechazo").isNull())
     return (
         con_ediciones(citas, aplican, ahora),
@@ -100,9 +114,16 @@ def editar(
 
 
 def con_ediciones(citas: DataFrame, aplican: DataFrame, ahora: Column | None = None) -> DataFrame:
-    """All appointments after the edits: those unchanged stay where they are."""
-    return citas.join(claves_distintas(aplican, ["id"]), "id", "left_anti").unionByName(
-        citas_editadas(citas, aplican, ahora))
+    """All appointments after the edits; the table is gone through once."""
+    ahora = F.current_timestamp() if ahora is None else ahora
+    datos = [c for c in DATOS if c in citas.columns]
+    nuevos = aplican.select("id", F.struct(*datos).alias("_n"))
+    cambia = F.col("_n").isNotNull()
+    despues = citas.join(nuevos, "id", "left").withColumns(
+        {c: F.when(cambia, F.col("_n")[c]).otherwise(F.col(c)) for c in datos})
+    if "mes" in citas.columns:
+        despues = despues.withColumn("mes", F.when(cambia, F.date_format("fecha", "yyyy-MM")).otherwise(F.col("mes")))
+    return marcar_actualizado(despues, ahora, cambia).select(*citas.columns)
 
 
 def pacientes_del_panel(
@@ -149,25 +170,25 @@ def guardar_panel(
     completas, incompletas = separar_validas(ediciones)
     con_paciente, nuevos = pacientes_del_panel(estado.pacientes, completas)
     df = marcar_existente(con_paciente, "audiologo_id", estado.audiologos, "_a")
-    df = marcar_existente(df, "sede_id", estado.sedes, "_s").withColumn(
+    alta = F.col("cita_id").isNull()
+    escritos = con_fila(marcar_existente(df, "sede_id", estado.sedes, "_s").select(
+        F.when(alta, id_estable("cita", "solicitud_id")).otherwise(F.col("cita_id").cast("string")).alias("id"),
+        alta.alias("alta"), F.struct("recibida_en", "solicitud_id").alias("orden"),
+        "solicitud_id", "paciente_id", "audiologo_id", "sede_id", "fecha", seg("hora_inicio").alias("_ini"),
+        F.col("motivo").alias("motivo_consulta"), "notas", "_a", "_s",
+    ), "formularios")
+    # The start is read once, before the write; what follows from it is cheap.
+    formularios = normalizar_ediciones(escritos).withColumn(
         "motivo_rechazo",
         F.when(F.col("fecha").isNull(), "falta_fecha")
-        .when(seg("hora_inicio").isNull(), "falta_hora")
+        .when(F.col("hora_inicio").isNull(), "falta_hora")
         .when(F.col("_a").isNull(), "audiologo_desconocido")
         .when(F.col("_s").isNull(), "sede_desconocida"),
     ).drop("_a", "_s")
-    df = materializar(df, "formularios")
-    guardables = df.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo")
 
     citas = ids_texto(estado.citas)
-    alta = F.col("cita_id").isNull()
-    cambios = guardables.select(
-        F.when(alta, id_estable("cita", "solicitud_id")).otherwise(F.col("cita_id").cast("string")).alias("id"),
-        alta.alias("alta"), F.struct("recibida_en", "solicitud_id").alias("orden"),
-        "solicitud_id", "paciente_id", "audiologo_id", "sede_id", "fecha", "hora_inicio",
-        F.col("motivo").alias("motivo_consulta"), "notas",
-    )
-    revisadas = materializar(revisar_ediciones(citas, normalizar_ediciones(cambios)), "ediciones")
+    revisadas = revisar_ediciones(
+        citas, formularios.filter(F.col("motivo_rechazo").isNull()).drop("motivo_rechazo"))
     valen = revisadas.filter(F.col("motivo_rechazo").isNull())
     aceptadas = valen.filter("alta").select(
         "solicitud_id", "id", "paciente_id", "audiologo_id", "sede_id", "fecha", "hora_inicio", "hora_fin",
@@ -176,7 +197,7 @@ def guardar_panel(
     rechazadas = (
         incompletas.select("solicitud_id", F.lit("formulario_incompleto").alias("motivo_rechazo"))
         .unionByName(
-            df.filter(F.col("motivo_rechazo").isNotNull()).select("solicitud_id", "motivo_rechazo")
+            formularios.filter(F.col("motivo_rechazo").isNotNull()).select("solicitud_id", "motivo_rechazo")
         )
         .unionByName(
             revisadas.filter(F.col("motivo_rechazo").isNotNull()).select("solicitud_id", "motivo_rechazo"))

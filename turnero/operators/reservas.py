@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnero.functions.texto import acciones, activa
 from turnero.functions.tiempo import dow, hms, seg
 from turnero.functions.valores import DURACION_POR_DEFECTO, ESTADOS
-from turnero.operators.en_orden import decidir_en_orden
-from turnero.operators.numeracion import numerar
+from turnero.operators.en_orden import decidir_en_orden, estado_actual
+from turnero.operators.numeracion import por_turno
 from turnero.sources.tablas import (
-    claves_distintas, con_valores_por_defecto, en_fechas_de, materializar, reducir_a, unir,
+    con_valores_por_defecto, en_fechas_de, materializar, reducir_a, unir,
 )
 
 DIA = ["audiologo_id", "fecha"]
@@ -379,8 +379,9 @@ def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
     appointment that applied is ``reemplazado``.
     """
     todos = cambios.select("id", F.col("estado").alias("nuevo"), "orden")
-    con_turno = numerar(todos, [], [F.col("orden"), F.col("id"), F.col("nuevo")], "t")
-    existen = citas.join(claves_distintas(cambios, ["id"]), "id", "left_semi").select("id", F.lit(True).alias("_existe"))
+    con_turno = por_turno(todos, [F.col("orden"), F.col("id"), F.col("nuevo")])
+    actuales = estado_actual(citas, con_turno)
+    existen = actuales.select("id", F.lit(True).alias("_existe"))
     revisados = materializar(
         con_turno.join(existen, "id", "left").withColumn(
             "_motivo",
@@ -390,7 +391,7 @@ def revisar_cambios_estado(citas: DataFrame, cambios: DataFrame) -> DataFrame:
     )
     validos = revisados.filter(F.col("_motivo").isNull())
     dichos = materializar(decidir_en_orden(citas, validos.select(
-        "t", "id", activa("nuevo").alias("activa"))), "dichos")
+        "t", "id", activa("nuevo").alias("activa")), actuales), "dichos")
     return con_motivo(revisados, dichos).select("id", "nuevo", "motivo_rechazo")
 
 
